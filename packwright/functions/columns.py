@@ -20,13 +20,16 @@ def file_uri(df: DataFrame) -> Column:
 
 
 def parent(path: Column) -> Column:
-    """The directory part of a path."""
-    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
+    """The directory part of a path. Cut by bytes: this runs for every row, and counting letters is slow."""
+    name = F.substring_index(path, "/", -1)
+    size = F.octet_length(path) - F.octet_length(name) - 1
+    return F.substring(path.cast("binary"), F.lit(1), size).cast("string")
 
 
 def below(path: Column, root: str) -> Column:
-    """What follows `root/` in a path that starts with it."""
-    return F.substring(path, len(root) + 2, 1 << 30)
+    """What follows `root/` in a path, empty for the root itself, NULL for a path that lies elsewhere."""
+    rest = F.substring(path, len(root) + 2, 1 << 30)
+    return F.when(path == root, F.lit("")).when(path.startswith(root + "/"), rest)
 
 
 def file_bucket(uri: Column) -> Column:

@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.errors import (
@@ -100,13 +100,15 @@ def compact_database(
     scratch = scratch_dir(spark, "compact")
     wanted = None if tables is None else sorted(set(tables))
     files = _inventory(spark, live, wanted, f"{scratch}/files")
-    names = _checked_tables(storage, live, files, wanted)
+    sizes = _checked_tables(storage, live, files, wanted, opts.target_bytes)
+    names = list(sizes)
 
     def work(number: int, name: str) -> list[str]:
         place = f"{scratch}/table={number}"
         return _rewrite_table(
             spark,
             files.where(F.col("table_name") == name),
+            sizes[name],
             f"{live}/{name}",
             map_path(f"{live}/{name}", live, staging),
             place,
@@ -120,7 +122,7 @@ def compact_database(
                 parts = list(pool.map(target, range(len(names)), names))
             report = _report(spark, scratch, names, parts)
             _require_equal(report)
-            _require_unchanged(spark, live, names, files, f"{scratch}/files_again")
+            _require_unchanged(spark, live, names, files)
             if swap_in:
                 _swap_in(storage, live, staging, retired, names, parts)
         except BrokenSwapError:
@@ -152,13 +154,15 @@ def compact_table(
     scratch = scratch_dir(spark, "compact")
     base, name = table.rsplit("/", 1)
     files = _inventory(spark, base, [name], f"{scratch}/files")
-    _checked_tables(storage, base, files, [name])
+    sizes = _checked_tables(storage, base, files, [name], opts.target_bytes)
     with settings(spark, JOB_SETTINGS):
         try:
-            parts = _rewrite_table(spark, files, table, target, f"{scratch}/table=0", opts)
+            parts = _rewrite_table(
+                spark, files, sizes[name], table, target, f"{scratch}/table=0", opts
+            )
             report = _report(spark, scratch, [name], [parts])
             _require_equal(report)
-            _require_unchanged(spark, base, [name], files, f"{scratch}/files_again")
+            _require_unchanged(spark, base, [name], files)
         except Exception:
             storage.delete(target)
             raise
@@ -176,32 +180,52 @@ def _inventory(spark: SparkSession, base: str, tables: list[str] | None, path: s
 
 
 def _checked_tables(
-    storage: Storage, base: str, files: DataFrame, wanted: list[str] | None
-) -> list[str]:
-    """Names of the tables that have files, after every check that needs only the listing."""
-    loose = F.col("path") == F.concat(
-        F.lit(storage.qualified(base) + "/"), F.col("table_name")
+    storage: Storage,
+    base: str,
+    files: DataFrame,
+    wanted: list[str] | None,
+    target_bytes: int,
+) -> dict[str, int]:
+    """Tables that have files, after every check that needs only the listing.
+
+    The value is about how many files the table will have; the plan has the exact numbers.
+    """
+    root = storage.qualified(base) + "/"
+    loose = F.col("path") == F.concat(F.lit(root), F.col("table_name"))
+    outside = ~F.col("path").startswith(root)
+    found = (
+        files.groupBy("table_name")
+        .agg(
+            F.max(loose | outside).alias("bad"),
+            F.approx_count_distinct("leaf_uri").alias("leaves"),
+            F.sum("bytes").alias("bytes"),
+        )
+        .collect()
     )
-    outside = ~F.col("path").startswith(storage.qualified(base) + "/")
-    found = files.groupBy("table_name").agg(F.max(loose | outside).alias("bad")).collect()
     bad = sorted(r.table_name for r in found if r.bad)
     if bad:
         raise InventoryError(f"files that belong to no table below {base}: {bad[:5]}")
-    names = sorted(r.table_name for r in found)
-    missing = sorted(set(wanted or ()) - set(names))
-    if missing or not names:
+    tables = {r.table_name: r.leaves + r.bytes // target_bytes for r in sorted(found)}
+    missing = sorted(set(wanted or ()) - set(tables))
+    if missing or not tables:
         raise InventoryError(f"no files below {base} for {missing or 'any table'}")
-    for name in names:
+    for name in tables:
         logs = set(TRANSACTION_LOGS) & set(storage.child_dirs(f"{base}/{name}"))
         if logs:
             raise MaintenanceError(f"{name} has a transaction log ({sorted(logs)[0]})")
-    return names
+    return tables
 
 
 def _rewrite_table(
-    spark: SparkSession, files: DataFrame, source: str, target: str, scratch: str, opts: Options
+    spark: SparkSession,
+    files: DataFrame,
+    expected_files: int,
+    source: str,
+    target: str,
+    scratch: str,
+    opts: Options,
 ) -> list[str]:
-    """Write the compacted copy and the report of one table.
+    """Write the compacted copy and the report of one table, about `expected_files` files in all.
 
     Returns the partitions to swap, or [""] for the whole table directory.
     """
@@ -219,15 +243,15 @@ def _rewrite_table(
     wanted = scan if only is None else scan.where(parent(file_uri(scan)).isin(only))
     before = freeze(leaf_digest(wanted, opts.verify), f"{scratch}/before")
 
-    slices = freeze(
-        slice_plan(files, opts.target_bytes, opts.slice_files), f"{scratch}/slices"
-    )
-    totals = slices.agg(F.sum("n").alias("n")).first()
+    slices = slice_plan(files, opts.target_bytes, opts.slice_files)
+    groups = max(1, -(-expected_files // opts.job_files))
     plan = freeze(
-        job_plan(slices, before, totals.n, opts.job_files, opts.target_bytes), f"{scratch}/plan"
+        job_plan(slices, before, groups, opts.job_files, opts.target_bytes), f"{scratch}/plan"
     )
-    _write_jobs(spark, scan, plan, storage, target, opts, partial=only is not None)
-    _keep_empty(spark, scan, plan, storage, target, scratch)
+    jobs = _jobs(plan)
+    _write_jobs(scan, plan, jobs, storage, target, opts, partial=only is not None)
+    if any(job.empty for job in jobs):
+        _keep_empty(spark, scan, plan, storage, target)
 
     planned = plan.groupBy("leaf_uri", "partition").agg(
         F.sum("files").alias("files"),
@@ -281,22 +305,36 @@ def _partitions_to_do(files: DataFrame, opts: Options) -> tuple[list[str] | None
     return [r.leaf_uri for r in todo], [r.partition for r in todo]
 
 
+def _jobs(plan: DataFrame) -> list[Row]:
+    """The write jobs of a table: one row per job, so per TiB of data."""
+    signature = F.regexp_replace("partition", "=[^/]*", "")
+    whole = F.col("last_bucket") - F.col("first_bucket") == FILE_BUCKETS - 1
+    return (
+        plan.groupBy("job")
+        .agg(
+            F.max("tasks").alias("tasks"),
+            F.max(~whole).alias("sliced"),
+            F.min(signature).alias("first_signature"),
+            F.max(signature).alias("last_signature"),
+            F.min(F.col("partition").rlike(_PLAIN_PARTITION)).alias("plain"),
+            F.max(F.coalesce("rows", F.lit(0)) == 0).alias("empty"),
+        )
+        .orderBy("job")
+        .collect()
+    )
+
+
 def _write_jobs(
-    spark: SparkSession,
     scan: DataFrame,
     plan: DataFrame,
+    jobs: list[Row],
     storage: Storage,
     target: str,
     opts: Options,
     partial: bool,
 ) -> None:
     """Run the write jobs of one table, one after the other: each is as wide as a cluster can use."""
-    keys = _partition_keys(scan, plan)
-    jobs = plan.groupBy("job").agg(
-        F.max("tasks").alias("tasks"),
-        F.max(F.col("last_bucket") - F.col("first_bucket") < FILE_BUCKETS - 1).alias("sliced"),
-    )
-    jobs = jobs.orderBy("job").collect()
+    keys = _partition_keys(scan, jobs)
     for job in jobs:
         mine = plan.where(F.col("job") == job.job)
         source = scan
@@ -310,11 +348,12 @@ def _write_jobs(
         if keys is None:
             numbered = f"{target}__by_number"
             writer.partitionBy("__pw_slice").parquet(numbered)
+            written = set(storage.child_dirs(numbered))
             names = mine.select("slice_id", "partition").collect()
             storage.move_into(
                 (f"{numbered}/__pw_slice={r.slice_id}", f"{target}/{r.partition}".rstrip("/"))
                 for r in names
-                if storage.exists(f"{numbered}/__pw_slice={r.slice_id}")
+                if f"__pw_slice={r.slice_id}" in written
             )
             storage.delete(numbered)
         elif keys:
@@ -323,26 +362,21 @@ def _write_jobs(
             writer.parquet(target)
 
 
-def _partition_keys(scan: DataFrame, plan: DataFrame) -> list[str] | None:
+def _partition_keys(scan: DataFrame, jobs: list[Row]) -> list[str] | None:
     """The partition columns if every directory is `key=value` text that Spark writes back the same.
 
     [] for a table whose files lie in its own directory; None for opaque, mixed or odd names.
     """
-    signature = F.regexp_replace("partition", "=[^/]*", "")
-    seen = plan.agg(
-        F.min(signature).alias("least"),
-        F.max(signature).alias("most"),
-        F.min(F.col("partition").rlike(_PLAIN_PARTITION)).alias("plain"),
-        F.max("partition").alias("last"),
-    ).first()
-    if seen.last == "":
+    signatures = {s for job in jobs for s in (job.first_signature, job.last_signature)}
+    if signatures == {""}:
         return []
-    if not seen.plain or seen.least != seen.most or not _PLAIN_KEYS.fullmatch(seen.least):
+    signature = signatures.pop()
+    if signatures or not all(j.plain for j in jobs) or not _PLAIN_KEYS.fullmatch(signature):
         return None
-    keys = seen.least.split("/")
-    lowered = [k.lower() for k in keys]
-    columns = {c.lower() for c in scan.columns}
-    return keys if len(set(lowered)) == len(keys) and not columns & set(lowered) else None
+    keys = signature.split("/")
+    lowered = {k.lower() for k in keys}
+    clash = lowered & {c.lower() for c in scan.columns}
+    return keys if len(lowered) == len(keys) and not clash else None
 
 
 def _files_of(slices: list, scan: DataFrame) -> Column:
@@ -411,7 +445,6 @@ def _keep_empty(
     plan: DataFrame,
     storage: Storage,
     target: str,
-    scratch: str,
 ) -> None:
     """Give a partition whose files hold no row one file with the schema, as it had."""
     rows = plan.groupBy("partition").agg(F.max(F.coalesce("rows", F.lit(0))).alias("rows"))
@@ -450,15 +483,15 @@ def _require_equal(report: DataFrame) -> None:
 
 
 def _require_unchanged(
-    spark: SparkSession, base: str, tables: list[str], files: DataFrame, path: str
+    spark: SparkSession, base: str, tables: list[str], files: DataFrame
 ) -> None:
     """List again: a file that came, went or changed while the copy was made stops the swap."""
     columns = ["path", "bytes", "modified"]
-    then = files.select(*columns)
-    now = _inventory(spark, base, tables, path).select(*columns)
-    both = then.withColumn("side", F.lit(1)).unionAll(now.withColumn("side", F.lit(-1)))
-    changed = both.groupBy(*columns).agg(F.sum("side").alias("side")).where("side <> 0")
-    seen = [r.path for r in changed.limit(5).collect()]
+    with settings(spark, LISTING_SETTINGS):
+        then = files.select(*columns, F.lit(1).alias("side"))
+        now = list_files(spark, base, tables).select(*columns, F.lit(-1).alias("side"))
+        both = then.unionAll(now).groupBy(*columns).agg(F.sum("side").alias("side"))
+        seen = [r.path for r in both.where("side <> 0").limit(5).collect()]
     if seen:
         raise InventoryError(f"files changed while the copy was made: {seen}")
 

@@ -44,7 +44,7 @@ class Storage:
 
     def uri(self, path: str) -> str:
         """Scheme and path as `_metadata.file_path` shows them, names percent-encoded."""
-        return self._fs.makeQualified(self._path(path)).toUri().toString()
+        return self._path(self.qualified(path)).toUri().toString()
 
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
