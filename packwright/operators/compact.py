@@ -31,7 +31,7 @@ from packwright.operators.promote import (
     staging_path,
     swap,
 )
-from packwright.operators.verify import compare_leaves, digest_tree, leaf_digest
+from packwright.operators.verify import compare_leaves, leaf_digest, tagged, tree_facts
 from packwright.plans.compaction import (
     FILE_BUCKETS,
     JOB_FILES,
@@ -241,8 +241,7 @@ def _rewrite_table(
             files = files.where(F.col("leaf_uri").isin(only))
     scan = read_files(spark, source)
     wanted = scan if only is None else scan.where(parent(file_uri(scan)).isin(only))
-    before = freeze(leaf_digest(wanted, opts.verify), f"{scratch}/before")
-
+    before = leaf_digest(wanted, opts.verify)
     slices = slice_plan(files, opts.target_bytes, opts.slice_files)
     groups = max(1, -(-expected_files // opts.job_files))
     plan = freeze(
@@ -253,23 +252,18 @@ def _rewrite_table(
     if any(job.empty for job in jobs):
         _keep_empty(spark, scan, plan, storage, target)
 
-    planned = plan.groupBy("leaf_uri", "partition").agg(
+    old = plan.groupBy("leaf_uri").agg(
+        F.max("partition").alias("partition"),
+        F.sum("n").cast("int").alias("files_planned"),
         F.sum("files").alias("files"),
         F.sum("bytes").alias("bytes"),
-        F.sum("n").cast("int").alias("files_planned"),
+        F.max("rows").alias("rows"),
+        F.max("fingerprint").alias("fingerprint"),
     )
-    old = planned.join(before, "leaf_uri", "left").select(
-        below(F.col("leaf_uri"), root).alias("leaf"),
-        "partition",
-        "files_planned",
-        "files",
-        "bytes",
-        F.coalesce("rows", F.lit(0)).alias("rows"),
-        "fingerprint",
+    report = compare_leaves(
+        tagged("before", old, root),
+        *tree_facts(spark, "after", target, scan.schema, opts.verify),
     )
-    new = digest_tree(spark, target, scan.schema, opts.verify)
-    names = old.select("leaf", "partition", "files_planned")
-    report = compare_leaves(old, new).join(names, "leaf", "left")
     freeze(
         report.select(
             F.lit(source.rsplit("/", 1)[1]).alias("table_name"),

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packwright.errors import MaintenanceError
-from packwright.functions.columns import below, file_uri, named, parent
+from packwright.functions.columns import below, file_uri, parent
 from packwright.functions.fingerprint import combined_sum, hash_sums, row_hash
-from packwright.sources.files import list_files, partition_size
+from packwright.sources.files import list_files
 from packwright.sources.parquet import read_files
 from packwright.storage import Storage, normalise
 
@@ -33,45 +33,53 @@ def leaf_digest(scan: DataFrame, level: str = "full") -> DataFrame:
     return sums.select("leaf_uri", "rows", combined_sum().alias("fingerprint"))
 
 
-def compare_leaves(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Join two digests (leaf, files, bytes, rows, fingerprint) on the directory below each root."""
-    counts = ["files", "bytes", "rows"]
-    sides = [
-        side.select("leaf", *[F.col(c).alias(f"{c}_{tag}") for c in (*counts, "fingerprint")])
-        for side, tag in ((before, "before"), (after, "after"))
-    ]
-    joined = sides[0].join(sides[1], "leaf", "full_outer")
-    known = [
-        F.coalesce(F.col(f"{c}_{tag}"), F.lit(0)).cast("bigint").alias(f"{c}_{tag}")
-        for c in counts
-        for tag in ("before", "after")
-    ]
+def tagged(side: str, frame: DataFrame, root: str) -> DataFrame:
+    """Facts about directories below `root` as one side, `before` or `after`, of a comparison.
+
+    `frame` has leaf_uri and any of files, bytes, rows, fingerprint, partition and files_planned; a
+    directory may have several rows.
+    """
+    facts = [c for c in ("files", "bytes", "rows", "fingerprint") if c in frame.columns]
+    names = [c for c in ("partition", "files_planned") if c in frame.columns]
+    leaf = below(F.col("leaf_uri"), root).alias("leaf")
+    return frame.select(leaf, *names, *[F.col(c).alias(f"{c}_{side}") for c in facts])
+
+
+def compare_leaves(*facts: DataFrame) -> DataFrame:
+    """Put all facts together by directory: counts of both sides, and whether their rows are equal.
+
+    One grouping, of as many rows as there are directories and files.
+    """
+    together = facts[0]
+    for more in facts[1:]:
+        together = together.unionByName(more, allowMissingColumns=True)
+    sums = [f"{c}_{side}" for c in ("files", "bytes", "rows") for side in ("before", "after")]
+    texts = ["fingerprint_before", "fingerprint_after"]
+    extra = [c for c in ("partition", "files_planned") if c in together.columns]
+    grouped = together.groupBy("leaf").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in sums],
+        *[F.max(c).alias(c) for c in (*texts, *extra)],
+    )
     same = (
-        F.col("files_before").isNotNull()
-        & F.col("files_after").isNotNull()
-        & (F.coalesce("rows_before", F.lit(0)) == F.coalesce("rows_after", F.lit(0)))
+        F.col("leaf").isNotNull()
+        & (F.col("files_before") > 0)
+        & (F.col("files_after") > 0)
+        & (F.col("rows_before") == F.col("rows_after"))
         & F.col("fingerprint_before").eqNullSafe(F.col("fingerprint_after"))
     )
-    return joined.select("leaf", *known, same.alias("equal"))
+    return grouped.select("leaf", *extra, *sums, same.alias("equal"))
 
 
-def digest_tree(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, level: str = "full"
-) -> DataFrame:
-    """Files, bytes, rows and fingerprint of every directory below a table that holds files."""
-    table = normalise(path)
-    storage = Storage(spark, table)
-    parent_path, name = table.rsplit("/", 1)
+def tree_facts(
+    spark: SparkSession, side: str, path: str, schema: T.StructType | None, level: str
+) -> list[DataFrame]:
+    """Files and bytes, and rows and fingerprints, of the directories below a table."""
+    parent_path, name = path.rsplit("/", 1)
+    root = Storage(spark, path).uri(path)
     files = list_files(spark, parent_path, [name])
-    sizes = partition_size(files, ["leaf_uri"])
-    digest = leaf_digest(read_files(spark, table, schema), level)
-    return sizes.join(digest, "leaf_uri", "left").select(
-        below(F.col("leaf_uri"), storage.uri(table)).alias("leaf"),
-        F.col("n_files").alias("files"),
-        "bytes",
-        F.coalesce("rows", F.lit(0)).alias("rows"),
-        "fingerprint",
-    )
+    sizes = files.select("leaf_uri", F.lit(1).cast("bigint").alias("files"), "bytes")
+    digest = leaf_digest(read_files(spark, path, schema), level)
+    return [tagged(side, sizes, root), tagged(side, digest, root)]
 
 
 def verify_compaction(
@@ -86,15 +94,12 @@ def verify_compaction(
     other = read_files(spark, normalise(after)).schema
     if _names_and_types(schema) != _names_and_types(other):
         raise MaintenanceError(f"{before} and {after} have different columns")
-    return compare_leaves(
-        digest_tree(spark, before, schema, level), digest_tree(spark, after, schema, level)
-    ).withColumnRenamed("leaf", "partition")
+    facts = [
+        *tree_facts(spark, "before", normalise(before), schema, level),
+        *tree_facts(spark, "after", normalise(after), schema, level),
+    ]
+    return compare_leaves(*facts).withColumnRenamed("leaf", "partition")
 
 
 def _names_and_types(schema: T.StructType) -> list[tuple[str, str]]:
     return sorted((f.name, f.dataType.simpleString()) for f in schema.fields)
-
-
-def selected(df: DataFrame) -> list:
-    """All columns of a frame by exact name."""
-    return [named(c) for c in df.columns]

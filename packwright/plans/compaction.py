@@ -87,16 +87,18 @@ def slice_plan(files: DataFrame, target_bytes: int, slice_files: int = SLICE_FIL
 
 
 def job_plan(
-    slices: DataFrame, leaf_rows: DataFrame, groups: int, job_files: int, target_bytes: int
+    slices: DataFrame, digest: DataFrame, groups: int, job_files: int, target_bytes: int
 ) -> DataFrame:
     """Give every slice a write job and its place among that job's shuffle tasks.
 
+    `digest` has the rows and the fingerprint of each directory, which every slice of it gets.
+
     Slices are dealt to `groups` by hash and cut within a group by running sum, so a job never holds more
     than `job_files` files and one slice. Inside a job, a slice of n > 1 files owns tasks
     `first_task .. first_task + n - 1`; slices of one file share the tasks after those.
     """
     group = F.pmod(F.xxhash64("leaf_uri", "first_bucket"), F.lit(groups))
-    dealt = slices.join(leaf_rows, "leaf_uri", "left").withColumn("job_group", group)
+    dealt = slices.join(digest, "leaf_uri", "left").withColumn("job_group", group)
     in_group = (
         Window.partitionBy("job_group")
         .orderBy("leaf_uri", "first_bucket")
