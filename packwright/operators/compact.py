@@ -451,7 +451,8 @@ def _keep_empty(
     for partition in empty:
         place = f"{target}/{partition}".rstrip("/")
         storage.mkdirs(place)
-        storage.copy_file(f"{blank}/{name}", f"{place}/{name}")
+        if all(n.startswith(("_", ".")) for n in storage.child_files(place)):
+            storage.copy_file(f"{blank}/{name}", f"{place}/{name}")
     storage.delete(blank)
 
 

@@ -33,7 +33,7 @@ def rows_by_file(spark, path):
         folders.setdefault(os.path.dirname(name), []).append(os.path.join(path, name))
     for folder, names in folders.items():
         df = spark.read.option("mergeSchema", "true").parquet(*["file:" + _uri(n) for n in names])
-        df = df.select(sorted(df.columns))
+        df = df.select([f"`{c}`" for c in sorted(df.columns)])
         text = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("j"))
         counted.update((folder, r.j) for r in text.collect())
     return counted
