@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from packwright.errors import MaintenanceError
-from packwright.session import JOB_SETTINGS, settings
+from packwright.session import LOAD_SETTINGS, settings
 from packwright.sinks.targets import JdbcTarget, PathTarget, TableTarget, staged_rows
 from packwright.sources.formats import read_prefix
 from packwright.storage import Storage
@@ -29,7 +29,7 @@ def stage_load(
     storage = Storage(spark, staged)
     if storage.exists(staged):
         raise MaintenanceError(f"{staged} is left from an earlier run; look at it, then remove it")
-    with settings(spark, JOB_SETTINGS):
+    with settings(spark, LOAD_SETTINGS):
         try:
             rows = read_prefix(spark, root, prefix, file_format, schema, options)
             rows.write.mode("errorifexists").parquet(staged)
@@ -37,5 +37,9 @@ def stage_load(
         except Exception:
             storage.delete(staged)
             raise
-        target.replace(spark, staged)
+        try:
+            target.replace(spark, staged)
+        except Exception as failure:
+            raise MaintenanceError(f"the decoded rows are kept at {staged}") from failure
+        storage.delete(staged)
     return loaded

@@ -20,6 +20,14 @@ JOB_SETTINGS = {
     "spark.sql.maxConcurrentOutputFileWriters": "64",
 }
 
+# A load, besides, must stop at a number that does not fit its column, and replace every partition.
+LOAD_SETTINGS = {
+    **JOB_SETTINGS,
+    "spark.sql.sources.partitionOverwriteMode": "static",
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.storeAssignmentPolicy": "ANSI",
+}
+
 # A listing reads no file content, so splits are packed by core count and not by file size.
 LISTING_SETTINGS = {"spark.sql.files.maxPartitionBytes": str(1 << 50)}
 
