@@ -25,7 +25,7 @@ from packwright import workloads as w
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
 TABLES = ("events", "lineitem", "orders", "documents")
 TARGET = 1 << 20
 

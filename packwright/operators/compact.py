@@ -50,6 +50,10 @@ from packwright.storage import Storage, normalise
 # Directory names a transaction log goes by: such a table must be compacted by its own format's means.
 TRANSACTION_LOGS = ("_delta_log", ".hoodie")
 
+# The plan of a job is broadcast up to so many slices of some 300 bytes; `job_files` keeps it below, unless
+# a caller asks for wider jobs, whose plan Spark may then join in another way.
+BROADCAST_SLICES = 65536
+
 # `key=value` directories whose text Spark writes back unchanged; all others are written by number and
 # renamed.
 _PLAIN_KEYS = re.compile(r"[A-Za-z0-9_]+(/[A-Za-z0-9_]+)*")
@@ -210,9 +214,9 @@ def _checked_tables(
     if missing or not tables:
         raise InventoryError(f"no files below {base} for {missing or 'any table'}")
     for name in tables:
-        logs = set(TRANSACTION_LOGS) & set(storage.child_dirs(f"{base}/{name}"))
-        if logs:
-            raise MaintenanceError(f"{name} has a transaction log ({sorted(logs)[0]})")
+        for log in TRANSACTION_LOGS:
+            if storage.exists(f"{base}/{name}/{log}"):
+                raise MaintenanceError(f"{name} has a transaction log ({log})")
     return tables
 
 
@@ -231,24 +235,25 @@ def _rewrite_table(
     """
     storage = Storage(spark, source)
     root = storage.uri(source)
-    only: list[str] | None = None
     parts = [""]
     if opts.only_if_files_exceed_plan:
-        only, parts = _partitions_to_do(files, opts)
+        todo = freeze(_partitions_to_do(files, opts), f"{scratch}/todo")
+        parts = [r.partition for r in todo.select("partition").orderBy("partition").collect()]
         if not parts:
             return []
-        if only is not None:
-            files = files.where(F.col("leaf_uri").isin(only))
-    scan = read_files(spark, source)
-    wanted = scan if only is None else scan.where(parent(file_uri(scan)).isin(only))
-    before = leaf_digest(wanted, opts.verify)
+        if _nested(files):
+            parts = [""]
+        else:
+            files = files.join(todo.select("leaf_uri"), "leaf_uri", "left_semi")
+    scan = read_files(spark, *[f"{source}/{part}".rstrip("/") for part in parts])
+    before = leaf_digest(scan, opts.verify)
     slices = slice_plan(files, opts.target_bytes, opts.slice_files)
     groups = max(1, -(-expected_files // opts.job_files))
     plan = freeze(
         job_plan(slices, before, groups, opts.job_files, opts.target_bytes), f"{scratch}/plan"
     )
     jobs = _jobs(plan)
-    _write_jobs(scan, plan, jobs, storage, target, opts, partial=only is not None)
+    _write_jobs(scan, plan, jobs, storage, target, opts)
     if any(job.empty for job in jobs):
         _keep_empty(spark, scan, plan, storage, target)
 
@@ -282,21 +287,20 @@ def _rewrite_table(
     return parts
 
 
-def _partitions_to_do(files: DataFrame, opts: Options) -> tuple[list[str] | None, list[str]]:
-    """Directories with more files than planned: their uris (None: all), and the names to swap."""
+def _partitions_to_do(files: DataFrame, opts: Options) -> DataFrame:
+    """Directories that have more files than planned: partition, leaf_uri."""
     plan = compaction_plan(files, opts.target_bytes, ["partition", "leaf_uri"])
-    rows = plan.select("partition", "leaf_uri", (F.col("n_files") > F.col("n")).alias("todo"))
-    leaves = sorted(rows.collect())
-    todo = [r for r in leaves if r.todo]
-    names = {r.partition for r in leaves}
-    nested = any(
-        r.partition.rsplit("/", depth)[0] in names
-        for r in leaves
-        for depth in range(1, r.partition.count("/") + 1)
-    ) or ("" in names and len(names) > 1)
-    if todo and (nested or "" in names):
-        return None, [""]
-    return [r.leaf_uri for r in todo], [r.partition for r in todo]
+    return plan.where(F.col("n_files") > F.col("n")).select("partition", "leaf_uri")
+
+
+def _nested(files: DataFrame) -> bool:
+    """Whether a directory with files lies inside another one: then only the whole table can be swapped."""
+    leaves = files.select("partition").distinct()
+    above = leaves.where("partition <> ''").selectExpr(
+        "partition", "explode(sequence(0, size(split(partition, '/')) - 1)) AS levels"
+    )
+    above = above.selectExpr("substring_index(partition, '/', levels) AS partition")
+    return not above.join(leaves, "partition", "left_semi").isEmpty()
 
 
 def _jobs(plan: DataFrame) -> list[Row]:
@@ -307,6 +311,7 @@ def _jobs(plan: DataFrame) -> list[Row]:
         plan.groupBy("job")
         .agg(
             F.max("tasks").alias("tasks"),
+            F.count("*").alias("slices"),
             F.max(~whole).alias("sliced"),
             F.min(signature).alias("first_signature"),
             F.max(signature).alias("last_signature"),
@@ -325,15 +330,16 @@ def _write_jobs(
     storage: Storage,
     target: str,
     opts: Options,
-    partial: bool,
 ) -> None:
     """Run the write jobs of one table, one after the other: each is as wide as a cluster can use."""
     keys = _partition_keys(scan, jobs)
     for job in jobs:
         mine = plan.where(F.col("job") == job.job)
         source = scan
-        if partial or len(jobs) > 1:
+        if len(jobs) > 1:
             source = scan.where(_files_of(mine.collect(), scan))
+        if job.slices <= BROADCAST_SLICES:
+            mine = F.broadcast(mine)
         rows = _placed(source, mine, job.sliced, keys)
         writer = rows.repartitionById(job.tasks, F.col("__pw_task")).drop("__pw_task").write
         writer = writer.mode("append").option("maxRecordsPerFile", 0)
@@ -392,10 +398,7 @@ def _files_of(slices: list, scan: DataFrame) -> Column:
 
 
 def _placed(scan: DataFrame, plan: DataFrame, sliced: bool, keys: list[str] | None) -> DataFrame:
-    """The rows of one job with the shuffle task, and the partition, of each.
-
-    The plan of one job has at most `job_files` rows and a few, so it is broadcast at any table size.
-    """
+    """The rows of one job with the shuffle task, and the partition, of each."""
     metadata = scan.metadataColumn("_metadata")
     uri = metadata.getField("file_path")
     rows = scan.select(
@@ -428,7 +431,7 @@ def _placed(scan: DataFrame, plan: DataFrame, sliced: bool, keys: list[str] | No
         where = [F.col("__pw_slice")]
     else:
         where = [F.col(f"__pw_key{i}").alias(key) for i, key in enumerate(keys)]
-    return rows.join(F.broadcast(places), here).select(
+    return rows.join(places, here).select(
         *[named(c) for c in scan.columns], *where, task.alias("__pw_task")
     )
 

@@ -78,14 +78,27 @@ def promote(
     refresh_readers(spark, live, refresh)
 
 
-def recover(spark: SparkSession, base: str) -> bool:
-    """Put the old tree back after a swap was cut off between its two renames. True if it was needed."""
+def recover(spark: SparkSession, base: str) -> list[str]:
+    """Put back what a swap cut off between two renames has left at `<base>_old`; returns those paths.
+
+    Whatever is live is left alone: it is the old tree or the checked new one. What is then left at
+    `<base>_old` and `<base>_bkup` is for the caller to look at and remove.
+    """
     live = normalise(base)
     storage = Storage(spark, live)
-    if storage.exists(live) or not storage.exists(live + RETIRED_SUFFIX):
-        return False
-    storage.rename(live + RETIRED_SUFFIX, live)
-    return True
+    restored: list[str] = []
+
+    def restore(path: str, retired: str) -> None:
+        if not storage.exists(path):
+            storage.rename(retired, path)
+            restored.append(path)
+            return
+        for name in storage.child_dirs(retired):
+            restore(f"{path}/{name}", f"{retired}/{name}")
+
+    if storage.exists(live + RETIRED_SUFFIX):
+        restore(live, live + RETIRED_SUFFIX)
+    return restored
 
 
 def refresh_readers(spark: SparkSession, path: str, tables: Sequence[str]) -> None:

@@ -78,7 +78,7 @@ def tree_facts(
     root = Storage(spark, path).uri(path)
     files = list_files(spark, parent_path, [name])
     sizes = files.select("leaf_uri", F.lit(1).cast("bigint").alias("files"), "bytes")
-    digest = leaf_digest(read_files(spark, path, schema), level)
+    digest = leaf_digest(read_files(spark, path, schema=schema), level)
     return [tagged(side, sizes, root), tagged(side, digest, root)]
 
 

@@ -46,7 +46,11 @@ class PathTarget:
 
 @dataclass(frozen=True)
 class TableTarget:
-    """A catalog table. The checked copy is inserted over its rows, so any provider or layout will do."""
+    """A catalog table. The checked copy is inserted over its rows, so any provider or layout will do.
+
+    Rows of a partitioned table are brought together by partition first, in parts of even size however
+    the rows are spread, or every task would leave a small file in every partition.
+    """
 
     table: str
 
@@ -58,7 +62,10 @@ class TableTarget:
 
     def replace(self, spark: SparkSession, staged: str) -> None:
         rows = staged_rows(spark, self.schema_in(spark), staged)
-        rows.write.insertInto(checked_identifier(self.table), overwrite=True)
+        columns = spark.catalog.listColumns(checked_identifier(self.table))
+        keys = [c.name for c in columns if c.isPartition]
+        placed = rows.hint("rebalance", *keys) if keys else rows
+        placed.write.insertInto(self.table, overwrite=True)
         _require_count(spark.table(self.table).count(), rows.count(), self.table)
 
 

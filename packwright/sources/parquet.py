@@ -10,15 +10,17 @@ from packwright.functions.columns import below, file_uri, parent
 from packwright.storage import Storage, literal, normalise
 
 
-def read_files(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Every file below a directory, by file and without partition discovery.
+def read_files(
+    spark: SparkSession, *paths: str, schema: T.StructType | None = None
+) -> DataFrame:
+    """Every file below some directories, by file and without partition discovery.
 
     Discovery would skip opaque directories beside root files and would retype values such as `01`.
     Schemas are merged, so that a column only some files have is kept; types that do not merge raise.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     reader = reader.option("mergeSchema", "true") if schema is None else reader.schema(schema)
-    return reader.parquet(literal(path))
+    return reader.parquet(*[literal(path) for path in paths])
 
 
 def read_partition(spark: SparkSession, path: str) -> DataFrame:

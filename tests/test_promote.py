@@ -73,15 +73,23 @@ def test_a_swap_that_cannot_be_undone_deletes_nothing(spark, pair, monkeypatch):
         pw.promote(spark, pair)
     monkeypatch.undo()
     assert content(pair + "_old") == "db" and content(pair + "_bkup") == "db_bkup"
-    assert pw.recover(spark, pair) is True
+    assert pw.recover(spark, pair) == [pair]
     assert content(pair) == "db"
 
 
 def test_recover_after_a_crash_between_the_renames(spark, pair):
     os.rename(pair, pair + "_old")
-    assert pw.recover(spark, pair) is True
+    assert pw.recover(spark, pair) == [pair]
     assert content(pair) == "db"
-    assert pw.recover(spark, pair) is False
+    assert pw.recover(spark, pair) == []
+
+
+def test_recover_one_table_of_a_database(spark, pair):
+    os.makedirs(f"{pair}_old/u")
+    os.makedirs(f"{pair}/done")
+    os.makedirs(f"{pair}_old/done")
+    assert pw.recover(spark, pair) == [f"{pair}/u"]
+    assert content(pair) == "db" and os.path.isdir(f"{pair}_old/done")
 
 
 def test_only_the_leading_text_of_a_path_is_mapped():
