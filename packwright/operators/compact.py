@@ -11,6 +11,8 @@ import re
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -54,6 +56,9 @@ TRANSACTION_LOGS = ("_delta_log", ".hoodie")
 # a caller asks for wider jobs, whose plan Spark may then join in another way.
 BROADCAST_SLICES = 65536
 
+# A job names at most so many files and directories to the reader.
+NAMED_FILES = 200_000
+
 # `key=value` directories whose text Spark writes back unchanged; all others are written by number and
 # renamed.
 _PLAIN_KEYS = re.compile(r"[A-Za-z0-9_]+(/[A-Za-z0-9_]+)*")
@@ -253,7 +258,8 @@ def _rewrite_table(
         job_plan(slices, before, groups, opts.job_files, opts.target_bytes), f"{scratch}/plan"
     )
     jobs = _jobs(plan)
-    _write_jobs(scan, plan, jobs, storage, target, opts)
+    sources = _Sources(scan, files, source)
+    _write_jobs(sources, plan, jobs, storage, target, opts)
     if any(job.empty for job in jobs):
         _keep_empty(spark, scan, plan, storage, target)
 
@@ -324,7 +330,7 @@ def _jobs(plan: DataFrame) -> list[Row]:
 
 
 def _write_jobs(
-    scan: DataFrame,
+    sources: _Sources,
     plan: DataFrame,
     jobs: list[Row],
     storage: Storage,
@@ -332,12 +338,10 @@ def _write_jobs(
     opts: Options,
 ) -> None:
     """Run the write jobs of one table, one after the other: each is as wide as a cluster can use."""
-    keys = _partition_keys(scan, jobs)
+    keys = _partition_keys(sources.scan, jobs)
     for job in jobs:
         mine = plan.where(F.col("job") == job.job)
-        source = scan
-        if len(jobs) > 1:
-            source = scan.where(_files_of(mine.collect(), scan))
+        source = sources.scan if len(jobs) == 1 else sources.of_job(mine.collect())
         if job.slices <= BROADCAST_SLICES:
             mine = F.broadcast(mine)
         rows = _placed(source, mine, job.sliced, keys)
@@ -379,22 +383,49 @@ def _partition_keys(scan: DataFrame, jobs: list[Row]) -> list[str] | None:
     return keys if len(lowered) == len(keys) and not clash else None
 
 
-def _files_of(slices: list, scan: DataFrame) -> Column:
-    """A predicate on file names only, which Spark applies to its listing: other files are not read."""
-    uri = file_uri(scan)
-    leaf = parent(uri)
-    whole = [
-        r.leaf_uri for r in slices if r.first_bucket == 0 and r.last_bucket == FILE_BUCKETS - 1
-    ]
+class _Sources:
+    """What the write jobs of a table read: all of it, or the files of one job."""
+
+    def __init__(self, scan: DataFrame, files: DataFrame, path: str):
+        self.scan = scan
+        self._files = files
+        self._path = path
+        self._inside: bool | None = None
+
+    def of_job(self, slices: list[Row]) -> DataFrame:
+        """The rows of a job's slices; no other file is opened.
+
+        Read by path where a directory holds nothing but its own partition and the files of cut
+        partitions are not too many to name. Otherwise by a predicate on file names, which Spark applies
+        to its listing but also, at some cost, to every row.
+        """
+        if self._inside is None:
+            self._inside = _nested(self._files)
+        if not self._inside:
+            whole = [f"{self._path}/{r.partition}".rstrip("/") for r in slices if _whole(r)]
+            cut = [r for r in slices if not _whole(r)]
+            if cut:
+                mine = self._files.where(_in_slices(cut, F.col("leaf_uri"), F.col("uri")))
+                whole += [r.path for r in mine.select("path").limit(NAMED_FILES + 1).collect()]
+            if len(whole) <= NAMED_FILES:
+                return read_files(self.scan.sparkSession, *whole, schema=self.scan.schema)
+        uri = file_uri(self.scan)
+        return self.scan.where(_in_slices(slices, parent(uri), uri))
+
+
+def _whole(piece: Row) -> bool:
+    return piece.last_bucket - piece.first_bucket == FILE_BUCKETS - 1
+
+
+def _in_slices(slices: list[Row], leaf: Column, uri: Column) -> Column:
+    """Whether a file, by its directory and name, belongs to one of some slices."""
+    whole = [r.leaf_uri for r in slices if _whole(r)]
     terms = [leaf.isin(whole)] if whole else []
     for r in slices:
-        if r.first_bucket != 0 or r.last_bucket != FILE_BUCKETS - 1:
+        if not _whole(r):
             in_slice = file_bucket(uri).between(r.first_bucket, r.last_bucket)
             terms.append((leaf == r.leaf_uri) & in_slice)
-    predicate = terms[0]
-    for term in terms[1:]:
-        predicate = predicate | term
-    return predicate
+    return reduce(or_, terms)
 
 
 def _placed(scan: DataFrame, plan: DataFrame, sliced: bool, keys: list[str] | None) -> DataFrame:

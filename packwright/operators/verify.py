@@ -24,13 +24,20 @@ def leaf_digest(scan: DataFrame, level: str = "full") -> DataFrame:
     """
     if level not in LEVELS:
         raise MaintenanceError(f"verify must be one of {LEVELS}: {level!r}")
-    leaf = parent(file_uri(scan)).alias("leaf_uri")
+    uri = file_uri(scan).alias("uri")
     if level == "rows":
-        counted = scan.select(leaf).groupBy("leaf_uri").agg(F.count("*").alias("rows"))
-        return counted.withColumn("fingerprint", F.lit("").cast("string"))
-    hashed = scan.select(leaf, row_hash(scan.schema).alias("row_hash"))
-    sums = hashed.groupBy("leaf_uri").agg(F.count("*").alias("rows"), *hash_sums("row_hash"))
-    return sums.select("leaf_uri", "rows", combined_sum().alias("fingerprint"))
+        files = scan.select(uri).groupBy("uri").agg(F.count("*").alias("rows"))
+        return _by_leaf(files).withColumn("fingerprint", F.lit(""))
+    hashed = scan.select(uri, row_hash(scan.schema).alias("row_hash"))
+    files = hashed.groupBy("uri").agg(F.count("*").alias("rows"), *hash_sums("row_hash"))
+    return _by_leaf(files).select("leaf_uri", "rows", combined_sum().alias("fingerprint"))
+
+
+def _by_leaf(files: DataFrame) -> DataFrame:
+    """Sums per file to sums per directory: the directory is cut out once per file, not once per row."""
+    facts = [c for c in files.columns if c != "uri"]
+    leaf = parent(F.col("uri")).alias("leaf_uri")
+    return files.groupBy(leaf).agg(*[F.sum(c).alias(c) for c in facts])
 
 
 def tagged(side: str, frame: DataFrame, root: str) -> DataFrame:

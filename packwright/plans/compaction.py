@@ -51,7 +51,8 @@ def slice_plan(files: DataFrame, target_bytes: int, slice_files: int = SLICE_FIL
     """The plan by slice: a whole partition, or a range of file buckets of a very large one.
 
     Bytes are first summed per partition and bucket, so a partition with most of a table's files is
-    spread over up to 1024 groups. A slice gets its share of the partition's files, at least one.
+    spread over up to 1024 groups. A slice gets one of the partition's files, and of the spare ones its
+    share by bytes, so that they add up.
     """
     leaf = ["partition", "leaf_uri"]
     buckets = (
@@ -70,19 +71,22 @@ def slice_plan(files: DataFrame, target_bytes: int, slice_files: int = SLICE_FIL
         .agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
     )
     so_far = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.ceil(F.col("bytes_so_far") / F.lit(target_bytes))
-    start = F.ceil((F.col("bytes_so_far") - F.col("bytes")) / F.lit(target_bytes))
-    share = F.greatest(F.lit(1), end - start).cast("int")
-    first = "cast(ceil(slice * {b} / slices) as int)"
-    last = "cast(ceil((slice + 1) * {b} / slices) as int) - 1"
-    return cut.withColumn("bytes_so_far", F.sum("bytes").over(so_far)).select(
-        *leaf,
-        F.expr(first.format(b=FILE_BUCKETS)).alias("first_bucket"),
-        F.expr(last.format(b=FILE_BUCKETS)).alias("last_bucket"),
-        "files",
-        "bytes",
-        "leaf_bytes",
-        F.when(F.col("slices") > 1, share).otherwise(F.col("leaf_files")).alias("n"),
+    spare = "cast(({bytes}) as decimal(20,0)) * (leaf_files - parts) div greatest(leaf_bytes, 1)"
+    upto, before = spare.format(bytes="bytes_so_far"), spare.format(bytes="bytes_so_far - bytes")
+    first = f"cast(ceil(slice * {FILE_BUCKETS} / slices) as int)"
+    last = f"cast(ceil((slice + 1) * {FILE_BUCKETS} / slices) as int) - 1"
+    return (
+        cut.withColumn("bytes_so_far", F.sum("bytes").over(so_far))
+        .withColumn("parts", F.count("*").over(whole))
+        .select(
+            *leaf,
+            F.expr(first).alias("first_bucket"),
+            F.expr(last).alias("last_bucket"),
+            "files",
+            "bytes",
+            "leaf_bytes",
+            F.expr(f"cast(1 + ({upto}) - ({before}) as int)").alias("n"),
+        )
     )
 
 

@@ -366,17 +366,21 @@ def test_a_job_is_one_shuffle_and_a_small_broadcast(spark, place, capsys):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "Python" not in text
 
 
-def test_a_job_reads_its_own_files_only(spark, place):
-    rows = events(spark).withColumn("dt", F.to_date("ts"))
-    rows.repartition(4).write.partitionBy("dt").parquet(f"{place}/t")
-    scan, plan = _job(spark, f"{place}/t", 8192, job_files=8, slice_files=2, groups=4)
+@pytest.mark.parametrize("named", [200_000, 0])
+def test_a_job_reads_its_own_files_only(spark, place, monkeypatch, named):
+    monkeypatch.setattr(compact, "NAMED_FILES", named)
+    hot = F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.to_date("ts").cast("string"))
+    events(spark).withColumn("k", hot).repartition(4).write.partitionBy("k").parquet(f"{place}/t")
+    scan, plan = _job(spark, f"{place}/t", 4096, job_files=8, slice_files=1, groups=4)
+    sources = compact._Sources(scan, pw.list_files(spark, place, ["t"]), f"{place}/t")
     rows = plan.collect()
+    assert any(not compact._whole(r) for r in rows)
     seen = 0
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(4 << 20))  # one file per task
     try:
         whole = scan.rdd.getNumPartitions()
         for job in {r.job for r in rows}:
-            part = scan.where(compact._files_of([r for r in rows if r.job == job], scan))
+            part = sources.of_job([r for r in rows if r.job == job])
             seen += part.count()
             assert 0 < part.rdd.getNumPartitions() < whole / 2
     finally:
@@ -384,6 +388,14 @@ def test_a_job_reads_its_own_files_only(spark, place):
     assert seen == 1000
 
 
+def test_many_jobs_of_a_mixed_table(spark, place):
+    base = f"{place}/db"
+    for name in ("t", "t/k=1", "t/k=1/deep", "t/x y"):
+        write_rows(spark, events(spark).limit(300), f"{base}/{name}", 5)
+    report = checked(spark, base, target_bytes=4096, job_files=6, slice_files=2)
+    assert len(report) == 4
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_random_databases(spark, place, seed):
     rng = random.Random(seed)

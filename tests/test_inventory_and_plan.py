@@ -80,6 +80,14 @@ def test_a_large_partition_is_cut_and_all_files_have_one_place(spark):
     assert len(others) == 40 and all(r.n == 1 for r in others)
 
 
+@pytest.mark.parametrize("sizes", [[1] * 30 + [5000], [5000] + [1] * 30, [37] * 100, [0, 0, 901]])
+def test_files_of_a_cut_partition_add_up(spark, sizes):
+    listing = _listing(spark, [("p", size) for size in sizes])
+    plan = slice_plan(listing, 100, 3).collect()
+    assert sum(r.n for r in plan) == -(-sum(sizes) // 100)
+    assert min(r.n for r in plan) >= 1 and sum(r.files for r in plan) == len(sizes)
+
+
 def test_jobs_are_bounded_and_tasks_do_not_overlap(spark):
     sizes = [("hot", 100)] * 600 + [(f"p{i}", 1 + i % 300) for i in range(200)]
     plan = _planned(spark, sizes, target=100, slice_files=64, job_files=128, groups=6)
