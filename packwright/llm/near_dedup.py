@@ -9,7 +9,8 @@ their full shingle sets; only these are links.
 Scale. A bucket's pairs are never all written out. First every member meets its bucket's smallest and largest
 class, which is linear; components of the confirmed links follow. Only buckets that still hold several
 components go on: their members are cut into blocks, two blocks meet in one call of numpy, and pairs inside
-one component are skipped. So no link between components is lost, and a group of n near copies costs n pairs.
+one component are skipped. Blocks carry the full sets, so survivors are confirmed where they meet and only links
+that join two components leave a task. So no link between components is lost, and no pair is a row.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from packwright.llm.common import (
     WordHashes, mixed, slices, texts_of, window_hashes, with_columns, written,
 )
 from packwright.llm.components import components
+from packwright.session import settings
 
 #: 32 bands of 4 hashes: a pair at 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
@@ -114,17 +116,36 @@ def with_classes(docs: DataFrame, text: str, size: int, signed: bool = True) ->
     return docs.mapInArrow(run, f"{fields}, {more}")
 
 
+def _texts(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(_class, t): the text of one document of each wanted class."""
+    texts = with_classes(docs.select(F.col(text).cast("string").alias("t")), "t", 0, signed=False)
+    wanted = texts.join(nodes, "_class", "left_semi")
+    return written(wanted.groupBy("_class").agg(F.first("t").alias("t")), "texts")
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): sorted distinct shingle hashes of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches, "t", 4 << 20):
+            sets = [np.sort(shingle_set(v.lower().split(), size, hashes).view(np.int64)) for v in texts_of(batch.column("t"))]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = pa.array(np.concatenate(sets or [np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_class"), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "shingles"]
+            )
+
+    return texts.mapInArrow(run, "node binary, shingles array<long>")
+
+
 def exact_links(pairs: DataFrame, docs: DataFrame, text: str, size: int, threshold: float) -> DataFrame:
     """Pairs (a, b) of classes whose full shingle sets reach the threshold.
 
     Texts come from one document of each class. A class in very many pairs is a hot key of the joins with
     the texts; adaptive execution splits it, since the other side has one row for it.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct()
-    texts = with_classes(docs.select(F.col(text).cast("string").alias("t")), "t", size, signed=False)
-    texts = written(
-        texts.join(nodes, "_class", "left_semi").groupBy("_class").agg(F.first("t").alias("t")), "texts"
-    )
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct(), docs, text)
     ta = texts.select(F.col("_class").alias("a"), F.col("t").alias("ta"))
     tb = texts.select(F.col("_class").alias("b"), F.col("t").alias("tb"))
     # Whole-number arithmetic, so that a similarity of just the threshold is never lost to rounding.
@@ -178,12 +199,10 @@ def near_duplicates(
         _star_pairs(members, classes, threshold, miss), rows, "_text", shingle_words, threshold
     )
     labels = components(linked, written)
-    rest = _rest_pairs(members, classes, labels, threshold, miss)
-    more = written(exact_links(rest, rows, "_text", shingle_words, threshold), "rest")
+    more = _rest_links(members, classes, labels, rows, shingle_words, threshold, miss)
     if not more.isEmpty():
-        labels = components(
-            more.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))), written
-        )
+        known = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        labels = components(more.union(known), written)
     answers = _answers(classes, labels)
     packed = docs.select(
         F.struct("*").alias("row"), F.col(id_column).alias("_id"),
@@ -208,9 +227,9 @@ def near_duplicate_ids(
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(bucket, node) of buckets with several classes."""
+    """(node, band, bucket) of buckets with several classes."""
     band = lambda i: F.xxhash64(F.substring("sig", i * ROWS * 2 + 1, ROWS * 2), F.lit(i))
-    banded = classes.select("node", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("bucket"))
+    banded = classes.select("node", F.posexplode(F.array(*[band(i) for i in range(BANDS)])).alias("band", "bucket"))
     shared = banded.groupBy("bucket").count().where("count > 1").select("bucket")
     return written(banded.join(shared, "bucket", "left_semi"), "members")
 
@@ -248,12 +267,13 @@ def _star_pairs(members: DataFrame, classes: DataFrame, threshold: float, miss:
     return written(_signed_pairs(pairs, classes, threshold, miss), "pairs")
 
 
-def _rest_pairs(
-    members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float, miss: float
+def _rest_links(
+    members: DataFrame, classes: DataFrame, labels: DataFrame, rows: DataFrame, size: int, threshold: float, miss: float
 ) -> DataFrame:
-    """Pairs of a bucket that lie in different components and survive the sequential test."""
+    """Links between different components: every pair that survives the sequential test is confirmed, in its
+    first common bucket, unless links found in the same task already join its components."""
     at = members.join(labels, "node", "left").select(
-        "bucket", "node", F.coalesce("comp", "node").alias("comp")
+        "bucket", "band", "node", F.coalesce("comp", "node").alias("comp")
     )
     open_ = at.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
     at = written(at.join(open_.select("bucket"), "bucket", "left_semi"), "open")
@@ -261,47 +281,74 @@ def _rest_pairs(
     small = sizes.where(F.col("c") < LARGE).groupBy("bucket").agg(F.sum("c").alias("all_small"))
     # A large component has blocks of its own; the members of small ones share blocks, whole components each.
     placed = at.join(sizes, ["bucket", "comp"]).join(small, "bucket", "left").select(
-        "bucket", "node", "comp",
+        "bucket", "band", "node", "comp",
         F.when(F.col("c") >= LARGE, F.col("comp")).alias("own"),
         F.when(
             F.col("c") >= LARGE, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK))
         ).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("all_small") / BLOCK))).alias("part"),
     )
-    signed = placed.join(classes.select("node", "n", "sig"), "node")
+    sets = _sets(_texts(at.select(F.col("node").alias("_class")).distinct(), rows, "_text"), size)
+    signed = placed.join(classes.select("node", "n", "sig").join(sets, "node"), "node")
     blocks = written(
         signed.groupBy("bucket", "own", "part").agg(
-            F.collect_list(F.struct("node", "comp", "n", "sig")).alias("members")
+            F.min("band").alias("band"), F.collect_list(F.struct("node", "comp", "n", "sig", "shingles")).alias("members")
         ).withColumn("block", F.struct(F.coalesce("own", F.lit(b"")).alias("own"), "part")),
         "blocks",
     )
-    left = blocks.select("bucket", "own", F.col("block").alias("x"), F.col("members").alias("left"))
+    left = blocks.select("bucket", "band", "own", F.col("block").alias("x"), F.col("members").alias("left"))
     right = blocks.select("bucket", F.col("own").alias("own2"), F.col("block").alias("y"), F.col("members").alias("right"))
-    met = left.join(right, "bucket").where("x <= y and not coalesce(own = own2, false)").select("left", "right")
+    met = left.join(right, "bucket").where("x <= y and not coalesce(own = own2, false)").select("band", "left", "right")
     t, least = round(threshold * 10_000), least_agreement(threshold, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                xs, ys = x.values, y.values
-                nodes = [v.field("node").to_pylist() for v in (xs, ys)]
-                _, comp = np.unique(
-                    np.array([c.hex() for v in (xs, ys) for c in v.field("comp").to_pylist()]),
-                    return_inverse=True,
-                )
-                n = [v.field("n").to_numpy() for v in (xs, ys)]
-                i, j = np.nonzero(
-                    (comp[: len(xs), None] != comp[None, len(xs) :])
-                    & (np.minimum(n[0][:, None], n[1]) * 10_000 >= np.maximum(n[0][:, None], n[1]) * t)
-                )
-                sx, sy = (_signatures(v.field("sig").to_pylist()) for v in (xs, ys))
-                ok = may_link(sx[i], sy[j], least)
-                pairs = {tuple(sorted((nodes[0][p], nodes[1][q]))) for p, q in zip(i[ok], j[ok], strict=True)}
-                a, b = ([p[k] for p in pairs] for k in (0, 1))
+            for band, x, y in zip(batch.column("band").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
+                links = _meet(band, x.values, y.values, t, least)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]
+                    [pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], names=["a", "b"]
                 )
 
-    return written(met.mapInArrow(run, "a binary, b binary").distinct(), "survivors")
+    # A pair of blocks is large, so few of them travel together.
+    with settings(members.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "8"}):
+        return written(met.mapInArrow(run, "a binary, b binary"), "rest")
+
+
+def _meet(band: int, xs: pa.Array, ys: pa.Array, t: int, least: tuple[int, ...]) -> list[tuple[bytes, bytes]]:
+    """Links that join components, for two blocks of members that share the bucket of a band."""
+    nodes, comps = ([v.field(c).to_pylist() for v in (xs, ys)] for c in ("node", "comp"))
+    number = {c: i for i, c in enumerate(dict.fromkeys(comps[0] + comps[1]))}
+    cx, cy = (np.array([number[c] for c in v]) for v in comps)
+    n = [v.field("n").to_numpy() for v in (xs, ys)]
+    i, j = np.nonzero(
+        (cx[:, None] != cy[None, :])
+        & (np.minimum(n[0][:, None], n[1]) * 10_000 >= np.maximum(n[0][:, None], n[1]) * t)
+    )
+    sx, sy = (_signatures(v.field("sig").to_pylist()) for v in (xs, ys))
+    ok = may_link(sx[i], sy[j], least)
+    i, j = i[ok], j[ok]
+    same = sx[i] == sy[j]
+    # The first band in which all hashes agree is the one that sees to the pair; likely links come first.
+    first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+    order = np.argsort(-same[first].sum(axis=1), kind="stable")
+    i, j = i[first][order], j[first][order]
+    sets = [[v.field("shingles")[k].values.to_numpy() for k in range(len(v))] if len(i) else [] for v in (xs, ys)]
+    root, links = list(range(len(number))), []
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        c, d = find(cx[p]), find(cy[q])
+        if c != d:
+            small, large = sorted((sets[0][p], sets[1][q]), key=len)
+            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+            both = int((large[at] == small).sum())
+            if 10_000 * both >= t * (len(small) + len(large) - both):
+                root[max(c, d)] = min(c, d)
+                links.append(tuple(sorted((nodes[0][p], nodes[1][q]))))
+    return links
 
 
 def _answers(classes: DataFrame, labels: DataFrame) -> DataFrame:
