@@ -109,7 +109,7 @@ def mix(
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col(f"_{n}"))
     out = sized.join(F.broadcast(chances) if few else chances, same, "left")
-    return out.select("row", *names, "n_tokens", "probability", (F.col("draw") < F.col("probability")).alias("kept"))
+    return out.select("row", *names, "n_tokens", "probability", ((F.col("draw") < F.col("probability")) & (F.col("n_tokens") > 0)).alias("kept"))
 
 
 def mix_sql(budget: float = BUDGET, sweeps: int = SWEEPS, seed: str = SEED) -> str:
@@ -144,6 +144,6 @@ def mix_sql(budget: float = BUDGET, sweeps: int = SWEEPS, seed: str = SEED) -> s
     return f"""WITH {', '.join(steps)}
         SELECT doc_id, s.source, s.lang, s.topic, n_tokens,
             round(CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END, 6) AS probability,
-            draw < CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS kept
+            n_tokens > 0 AND draw < CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS kept
         FROM sized s JOIN {last} c ON s.source IS NOT DISTINCT FROM c.source
             AND s.lang IS NOT DISTINCT FROM c.lang AND s.topic IS NOT DISTINCT FROM c.topic"""
