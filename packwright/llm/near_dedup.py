@@ -287,35 +287,56 @@ def _rest_links(
             F.col("c") >= LARGE, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK))
         ).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("all_small") / BLOCK))).alias("part"),
     )
-    sets = _sets(_texts(at.select(F.col("node").alias("_class")).distinct(), rows, "_text"), size)
-    signed = placed.join(classes.select("node", "n", "sig").join(sets, "node"), "node")
-    blocks = written(
-        signed.groupBy("bucket", "own", "part").agg(
-            F.min("band").alias("band"), F.collect_list(F.struct("node", "comp", "n", "sig", "shingles")).alias("members")
-        ).withColumn("block", F.struct(F.coalesce("own", F.lit(b"")).alias("own"), "part")),
-        "blocks",
-    )
-    left = blocks.select("bucket", "band", "own", F.col("block").alias("x"), F.col("members").alias("left"))
-    right = blocks.select("bucket", F.col("own").alias("own2"), F.col("block").alias("y"), F.col("members").alias("right"))
-    met = left.join(right, "bucket").where("x <= y and not coalesce(own = own2, false)").select("band", "left", "right")
+    signed = placed.join(classes.select("node", "n", "sig"), "node")
     t, least = round(threshold * 10_000), least_agreement(threshold, miss)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for band, x, y in zip(batch.column("band").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
-                links = _meet(band, x.values, y.values, t, least)
+            for band, bucket, x, y in zip(*(batch.column(c) for c in ("band", "bucket", "left", "right")), strict=True):
+                i, j = _survivors(band.as_py(), x.values, y.values, t, least)
+                found = [x.values.field("node").take(pa.array(np.unique(i))), y.values.field("node").take(pa.array(np.unique(j)))]
+                nodes = pa.concat_arrays(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket.as_py()] * len(nodes), pa.int64()), nodes], names=["bucket", "node"]
+                )
+
+    # Full sets go only to the buckets that see to a pair of theirs. Pairs of blocks are large, so few travel
+    # together.
+    met = _met(signed, ["node", "comp", "n", "sig"])
+    with settings(members.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
+        needed = written(met.mapInArrow(active, "bucket long, node binary").distinct(), "active")
+    sets = _sets(_texts(needed.select(F.col("node").alias("_class")).distinct(), rows, "_text"), size)
+    full = signed.join(needed, ["bucket", "node"], "left_semi").join(sets, "node")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, x, y in zip(*(batch.column(c) for c in ("band", "left", "right")), strict=True):
+                links = _meet(band.as_py(), x.values, y.values, t, least)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], names=["a", "b"]
                 )
 
-    # A pair of blocks is large, so few of them travel together.
     with settings(members.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "8"}):
-        return written(met.mapInArrow(run, "a binary, b binary"), "rest")
+        return written(
+            _met(full, ["node", "comp", "n", "sig", "shingles"]).mapInArrow(confirm, "a binary, b binary"), "rest"
+        )
 
 
-def _meet(band: int, xs: pa.Array, ys: pa.Array, t: int, least: tuple[int, ...]) -> list[tuple[bytes, bytes]]:
-    """Links that join components, for two blocks of members that share the bucket of a band."""
-    nodes, comps = ([v.field(c).to_pylist() for v in (xs, ys)] for c in ("node", "comp"))
+def _met(signed: DataFrame, columns: list[str]) -> DataFrame:
+    """(band, bucket, left, right): blocks of one bucket, each pair once, but for two of one large component."""
+    blocks = signed.groupBy("bucket", "own", "part").agg(
+        F.min("band").alias("band"), F.collect_list(F.struct(*columns)).alias("members")
+    ).withColumn("block", F.struct(F.coalesce("own", F.lit(b"")).alias("own"), "part"))
+    left = blocks.select("bucket", "band", "own", F.col("block").alias("x"), F.col("members").alias("left"))
+    right = blocks.select("bucket", F.col("own").alias("own2"), F.col("block").alias("y"), F.col("members").alias("right"))
+    met = left.join(right, "bucket").where("x <= y and not coalesce(own = own2, false)")
+    return met.select("band", "bucket", "left", "right")
+
+
+def _survivors(band: int, xs: pa.Array, ys: pa.Array, t: int, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of two blocks in different components that pass sizes and signatures and have this band as
+    the first in which all hashes agree; those that agree best come first."""
+    comps = [v.field("comp").to_pylist() for v in (xs, ys)]
     number = {c: i for i, c in enumerate(dict.fromkeys(comps[0] + comps[1]))}
     cx, cy = (np.array([number[c] for c in v]) for v in comps)
     n = [v.field("n").to_numpy() for v in (xs, ys)]
@@ -327,10 +348,17 @@ def _meet(band: int, xs: pa.Array, ys: pa.Array, t: int, least: tuple[int, ...])
     ok = may_link(sx[i], sy[j], least)
     i, j = i[ok], j[ok]
     same = sx[i] == sy[j]
-    # The first band in which all hashes agree is the one that sees to the pair; likely links come first.
     first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
     order = np.argsort(-same[first].sum(axis=1), kind="stable")
-    i, j = i[first][order], j[first][order]
+    return i[first][order], j[first][order]
+
+
+def _meet(band: int, xs: pa.Array, ys: pa.Array, t: int, least: tuple[int, ...]) -> list[tuple[bytes, bytes]]:
+    """Links that join components, for two blocks of members that share the bucket of a band."""
+    i, j = _survivors(band, xs, ys, t, least)
+    nodes, comps = ([v.field(c).to_pylist() for v in (xs, ys)] for c in ("node", "comp"))
+    number = {c: i for i, c in enumerate(dict.fromkeys(comps[0] + comps[1]))}
+    cx, cy = ([number[c] for c in v] for v in comps)
     sets = [[v.field("shingles")[k].values.to_numpy() for k in range(len(v))] if len(i) else [] for v in (xs, ys)]
     root, links = list(range(len(number))), []
 
