@@ -50,10 +50,9 @@ from packwright.sources.parquet import read_files
 from packwright.storage import Storage, normalise
 
 # Directory names a transaction log goes by: such a table must be compacted by its own format's means.
-TRANSACTION_LOGS = ("_delta_log", ".hoodie")
+TRANSACTION_LOGS = ("_delta_log", ".hoodie", "_spark_metadata")
 
-# The plan of a job is broadcast up to so many slices of some 300 bytes; `job_files` keeps it below, unless
-# a caller asks for wider jobs, whose plan Spark may then join in another way.
+# The plan of a job is broadcast: at most so many slices of some 300 bytes, since `job_files` may not be more.
 BROADCAST_SLICES = 65536
 
 # A job names at most so many files and directories to the reader.
@@ -79,6 +78,8 @@ class Options:
     def __post_init__(self):
         if min(self.target_bytes, self.job_files, self.slice_files) < 1:
             raise MaintenanceError("target_bytes, job_files and slice_files must be positive")
+        if self.job_files > BROADCAST_SLICES:
+            raise MaintenanceError(f"job_files must be at most {BROADCAST_SLICES}")
 
 
 def compact_database(
@@ -342,9 +343,7 @@ def _write_jobs(
     for job in jobs:
         mine = plan.where(F.col("job") == job.job)
         source = sources.scan if len(jobs) == 1 else sources.of_job(mine.collect())
-        if job.slices <= BROADCAST_SLICES:
-            mine = F.broadcast(mine)
-        rows = _placed(source, mine, job.sliced, keys)
+        rows = _placed(source, F.broadcast(mine), job.sliced, keys)
         writer = rows.repartitionById(job.tasks, F.col("__pw_task")).drop("__pw_task").write
         writer = writer.mode("append").option("maxRecordsPerFile", 0)
         if opts.codec:

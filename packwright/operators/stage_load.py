@@ -27,6 +27,8 @@ def stage_load(
     schema = target.schema_in(spark)
     staged = target.staging(spark)
     storage = Storage(spark, staged)
+    if storage.qualified(staged).startswith(f"{Storage(spark, root).qualified(root).rstrip('/')}/{prefix}"):
+        raise MaintenanceError(f"{root}/{prefix}* covers the target's own files at {staged}")
     if storage.exists(staged):
         raise MaintenanceError(f"{staged} is left from an earlier run; look at it, then remove it")
     with settings(spark, LOAD_SETTINGS):

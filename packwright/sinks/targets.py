@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,10 +66,23 @@ class TableTarget:
         columns = spark.catalog.listColumns(checked_identifier(self.table))
         keys = [c.name for c in columns if c.isPartition]
         placed = rows.hint("rebalance", *keys) if keys else rows
+        self._rehearse(spark, rows, staged)
         placed.write.insertInto(self.table, overwrite=True)
         _require_count(spark.table(self.table).count(), rows.count(), self.table)
 
 
+    def _rehearse(self, spark: SparkSession, rows: DataFrame, staged: str) -> None:
+        """Insert into an empty table of the same definition first: what the store refuses (a text too long for
+        its column, say) must show before the old rows go."""
+        name, place = f"rehearsal_{uuid.uuid4().hex}", f"{staged}_rehearsal"
+        spark.sql(f"CREATE TABLE {name} LIKE {self.table} USING parquet LOCATION '{place}'")
+        try:
+            rows.write.insertInto(name)
+        finally:
+            spark.sql(f"DROP TABLE {name}")
+            Storage(spark, place).delete(place)
+
+
 @dataclass(frozen=True)
 class JdbcTarget:
     """A table of a database. It is truncated, not dropped, so its definition stays.

@@ -25,7 +25,10 @@ FORMATS = {
 }
 TEXT_FORMATS = ("csv", "delimited", "json")
 
-# Timestamps without zone in text keep their microseconds.
+# Options that would leave files out of a load.
+_SKIPPING = {"ignorecorruptfiles", "ignoremissingfiles", "pathglobfilter", "modifiedbefore", "modifiedafter"}
+
+# Timestamps without zone in JSON keep their microseconds; CSV's own reader takes a `T` and a blank.
 _MICROS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
 
 
@@ -41,15 +44,18 @@ def read_prefix(
 
     Text is decoded with the schema, and a record that does not fit it stops the load. Parquet, ORC and
     Avro columns are taken by position and must be storable in the target's types; JSON goes by name.
-    `options` go to the reader and may carry access settings (`fs.s3a.*`).
+    `options` go to the reader and may carry access settings (`fs.s3a.*`); those that skip files are refused.
     """
     if file_format not in FORMATS:
         raise MaintenanceError(f"format must be one of {sorted(FORMATS)}: {file_format!r}")
+    refused = sorted(o for o in options or {} if o.lower() in _SKIPPING)
+    if refused:
+        raise MaintenanceError(f"a load reads every file under its prefix; not allowed: {refused}")
     source, defaults = FORMATS[file_format]
     open_schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
     reader = spark.read.format(source).options(**defaults)
     if file_format in TEXT_FORMATS:
-        reader = reader.options(**_MICROS).schema(open_schema)
+        reader = reader.options(**(_MICROS if source == "json" else {})).schema(open_schema)
     reader = reader.options(**(options or {}))
     if file_format in TEXT_FORMATS:
         reader = reader.option("mode", "FAILFAST")

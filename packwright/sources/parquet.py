@@ -16,9 +16,11 @@ def read_files(
     """Every file below some directories, by file and without partition discovery.
 
     Discovery would skip opaque directories beside root files and would retype values such as `01`.
-    Schemas are merged, so that a column only some files have is kept; types that do not merge raise.
+    Schemas are merged, so that a column only some files have is kept; types that do not merge raise. A
+    corrupt or missing file stops the scan whatever the session says, also where it runs later.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
+    reader = reader.option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false")
     reader = reader.option("mergeSchema", "true") if schema is None else reader.schema(schema)
     return reader.parquet(*[literal(path) for path in paths])
 

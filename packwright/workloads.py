@@ -12,15 +12,16 @@ from packwright.operators.compact import compact_database, compact_partition, co
 from packwright.operators.promote import promote
 from packwright.operators.stage_load import stage_load
 from packwright.operators.verify import verify_compaction
-from packwright.plans.compaction import TARGET_BYTES, compaction_plan
+from packwright.plans.compaction import compaction_plan
 from packwright.session import scratch_dir
 from packwright.sinks.targets import PathTarget, TableTarget
 from packwright.sources import files as inventory
 from packwright.sources.parquet import read_table
 from packwright.storage import Storage
 
-# The plan query's target: small, so that the plan of small tables is not all ones.
+# The plan query's target: small, so that the plan of small tables is not all ones. The others' is fixed, too.
 PLAN_TARGET = 65536
+QUERY_TARGET = 1 << 20
 
 DAY = "dt"
 LINE_KEYS = ("l_returnflag", "l_linestatus")
@@ -41,11 +42,6 @@ def pieces(size: int) -> int:
     return max(16, -(-size // (32 << 20)))
 
 
-def target_for(size: int) -> int:
-    """128 MiB files, or smaller ones for a table too small to fill some of them."""
-    return min(TARGET_BYTES, max(PLAN_TARGET, size // 64))
-
-
 def scatter(spark: SparkSession, sf_dir: str, table: str, out: str) -> int:
     """Write a given table as many small files: events by day, lineitem by two keys, others flat."""
     size = given_bytes(spark, sf_dir, table)
@@ -57,7 +53,7 @@ def scatter(spark: SparkSession, sf_dir: str, table: str, out: str) -> int:
         keys = LINE_KEYS
     writer = rows.repartition(pieces(size)).write
     (writer.partitionBy(*keys) if keys else writer).parquet(out)
-    return target_for(size)
+    return QUERY_TARGET
 
 
 def list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

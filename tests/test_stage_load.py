@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import pytest
 from conftest import SMALL
@@ -10,6 +11,8 @@ from pyspark.sql import types as T
 
 import packwright as pw
 from packwright.errors import MaintenanceError
+from packwright.operators.stage_load import stage_load
+from packwright.sinks.targets import PathTarget, TableTarget
 from packwright.sources.formats import checked_identifier
 from packwright.workloads import export
 
@@ -231,3 +234,39 @@ def test_database_settings_are_handed_on_and_not_shown():
 
     got = target._writer(Rows()).seen
     assert got["mode"] == "overwrite" and got["truncate"] == "true" and got["numPartitions"] == 3
+
+
+def test_too_long_text_leaves_the_table(spark, place):
+    name = f"short_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (k BIGINT, v VARCHAR(3)) USING parquet LOCATION '{place}/t'")
+    spark.sql(f"INSERT INTO {name} VALUES (1, 'abc')")
+    before = snapshot(f"{place}/t")
+    spark.sql("SELECT 2L AS k, 'too long' AS v").write.json(f"{place}/source/rows")
+    with pytest.raises(MaintenanceError):
+        stage_load(spark, f"{place}/source", "rows", "json", TableTarget(name))
+    assert snapshot(f"{place}/t") == before
+    spark.sql("SELECT 2L AS k, 'fit' AS v").write.mode("overwrite").json(f"{place}/source/rows")
+    assert stage_load(spark, f"{place}/source", "rows", "json", TableTarget(name)) == 1
+    assert [tuple(r) for r in spark.table(name).collect()] == [(2, "fit")]
+
+
+def test_options_and_prefixes_that_would_lose_or_mix_rows(spark, place):
+    rows = spark.range(5).toDF("id")
+    rows.write.parquet(f"{place}/orders_2024")
+    rows.write.parquet(f"{place}/orders_stage")
+    before = snapshot(f"{place}/orders_stage")
+    target = PathTarget(f"{place}/orders_stage", rows.schema)
+    with pytest.raises(MaintenanceError, match="covers"):
+        stage_load(spark, place, "orders_", "parquet", target)
+    with pytest.raises(MaintenanceError, match="not allowed"):
+        stage_load(spark, place, "orders_2024", "parquet", target, {"ignoreCorruptFiles": "true"})
+    assert snapshot(f"{place}/orders_stage") == before
+
+
+def test_timestamps_with_a_blank(spark, place):
+    spark.sql("SELECT '2024-01-01 10:00:00.123456' AS t").write.text(f"{place}/source/a")
+    spark.sql("SELECT '2024-01-01T10:00:00.123456' AS t").write.text(f"{place}/source/b")
+    schema = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' AS t").schema
+    spark.createDataFrame([], schema).write.parquet(f"{place}/stage")
+    stage_load(spark, f"{place}/source", "", "csv", PathTarget(f"{place}/stage", schema))
+    assert {str(r.t) for r in spark.read.parquet(f"{place}/stage").collect()} == {"2024-01-01 10:00:00.123456"}
