@@ -11,7 +11,8 @@ import unicodedata
 import numpy as np
 import regex
 
-from packwright.llm.common import CACHE_ENTRIES
+#: Words, and pre-tokens, that a worker remembers (some 100 MB each); emptied beyond that.
+CACHE_ENTRIES = 600_000
 
 #: Words of these characters are already composed and lower-case alike in every library; all others, and
 #: those that may hold a special token, go through the tokenizer whole.
