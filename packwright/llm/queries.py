@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from packwright.llm import (
     mixing, near_dedup, neighbours, packing, pii, quality_rules, substring_dedup, suffix_tree, token_counts, url_filter,
 )
-from packwright.llm.common import given
+from packwright.llm.common import given, text_or_empty
 
 #: Rules of the URL query.
 URL_RULES = [
@@ -51,9 +51,8 @@ def three_edits(text: Column) -> Column:
 
 
 def edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = token_counts.build_trees(given(spark, sf_dir, "documents").select("doc_id", "text"))
-    trees = trees.withColumn("row", F.col("row").dropFields("text"))
-    out = token_counts.apply_edits(trees, three_edits(F.col("text")), keep_text=False)
+    docs = given(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.build_and_edit(docs, three_edits(text_or_empty()), id_column="doc_id", keep_text=False)
     return out.select("row.doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), "edited_chars", "encoded_again")
 
 

@@ -104,6 +104,34 @@ def count(text: str, ids: WordIds) -> int:
     return len(ids.encode(text.encode())) >> 2
 
 
+def _trees(batch: pa.RecordBatch, ids: WordIds) -> list[TokenTree]:
+    return [TokenTree.build(leaves_of(t), ids) for t in batch.column("text").to_pylist()]
+
+
+def _edited(batch: pa.RecordBatch, trees: list[TokenTree], ids: WordIds, keep_text: bool) -> dict[str, pa.Array]:
+    """Columns after the edits of a batch; the trees are changed."""
+    texts, again, before = [], [], [t.tokens for t in trees]
+    for text, tree, todo in zip(batch.column("text").to_pylist(), trees, batch.column("edits").to_pylist(), strict=True):
+        n = 0
+        for e in todo or []:
+            if e is not None:
+                text, m = tree.edit(text, e["start"] or 0, e["end"] or 0, e["text"] or "", ids)
+                n += m
+        texts.append(text)
+        again.append(n)
+    more = {"tokens_before": pa.array(before, pa.int64()), "n_tokens": pa.array([t.tokens for t in trees], pa.int64()),
+            "edited_chars": pa.array([len(t) for t in texts], pa.int64()), "encoded_again": pa.array(again, pa.int64())}
+    if keep_text:
+        more |= {"text": pa.array(texts, pa.string()),
+                 "tree": pa.array([t.sums.ravel() for t in trees], pa.list_(pa.int64()))}
+    return more
+
+
+def _edited_schema(row: str, keep_text: bool) -> str:
+    more = ", text string, tree array<long>" if keep_text else ""
+    return f"row {row}, tokens_before long, n_tokens long, edited_chars long, encoded_again long{more}"
+
+
 def build_trees(docs: DataFrame, text_column: str = "text", vocabulary: str | None = None) -> DataFrame:
     """All columns of the documents as struct `row`, with text (null as empty), n_tokens and tree (characters
     and tokens of each node in heap order)."""
@@ -112,7 +140,7 @@ def build_trees(docs: DataFrame, text_column: str = "text", vocabulary: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(vocabulary)
         for batch in slices(batches, "text"):
-            trees = [TokenTree.build(leaves_of(t), ids) for t in batch.column("text").to_pylist()]
+            trees = _trees(batch, ids)
             yield with_columns(batch, {
                 "n_tokens": pa.array([t.tokens for t in trees], pa.int64()),
                 "tree": pa.array([t.sums.ravel() for t in trees], pa.list_(pa.int64())),
@@ -136,27 +164,26 @@ def apply_edits(trees: DataFrame, edits: Column, vocabulary: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(vocabulary)
         for batch in slices(batches, "text"):
-            texts, chars, after, again, nodes = [], [], [], [], []
-            for text, tree, todo in zip(batch.column("text").to_pylist(), batch.column("tree"), batch.column("edits").to_pylist(), strict=True):
-                own = TokenTree(tree.values.to_numpy().reshape(-1, 2).copy())
-                n = 0
-                for e in todo or []:
-                    if e is not None:
-                        text, m = own.edit(text, e["start"] or 0, e["end"] or 0, e["text"] or "", ids)
-                        n += m
-                texts.append(text)
-                chars.append(len(text))
-                after.append(own.tokens)
-                again.append(n)
-                nodes.append(own.sums.ravel())
-            more = {"tokens_before": batch.column("n_tokens"), "n_tokens": pa.array(after, pa.int64()),
-                    "edited_chars": pa.array(chars, pa.int64()), "encoded_again": pa.array(again, pa.int64())}
-            if keep_text:
-                more |= {"text": pa.array(texts, pa.string()), "tree": pa.array(nodes, pa.list_(pa.int64()))}
-            yield with_columns(batch.select(["row"]), more)
+            own = [TokenTree(t.values.to_numpy().reshape(-1, 2).copy()) for t in batch.column("tree")]
+            yield with_columns(batch.select(["row"]), _edited(batch, own, ids, keep_text))
 
     row = trees.schema["row"].dataType.simpleString()
-    more = ", text string, tree array<long>" if keep_text else ""
-    return asked.select("row", "text", "n_tokens", "tree", "edits").mapInArrow(
-        run, f"row {row}, tokens_before long, n_tokens long, edited_chars long, encoded_again long{more}"
-    )
+    return asked.select("row", "text", "tree", "edits").mapInArrow(run, _edited_schema(row, keep_text))
+
+
+def build_and_edit(
+    docs: DataFrame, edits: Column, id_column: str | None = None, text_column: str = "text",
+    vocabulary: str | None = None, keep_text: bool = True,
+) -> DataFrame:
+    """`apply_edits` of `build_trees` in one pass, for edits that are known when the trees are built: a worker
+    then learns each word once for both. `edits` is an expression on the documents; `row` holds all their
+    columns, or the id alone if it is named. Defined cases as in `apply_edits`."""
+    row = F.struct("*") if id_column is None else F.struct(F.col(id_column))
+    packed = docs.select(row.alias("row"), text_or_empty(text_column).alias("text"), edits.cast(EDITS).alias("edits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds(vocabulary)
+        for batch in slices(batches, "text"):
+            yield with_columns(batch.select(["row"]), _edited(batch, _trees(batch, ids), ids, keep_text))
+
+    return packed.mapInArrow(run, _edited_schema(packed.schema["row"].dataType.simpleString(), keep_text))

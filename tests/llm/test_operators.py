@@ -197,6 +197,11 @@ def test_edited_counts(docs, none):
         assert r.tokens_before == size(r.row.text or "")
         assert r.n_tokens == size(r.text)
     assert token_counts.apply_edits(token_counts.build_trees(none), three_edits(F.col("text"))).count() == 0
+    two_steps = token_counts.apply_edits(trees, three_edits(F.col("text")))
+    one_pass = token_counts.build_and_edit(docs, three_edits(F.coalesce("text", F.lit(""))))
+    assert one_pass.columns == two_steps.columns
+    assert sorted(map(str, one_pass.collect())) == sorted(map(str, two_steps.collect()))
+    assert token_counts.build_and_edit(none, three_edits(F.col("text"))).count() == 0
     rng, ids = random.Random(4), WordIds()
     for _ in range(60):
         text = _text(rng, rng.randint(0, 300))
