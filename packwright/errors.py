@@ -9,6 +9,10 @@ class InventoryError(MaintenanceError):
     """The listing is empty, has files outside any table, or changed while the job ran."""
 
 
+class LateFileError(InventoryError):
+    """A file came during the swap. The old tree is live again; the copy stays at `<base>_bkup`."""
+
+
 class VerificationError(MaintenanceError):
     """The rewritten rows are not the same multiset as the original rows."""
 

@@ -8,6 +8,7 @@ task that is run again after a lost executor sends the same rows to the same pla
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from packwright.errors import (
     BrokenSwapError,
     InventoryError,
+    LateFileError,
     MaintenanceError,
     PromotionError,
     VerificationError,
@@ -134,8 +136,9 @@ def compact_database(
             _require_equal(report)
             _require_unchanged(spark, live, names, files)
             if swap_in:
-                _swap_in(storage, live, staging, retired, names, parts)
-        except BrokenSwapError:
+                swapped = _swap_in(storage, live, staging, retired, names, parts)
+                _require_no_late_files(spark, storage, live, retired, swapped, files)
+        except (BrokenSwapError, LateFileError):
             raise
         except Exception:
             storage.delete(staging)
@@ -349,7 +352,7 @@ def _write_jobs(
         if opts.codec:
             writer = writer.option("compression", opts.codec)
         if keys is None:
-            numbered = f"{target}__by_number"
+            numbered = f"{target}/.by_number-{uuid.uuid4().hex}"
             writer.partitionBy("__pw_slice").parquet(numbered)
             written = set(storage.child_dirs(numbered))
             names = mine.select("slice_id", "partition").collect()
@@ -478,7 +481,7 @@ def _keep_empty(
     empty = [r.partition for r in rows.where("rows = 0").select("partition").collect()]
     if not empty:
         return
-    blank = f"{target}__blank"
+    blank = f"{target}/.blank-{uuid.uuid4().hex}"
     spark.createDataFrame([], scan.schema).repartition(1).write.mode("append").parquet(blank)
     name = next(n for n in storage.child_files(blank) if not n.startswith(("_", ".")))
     for partition in empty:
@@ -531,8 +534,8 @@ def _swap_in(
     retired: str,
     names: list[str],
     parts: list[list[str]],
-) -> None:
-    """Swap table by table (or partition by partition), all or none."""
+) -> list[tuple[str, str, str]]:
+    """Swap table by table (or partition by partition), all or none; returns what was swapped."""
     triples = []
     for name, partitions in zip(names, parts):
         for partition in partitions:
@@ -545,3 +548,34 @@ def _swap_in(
     except PromotionError:  # undone: only the empty directories made above are left
         storage.delete(retired)
         raise
+    return triples
+
+
+def _require_no_late_files(
+    spark: SparkSession,
+    storage: Storage,
+    live: str,
+    retired: str,
+    swapped: list[tuple[str, str, str]],
+    files: DataFrame,
+) -> None:
+    """List what was swapped out: a file that came or changed after the last listing undoes the swap.
+
+    The copy then stays at `<base>_bkup`, since files may have come into it while it was live.
+    """
+    if not swapped:
+        return
+    root, old = storage.qualified(live), storage.qualified(retired)
+    moved = F.concat(F.lit(root), F.substring(F.col("path"), len(old) + 1, 1 << 20)).alias("path")
+    with settings(spark, LISTING_SETTINGS):
+        now = list_files(spark, retired, storage.child_dirs(retired)).select(moved, "bytes", "modified")
+        late = now.join(files.select("path", "bytes", "modified"), ["path", "bytes", "modified"], "left_anti")
+        seen = [r.path for r in late.limit(5).collect()]
+    if not seen:
+        return
+    try:
+        swap(storage, [(at, was, copy) for at, copy, was in swapped])
+    except PromotionError as failure:
+        raise BrokenSwapError(f"files came during the swap ({seen}); the old tree is at {retired}") from failure
+    storage.delete(retired)
+    raise LateFileError(f"files came during the swap, which was undone: {seen}")

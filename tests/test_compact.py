@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import packwright as pw
 import packwright.operators.compact as compact
-from packwright.errors import InventoryError, MaintenanceError, PromotionError, VerificationError
+from packwright.errors import InventoryError, LateFileError, MaintenanceError, PromotionError, VerificationError
 from packwright.operators.verify import leaf_digest
 from packwright.plans.compaction import job_plan, slice_plan
 from packwright.session import JOB_SETTINGS
@@ -249,6 +249,36 @@ def test_a_late_file_stops_the_swap(spark, place, monkeypatch):
     assert os.listdir(place) == ["db"]
 
 
+@pytest.mark.parametrize("partition", ["", "/d=1", "/x y"])
+def test_a_file_that_comes_during_the_swap_undoes_it(spark, place, monkeypatch, partition):
+    base = f"{place}/db"
+    write_rows(spark, spark.range(50), f"{base}/t{partition}", 4)
+    write_rows(spark, spark.range(7), f"{base}/u", 2)
+    real = compact.swap
+
+    def late(storage, pairs):
+        if len(visible_files(f"{base}/t")) == 4:
+            write_rows(spark, spark.range(50, 60), f"{base}/t{partition}", 1)
+        real(storage, pairs)
+
+    monkeypatch.setattr(compact, "swap", late)
+    with pytest.raises(LateFileError):
+        pw.compact_database(spark, base)
+    assert spark.read.parquet(f"{base}/t{partition}").count() == 60
+    assert len(visible_files(f"{base}/t")) == 5 and spark.read.parquet(f"{base}/u").count() == 7
+    assert sorted(os.listdir(place)) == ["db", "db_bkup"]
+
+
+def test_neighbours_with_working_names_are_left_alone(spark, place):
+    for name in ("t", "t__by_number", "t__blank"):
+        write_rows(spark, spark.range(50), f"{place}/db/{name}/20240101", 4)
+    write_rows(spark, spark.range(0), f"{place}/db/t/20240102", 1)
+    pw.compact_database(spark, f"{place}/db")
+    for name in ("t", "t__by_number", "t__blank"):
+        assert spark.read.parquet(f"{place}/db/{name}/20240101").count() == 50
+    assert sorted(os.listdir(f"{place}/db/t")) == ["20240101", "20240102"]
+
+
 @pytest.mark.parametrize("damage", ["lost", "doubled", "partition"])
 def test_a_wrong_copy_is_never_swapped_in(spark, place, monkeypatch, damage):
     base = f"{place}/db"
