@@ -4,8 +4,11 @@ Method. Vectors are brought to one length by one more coordinate (so that the la
 smallest distance), then hashed in each of TABLES tables by FUNCTIONS Gaussian projections, cut into cells of
 width WIDTH. A query visits cells in the order of their estimated success: the probability that a neighbour at
 the expected distance, whose projections differ from the query's by normal errors, lies there. It stops when
-those probabilities sum to what the wanted recall asks of one table. Candidates of all tables are merged and
-ranked by their exact inner product, on the vectors as given, in double precision.
+those probabilities sum to what the wanted recall asks of one table. The distance is the query's own: that of its
+k-th neighbour as a sample of different vectors lets expect it, copies of the query aside. A query whose k-th
+neighbour found is farther than that, or who found fewer than k, asks again for the distance found, which the
+true one does not exceed. Candidates of all tables are merged and ranked by their exact inner product, on the
+vectors as given, in double precision.
 
 Scale. Cells are cut into blocks of at most about BLOCK rows, by hash, so a very common vector is no hot group;
 queries of a cell likewise. Two blocks meet in one matrix product, and only the best of each query leave a
@@ -28,9 +31,11 @@ from pyspark.sql import functions as F
 from packwright.llm.common import written
 
 TABLES, FUNCTIONS, WIDTH = 2, 3, 1.0
-#: Wanted recall; rows (by smallest hash of the id) from which the expected distance is taken.
+#: Wanted recall; different vectors (by smallest hash) from which the expected distances are taken.
 RECALL, SAMPLE = 0.96, 2_000
 BLOCK = 2_048
+#: No two vectors of one length are farther apart, in that length.
+FARTHEST = 2.0
 #: Rows of running results a task holds before it hands them on.
 HELD = 1_000_000
 _SEED = 11
@@ -61,26 +66,40 @@ def _rows(batch: pa.RecordBatch, column: str = "v") -> np.ndarray:
     return batch.column(column).flatten().to_numpy().reshape(batch.num_rows, -1)
 
 
-def expected_distance(rows: DataFrame, k: int, longest: float, n: int) -> float:
-    """Distance at which the k-th neighbour is expected, from the sample: never too near, since a sample's
-    neighbours are further away."""
-    got = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    x = np.array([r.v for r in got])
-    if len(x) < 2:
-        return 1.0
-    q = x[: max(1, len(x) // 10)]
-    cos = q @ x.T / (np.linalg.norm(q, axis=1, keepdims=True) * longest)
-    cos[np.arange(len(q)), np.arange(len(q))] = -2
-    rank = min(len(x) - 1, max(1, round(k * len(x) / n)))
-    return float(np.sqrt(np.maximum(1e-6, 2 - 2 * np.sort(cos, axis=1)[:, -rank])).mean())
+def different_vectors(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """At most SAMPLE different vectors, those of smallest hash, and how many there are: copies count once."""
+    hashed = rows.select(F.xxhash64("v").alias("h"), "v")
+    hashes = written(hashed.select("h").distinct(), "hashes")
+    last = hashes.orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    got = hashed.where(F.col("h") <= last).groupBy("h").agg(F.first("v").alias("v")).collect()
+    return np.array([r.v for r in got]), hashes.count()
+
+
+def expected_distances(q: np.ndarray, sample: np.ndarray, k: int, longest: float, n: int) -> np.ndarray:
+    """Distance at which each query's k-th neighbour is expected, from a sample of n different vectors: rather
+    too far, by two ranks and without the query's copies, than too near."""
+    norms, dots = np.linalg.norm(q, axis=1, keepdims=True), q @ sample.T
+    apart = norms**2 + (sample**2).sum(axis=1) - 2 * dots
+    square = np.where(apart > 1e-9 * norms**2, 2 - 2 * dots / (norms * longest), np.inf)
+    rank = min(len(sample), 2 + math.ceil(k * len(sample) / n))
+    return np.sqrt(np.clip(np.partition(square, rank - 1, axis=1)[:, rank - 1], 1e-6, FARTHEST**2))
+
+
+def _probes(f: np.ndarray, distance: np.ndarray, wanted: float) -> list[np.ndarray]:
+    """For each row of projections (in cell widths) and its distance the cells to visit, best first."""
+    reaches = np.ceil(4 * distance / WIDTH).astype(int)
+    out: list = [None] * len(f)
+    for reach in np.unique(reaches).tolist():
+        own = np.flatnonzero(reaches == reach)
+        for i, cells in zip(own.tolist(), _probes_within(f[own], distance[own], wanted, reach), strict=True):
+            out[i] = cells
+    return out
 
 
-def _probes(f: np.ndarray, distance: float, wanted: float) -> list[np.ndarray]:
-    """For each row of projections (in cell widths) the cells to visit, best first."""
-    reach = math.ceil(4 * distance / WIDTH)
+def _probes_within(f: np.ndarray, distance: np.ndarray, wanted: float, reach: int) -> list[np.ndarray]:
     steps = np.arange(-reach, reach + 1)
     home = np.floor(f)
-    edges = (home[..., None] + np.append(steps, reach + 1) - f[..., None]) * (WIDTH / distance / math.sqrt(2))
+    edges = (home[..., None] + np.append(steps, reach + 1) - f[..., None]) * (WIDTH / distance[:, None, None] / math.sqrt(2))
     cdf = np.array([math.erf(x) for x in edges.ravel()]).reshape(edges.shape) / 2
     each = np.diff(cdf, axis=2)
     combos = np.array(list(product(range(len(steps)), repeat=f.shape[1])))
@@ -123,7 +142,8 @@ def nearest(
             F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_column), F.lit(0.0).alias("score")
         )
     a, b = _projections(about.d)
-    longest, distance = about.longest, expected_distance(rows, k, about.longest, about.n)
+    longest = about.longest
+    sample, different = different_vectors(rows)
     wanted = 1 - (1 - recall) ** (1 / TABLES)
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +161,17 @@ def nearest(
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 x = _rows(batch)
-                x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
+                norms = np.linalg.norm(x, axis=1)
+                distance = expected_distances(x, sample, k, longest, different)
+                if "low" in batch.schema.names:
+                    # Asked again: the distance found, or any, if fewer than k were found.
+                    low = batch.column("low").fill_null(-np.inf).to_numpy()
+                    reached = np.sqrt(np.clip(2 - 2 * low / (norms * longest), 1e-6, FARTHEST**2))
+                    again = np.flatnonzero(reached > distance * (1 + 1e-9))
+                    batch, x, norms, distance = batch.take(pa.array(again)).select(["id", "v"]), x[again], norms[again], reached[again]
+                    if not len(x):
+                        continue
+                x = np.hstack([x / norms[:, None], np.zeros((len(x), 1))])
                 f = (x @ a + b) / WIDTH
                 for t in range(TABLES):
                     probes = _probes(f[t], distance, wanted)
@@ -156,9 +186,6 @@ def nearest(
     hashed = written(rows.mapInArrow(hash_all, schema), "hashed")
     asked = rows.join(queries.select(F.col(id_column).alias("id")).distinct(), "id", "left_semi")
     cells = hashed.select("t", "cell").distinct()
-    # Cells without a row are not visited, so their probes end here.
-    probes = asked.mapInArrow(probe_all, schema).join(cells, ["t", "cell"], "left_semi")
-
     def blocks(frame: DataFrame, name: str) -> DataFrame:
         sizes = frame.groupBy("t", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
         part = F.pmod(F.xxhash64("id"), F.col("parts"))
@@ -166,8 +193,6 @@ def nearest(
             F.collect_list(F.struct("id", "v")).alias(name)
         )
 
-    met = blocks(hashed, "rows").join(blocks(written(probes, "probes"), "asked"), ["t", "cell"])
-
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
@@ -196,9 +221,21 @@ def nearest(
         if held:
             yield packed(True)
 
-    found = met.select("asked", "rows").mapInArrow(best, f"q {kind}, id {kind}, score double").dropDuplicates(["q", "id"])
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(
+
+    def first_k(found: DataFrame) -> DataFrame:
+        return found.dropDuplicates(["q", "id"]).withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def search(asking: DataFrame, name: str) -> DataFrame:
+        # Cells without a row are not visited, so their probes end here.
+        probes = written(asking.mapInArrow(probe_all, schema).join(cells, ["t", "cell"], "left_semi"), name)
+        met = blocks(hashed, "rows").join(blocks(probes, "asked"), ["t", "cell"])
+        return met.select("asked", "rows").mapInArrow(best, f"q {kind}, id {kind}, score double")
+
+    once = written(first_k(search(asked, "probes")), "found")
+    low = once.groupBy(F.col("q").alias("id")).agg(F.when(F.count("*") >= min(k, about.n - 1), F.min("score")).alias("low"))
+    twice = search(asked.join(low, "id", "left"), "probes_again")
+    return first_k(once.drop("rank").union(twice)).select(
         F.col("q").alias("query_id"), "rank", F.col("id").alias(id_column), "score"
     )
 

@@ -168,6 +168,34 @@ def test_neighbours_recall_and_cases(spark):
     assert neighbours.nearest(frame.where("false"), frame.select("vec_id")).count() == 0
 
 
+def _recalls(spark, x, queries, k=20):
+    """Share of the k largest scores found, per query; equal scores stand for each other."""
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(int(q),) for q in queries], "vec_id long")
+    found = collections.defaultdict(list)
+    for r in neighbours.nearest(frame, asked, k).collect():
+        found[r.query_id].append(r.score)
+    out = {}
+    for q in queries:
+        exact = np.delete(x @ x[q], q)
+        out[q] = sum(s >= np.sort(exact)[-k] - 1e-9 for s in found[q]) / k
+    return out
+
+
+def test_neighbours_beside_many_copies_and_clusters(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 32))
+    x[::3] = x[0]
+    # Groups of ten near copies: fewer than k, so that the nearest tell nothing of the k-th.
+    x[1:1501:3] = np.repeat(x[1:1501:30], 10, axis=0) + rng.normal(size=(500, 32)) / 100
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = _recalls(spark, x, [*range(0, 600, 20), *range(1, 1500, 51), *range(2, 6000, 120)])
+    mean = lambda part: sum(part) / len(part)
+    assert mean([r for q, r in got.items() if q % 3 == 0]) >= 0.95
+    assert mean([r for q, r in got.items() if q % 3 == 1]) >= 0.9
+    assert mean([r for q, r in got.items() if q % 3 == 2]) >= 0.9
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(_rows())
