@@ -1,20 +1,21 @@
 """Language-model scores by a probabilistic suffix tree, over words and, below them, over letters.
 
-Method. A tree's contexts are the last symbols before the next one, of different lengths: a context is retained
-if its next symbols diverge from those after its suffix (N * KL beyond a price of PENALTY * ln(N) / 2 for each
-number it adds), distributions are smoothed by the shorter suffix, and scoring uses the longest retained one.
-There are two alphabets. Upper: words with a share of more than 1 / WORDS of all tokens, the first two letters
-of any other word, and the end of a text; contexts are the word before or nothing. Lower: the letters (bytes)
-of a word after its first two; contexts reach back to the space that opens it, DEPTH symbols at most. Words
-seen in training have their own discounted share in the distribution of their first two letters, the discount
-goes to the letters. So every word has a probability, and those of all texts of a length sum to one or less.
-
-Scale. Whole texts are read three times: to count words, to count neighbours, to score. What is gathered grows
-with the corpus. Letters are counted from the counts of words, never shuffled one by one, and a known word is
-spelled once. A lower context must have a share of at least 1 / STATES of all letters, so no depth has more than
-STATES of them; upper contexts are as many as upper symbols, and pairs rarer than 1 / PAIRS stay with their
-suffix: the model has a proven size. Words with a share of more than 1 / FREQUENT, fewer than FREQUENT by that
-rule, travel with the last pass, so no hot word is shuffled; the others meet their counts in a join.
+Method. A tree's contexts are the last symbols before the next one: a context is retained if it was seen
+MIN_COUNT times or more and its next symbols diverge from those after its suffix (N * KL beyond a price of
+PENALTY * ln(N) / 2 for each different one); nothing else decides, whatever the size of the corpus.
+Distributions are smoothed by the shorter suffix, and scoring uses the longest retained one. Two such trees:
+one of texts, whose symbols are words and an end, and one of words, whose symbols are letters (bytes) and an
+end; it learns from each different training word once. Every training word has its own discounted share in the
+root of the upper tree, the discount goes to the letters. So every word has a probability, and those of all
+texts of a length sum to one or less.
+The upper tree's contexts are the word before or nothing (a list of one depth).
+Scale. Both trees are Spark tables keyed by a 64-bit hash of the context (and the next symbol), as large as the
+corpus makes them; none of it is gathered on the driver. Texts are read three times: to count words, to turn
+them into symbols (a table of numbers, which each depth reads), to sum up roots. A depth counts the pairs of
+(context, next) and meets the model in a join, by its pairs and by its contexts; what a depth adds to a text's
+score is a sum over its places, so depths are summed apart. Words with a share of more than 1 / FREQUENT, fewer
+than FREQUENT by that rule, travel with the last pass, so no hot word is shuffled; the others meet their counts
+in a join.
 """
 
 from __future__ import annotations
@@ -29,46 +30,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packwright.llm.common import CACHE_ENTRIES, slices, texts_of, written
+from packwright.llm.common import BASE, WordHashes, mixed, slices, texts_of, written
 
+#: Longest context of the tree in memory, whose contexts are packed into one number.
 DEPTH = 7
-STATES, FREQUENT = 200_000, 500_000
-WORDS, PAIRS, DISCOUNT = 20_000, 4_000_000, 0.75
-#: Letters of a word that its upper symbol tells.
-PREFIX = 2
+FREQUENT, DISCOUNT = 500_000, 0.75
+#: Fewest times that a retained context was seen.
+MIN_COUNT = 2
 #: How much evidence a context must bring beyond its suffix (1: as the Bayesian information criterion).
 PENALTY = 1.0
 SYMBOLS = 257
-SPACE = 0x20
-#: Words whose symbols are packed at a time, and entries of a task's counter before it is handed on.
+#: What stands before a sequence and after it; letters are their byte plus LETTER.
+START, END, LETTER = 1, 2, 3
+#: Words that are spelled at a time, and entries of a task's counter before it is handed on.
 TOGETHER, COUNTED = 50_000, 400_000
 
 
-def symbol_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every symbol of ` word ` after the first: its context and itself, the newest context byte lowest but
-    one, as one number; the number of the word; and its place in the word, from 1. Byte 0 counts as byte 1."""
-    raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    raw = np.maximum(raw, 1).astype(np.uint64)
-    n = len(raw)
-    opened = np.maximum.accumulate(np.where(raw == SPACE, np.arange(n), 0))
-    back = np.arange(1, n) - opened[:-1]
-    code = raw[1:].copy()
-    for k in range(1, DEPTH + 1):
-        at = np.flatnonzero(back >= k)
-        code[at] |= raw[at + 1 - k] << np.uint64(8 * k)
-    return code, np.cumsum(raw == SPACE)[:-1] - 1, back
-
-
-def prefix(word: bytes) -> bytes:
-    return (word + b" ")[:PREFIX]
-
-
 def _mask(depth: int) -> int:
     return (1 << (8 * depth)) - 1
 
 
 class SuffixTree:
-    """Retained contexts with the smoothed distribution of what follows."""
+    """A small tree in memory, with the smoothing that the joined one must agree with."""
 
     def __init__(self, contexts: list[tuple[int, int, dict[int, int]]]):
         """contexts: (depth, context, next symbol -> count); the root has depth 0."""
@@ -110,16 +93,6 @@ class SuffixTree:
     def __len__(self) -> int:
         return len(self._parent)
 
-    def parts(self) -> dict:
-        """What scoring needs, as plain arrays."""
-        return {k: v for k, v in vars(self).items() if k not in ("_keys", "_ids")}
-
-    @classmethod
-    def of(cls, parts: dict) -> SuffixTree:
-        tree = cls.__new__(cls)
-        vars(tree).update(parts)
-        return tree
-
     def _states(self, codes: np.ndarray) -> np.ndarray:
         """Longest retained suffix of each code's context."""
         state = np.zeros(len(codes), np.int64)
@@ -155,71 +128,6 @@ class SuffixTree:
             state[open_] = self._parent[state[open_]]
         return out[back] / math.log(10)
 
-    def words(self, words: list[bytes], skip: np.ndarray | int = PREFIX) -> np.ndarray:
-        """log10 probability of each word after its first `skip` symbols, its closing space included."""
-        out = [np.empty(0)]
-        skips = np.broadcast_to(np.asarray(skip), len(words))
-        for at in range(0, len(words), TOGETHER):
-            part = words[at : at + TOGETHER]
-            codes, word, place = symbol_codes(part)
-            use = place > skips[at : at + TOGETHER][word]
-            out.append(np.bincount(word[use], self.log10(codes[use]), len(part)))
-        return np.concatenate(out)
-
-
-class Symbols(dict):
-    """word -> number of its upper symbol, remembered for as many words as the bound allows."""
-
-    def __init__(self, ids: dict[bytes, int], unseen: int):
-        self._ids, self._unseen = ids, unseen
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = value = self._ids.get(word + b" ") or self._ids.get(prefix(word), self._unseen)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-class Neighbours:
-    """Upper level: what follows a word. Symbol 0 is the end of a text, also what stands before its first word;
-    the last one stands for all words of unseen beginnings."""
-
-    def __init__(self, symbols: list[bytes], counts: np.ndarray, kept: np.ndarray, n: np.ndarray, own: np.ndarray):
-        """`kept` pairs (before << 32 | next, sorted) with their counts; `own`: different symbols after each."""
-        self.ids = {s: i + 1 for i, s in enumerate(symbols)}
-        self.unseen = len(symbols) + 1
-        self._alone = np.append(counts, 1.0) / (counts.sum() + 1)
-        self._pairs = kept
-        size = self.unseen + 1
-        # A text's end stands before the next text's beginning; so each symbol is before as often as it occurs.
-        before = np.append(np.maximum(counts, 1), 1).astype(float)
-        weight = before + np.append(own, 0)
-        at = kept >> 32
-        self._shares = n / weight[at]
-        self._rest = 1 - np.bincount(at, self._shares, size)
-
-    def symbols(self) -> Symbols:
-        return Symbols(self.ids, self.unseen)
-
-    def log10(self, before: np.ndarray, next_: np.ndarray) -> np.ndarray:
-        out = self._rest[before] * self._alone[next_]
-        if len(self._pairs):
-            code = before.astype(np.int64) << 32 | next_
-            at = np.minimum(np.searchsorted(self._pairs, code), len(self._pairs) - 1)
-            hit = self._pairs[at] == code
-            out[hit] += self._shares[at[hit]]
-        return np.log10(out)
-
-
-def with_ends(symbols: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of texts in a row, brought to (before, next) with an end after each text."""
-    ends = np.cumsum(lengths)
-    next_ = np.insert(symbols, ends, 0)
-    return np.insert(next_, 0, 0)[:-1], next_
-
 
 def held_out(id_: Column) -> Column:
     """crc32 of the id as text is divisible by ten; rows without id are for training."""
@@ -227,7 +135,7 @@ def held_out(id_: Column) -> Column:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) over the string column `text`: words lower-cased, A to Z only."""
+    """(word, c) over the columns `text` and `held`: words lower-cased, A to Z only; c counts where not held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -240,121 +148,149 @@ def count_words(texts: DataFrame) -> DataFrame:
             return batch
 
         for batch in slices(batches, "text"):
-            for value in texts_of(batch.column("text")):
-                found.update(value.lower().split())
+            for value, held in zip(texts_of(batch.column("text")), batch.column("held").to_pylist(), strict=True):
+                words = value.lower().split()
+                found.update(dict.fromkeys(words, 0) if held else words)
                 if len(found) > COUNTED:
                     yield out()
         yield out()
 
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text", "held").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
 
+def _sequences(parts: list[np.ndarray]) -> pa.Array:
+    """A list of symbols, with START and END, per part."""
+    ends = np.cumsum([0] + [len(p) + 2 for p in parts])
+    flat = np.empty(ends[-1], np.int64)
+    for p, at, end in zip(parts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        flat[at], flat[at + 1 : end - 1], flat[end - 1] = START, p.view(np.int64), END
+    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))
 
-def grow_tree(counts: DataFrame, depth: int = DEPTH, states: int = STATES, penalty: float = PENALTY) -> SuffixTree:
-    """The lower tree for words with counts."""
+
+def text_symbols(rows: DataFrame) -> DataFrame:
+    """(id, held, key, symbols): words as hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
-        times: list[int] = []
+        known = WordHashes()
+        for batch in slices(batches, "text"):
+            parts = [known.of(value.lower().split()) for value in texts_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(["id", "held", "key"]).columns, _sequences(parts)], names=["id", "held", "key", "symbols"]
+            )
 
-        def out() -> pa.RecordBatch:
-            codes, word, _ = symbol_codes(words)
-            keys, back = np.unique(codes, return_inverse=True)
-            # Whole numbers up to 2**53 are exact in a weighted count.
-            n = np.bincount(back, np.array(times, float)[word], len(keys)).astype(np.int64)
-            words.clear()
-            times.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["code", "n"])
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "held", "key", "text").mapInArrow(run, f"id {kind}, held boolean, key long, symbols array<long>")
 
-        for batch in batches:
-            words += batch.column("word").to_pylist()
-            times += batch.column("c").to_pylist()
-            if len(words) > 4 * TOGETHER:
-                yield out()
-        if words:
-            yield out()
-
-    level = written(counts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "codes")
-    total = level.agg(F.sum("n")).first()[0] or 0
-    least = max(2, total // states)
-    parts = []
-    for d in range(DEPTH, -1, -1):
-        if d < DEPTH:
-            level = written(level.groupBy(F.col("code").bitwiseAND(F.lit(_mask(d + 1))).alias("code")).agg(F.sum("n").alias("n")), f"depth{d}")
-        if d > depth:
-            continue
-        context = F.shiftrightunsigned("code", 8)
-        full = F.shiftrightunsigned("code", 8 * d).bitwiseAND(F.lit(255)) > 0 if d else F.lit(True)
-        parts.append(
-            level.where(full).select(context.alias("context"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("s"), "n")
-            .groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("s", "n")).alias("next"))
-            .where((F.col("total") >= least) | F.lit(d == 0)).withColumn("d", F.lit(d))
-        )
-    nodes = parts[0]
-    for part in parts[1:]:
-        nodes = nodes.union(part)
-    nodes = written(nodes, "contexts")
-    # A context is at least as rare as its suffix, so the suffix of a candidate is one too.
-    up = nodes.select((F.col("d") + 1).alias("d"), F.col("context").alias("up"), F.col("total").alias("t"), F.map_from_entries("next").alias("m"))
-    masks = F.array(*[F.lit(_mask(max(0, d - 1))) for d in range(DEPTH + 1)])
-    tested = nodes.where("d > 0").withColumn("up", F.col("context").bitwiseAND(F.get(masks, F.col("d")))).join(up, ["d", "up"])
-    ratio = lambda x: x["n"] * (F.log(x["n"] / F.col("total")) - F.log(F.element_at("m", x["s"]) / F.col("t")))
-    gain = F.aggregate("next", F.lit(0.0), lambda a, x: a + ratio(x))
-    price = penalty * F.log("total") * (F.size("next") + 1) / 2
-    kept = tested.where(gain >= price).select("d", "context", "next").union(nodes.where("d = 0").select("d", "context", "next"))
-    # At most DEPTH * STATES + 1 contexts of at most 256 symbols; in practice some thousand of a few each.
-    return SuffixTree([(r.d, r.context, {x.s: x.n for x in r.next}) for r in kept.toLocalIterator()])
-
-
-def grow_neighbours(texts: DataFrame, counts: DataFrame, ends: int, tokens: int) -> tuple[Neighbours, DataFrame]:
-    """The upper tree, and per beginning (prefix, n, v): tokens and different words that it stands for."""
-    word = counts.withColumn("own", F.col("c") > tokens / WORDS)
-    begun = written(
-        word.where("not own").groupBy(F.substring(F.concat("word", F.lit(b" ")), 1, PREFIX).alias("prefix"))
-        .agg(F.sum("c").alias("n"), F.count("*").alias("v")), "prefixes",
-    )
-    # Beginnings rarer than that are spelled from the start, so there are fewer than WORDS of them, too.
-    begun = begun.where(F.col("n") > tokens / WORDS)
-    named = word.where("own").select(F.concat("word", F.lit(b" ")).alias("s"), F.col("c").alias("n")).union(
-        begun.select(F.col("prefix"), "n")
-    ).orderBy("s").collect()
-    symbols, n = [bytes(r.s) for r in named], np.array([ends, *(r.n for r in named)], float)
-    ids = {s: i + 1 for i, s in enumerate(symbols)}
-    unseen = len(symbols) + 1
+
+def word_symbols(counts: DataFrame) -> DataFrame:
+    """(word, c, next, symbols): letters, and the word as a symbol of texts; the empty word is a text's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Symbols(ids, unseen)
-        for batch in slices(batches, "text"):
-            rows, lengths = [], []
-            for value in texts_of(batch.column("text")):
-                words = value.lower().split()
-                rows.append(known.of(words))
-                lengths.append(len(words))
-            before, next_ = with_ends(np.concatenate(rows), lengths)
-            pairs, times = np.unique(before << 32 | next_, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(times)], names=["pair", "n"])
-
-    pairs = written(texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    # The divergence of a context from no context, as a sum over its next symbols.
-    before, next_ = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
-    alone = texts.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate([*n.tolist(), 1.0])], "next long, alone double")
-    totals = pairs.groupBy(before.alias("before")).agg(F.sum("n").alias("total"), F.count("*").alias("own"))
-    gains = pairs.select(before.alias("before"), next_.alias("next"), "n").join(F.broadcast(alone), "next").join(
-        F.broadcast(totals), "before"
-    ).groupBy("before", "total", "own").agg(
-        F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.log(F.col("alone") / tokens))).alias("gain")
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                words = batch.column("word").to_pylist()
+                hashes = WordHashes().of(words).view(np.int64)
+                hashes[[i for i, w in enumerate(words) if not w]] = END
+                parts = [np.frombuffer(w, np.uint8).astype(np.int64) + LETTER for w in words]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(hashes), _sequences(parts)], names=["word", "c", "next", "symbols"]
+                )
+
+    return counts.mapInArrow(run, "word binary, c long, next long, symbols array<long>")
+
+
+def grams(sequences: DataFrame, depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, context, up, next, n) for every place that has a context of that depth: hashes of the last `depth`
+    symbols and of one less, and how often; equal ones of a batch together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("symbols")
+            lengths = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            at = np.flatnonzero(place >= max(depth, 1))
+            context = up = np.zeros(len(at), np.uint64)
+            for k in range(1, depth + 1):
+                up, context = context, mixed(context * np.uint64(BASE) + flat[at - k].view(np.uint64))
+            found = pa.table({"row": row[at], "context": context.view(np.int64), "up": up.view(np.int64), "next": flat[at]})
+            if not keys:
+                found = found.drop(["row"])
+            found = found.group_by(found.column_names).aggregate([([], "count_all")])
+            columns = batch.select(list(keys)).take(found.column("row").combine_chunks()).columns if keys else []
+            out = pa.Table.from_arrays(
+                [*columns, *(found.column(c) for c in ("context", "up", "next", "count_all"))],
+                names=[*keys, "context", "up", "next", "n"],
+            )
+            yield from out.to_batches(max_chunksize=1 << 18)
+
+    kinds = "".join(f"{k} {sequences.schema[k].dataType.simpleString()}, " for k in keys)
+    return sequences.select(*keys, "symbols").mapInArrow(run, f"{kinds}context long, up long, next long, n long")
+
+
+def grow(sequences: DataFrame, root: DataFrame, name: str, deepest: int | None = None) -> list[tuple[DataFrame, DataFrame]]:
+    """The tree of the sequences: per depth, from 1, the retained (context, rest) and their pairs
+    (context, next, gained): log10 of what is left to the suffix, and of what the pair gains over its suffix.
+    `root`: (context 0, next, n, total, p)."""
+    out, above, number = [], root, 0
+    while True:
+        number += 1
+        found = grams(sequences, number)
+        if out:
+            found = found.join(out[-1][0].select(F.col("context").alias("up")), "up", "left_semi")
+        pairs = written(found.groupBy("context", "up", "next").agg(F.sum("n").alias("n")), f"{name}{number}")
+        totals = pairs.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("own")).where(F.col("total") >= MIN_COUNT)
+        suffix = above.select(F.col("context").alias("up"), "next", F.col("n").alias("m"), F.col("total").alias("all"), F.col("p").alias("q"))
+        tested = pairs.join(totals, "context").join(suffix, ["up", "next"])
+        gain = F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.log(F.col("m") / F.col("all"))))
+        kept = tested.groupBy("context", "total", "own").agg(gain.alias("gain")).where(
+            F.col("gain") >= PENALTY * F.log("total") * F.col("own") / 2
+        )
+        weight = F.col("total") + F.col("own")
+        contexts = written(kept.select("context", F.log10(F.col("own") / weight).alias("rest")), f"{name}{number}_contexts")
+        if contexts.isEmpty():
+            return out
+        p = (F.col("n") + F.col("own") * F.col("q")) / weight
+        above = written(
+            tested.join(contexts, "context").select("context", "next", "n", "total", p.alias("p"), F.log10(p / F.col("q")).alias("gained"), "rest"),
+            f"{name}{number}_pairs",
+        )
+        out.append((contexts, above.select("context", "next", (F.col("gained") - F.col("rest")).alias("gained"))))
+        if number == deepest:
+            return out
+
+
+def along(sequences: DataFrame, tree: list[tuple[DataFrame, DataFrame]], keys: tuple[str, ...]) -> DataFrame | None:
+    """(keys, p): what the retained contexts add to the root's log10 probability; several rows per key."""
+    out = None
+    for depth, (contexts, pairs) in enumerate(tree, 1):
+        for model, on, value in ((contexts, ["context"], "rest"), (pairs, ["context", "next"], "gained")):
+            # Whether found or not, a place pays the rest of its context; a pair that is found gains it back.
+            part = grams(sequences, depth, keys).join(model, on).groupBy(*keys).agg(F.sum(F.col("n") * F.col(value)).alias("p"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def spelled(words: DataFrame) -> DataFrame:
+    """(word, c, next, letters): log10 probability of each word's letters, learned from those with c > 0."""
+    every = written(word_symbols(words), "spelled")
+    learned = every.where("c > 0")
+    counts = {r.next: r.n for r in grams(learned, 0).groupBy("next").agg(F.sum("n").alias("n")).collect()}
+    total = sum(counts.values())
+    chance = {s: (counts.get(s, 0) + 1) / (total + SYMBOLS) for s in [END, *range(LETTER, LETTER + 256)]}
+    root = words.sparkSession.createDataFrame(
+        [(0, s, counts.get(s, 0), total, p) for s, p in chance.items()], "context long, next long, n long, total long, p double"
     )
-    retained = {
-        r.before: r.own for r in gains.where(F.col("gain") >= PENALTY * F.log("total") * F.col("own") / 2).collect()
-    }
-    some = pairs.where(F.col("n") >= max(2, tokens // PAIRS)).select(before.cast("long").alias("before"), "pair", "n")
-    got = some.toPandas()
-    got = got[got["before"].isin(list(retained))].sort_values("pair")
-    own = np.zeros(len(n), float)
-    for i, k in retained.items():
-        if i < len(n):
-            own[i] = k
-    at = got["before"].to_numpy() < len(n)
-    return Neighbours(symbols, n, got["pair"].to_numpy(np.int64)[at], got["n"].to_numpy(float)[at], own), begun
+    tree = grow(learned, root, "letters")
+    logs = F.create_map(*[F.lit(x) for s, p in chance.items() for x in (s, math.log10(p))])
+    alone = F.aggregate(F.slice("symbols", 2, F.size("symbols")), F.lit(0.0), lambda a, s: a + F.element_at(logs, s))
+    out = every.select("word", "c", "next", alone.alias("alone"))
+    if (more := along(every, tree, ("word",))) is None:
+        return out.withColumnRenamed("alone", "letters")
+    more = more.groupBy("word").agg(F.sum("p").alias("more"))
+    return out.join(more, "word", "left").select("word", "c", "next", (F.col("alone") + F.coalesce("more", F.lit(0.0))).alias("letters"))
 
 
 def score(
@@ -370,104 +306,84 @@ def score(
     out = held_out(F.col(id_column)) if training is None else ~training
     rows = docs.select(
         F.col(id_column).alias("id"), out.alias("held"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
-    )
-    counts = written(count_words(rows.where("not held").select("text")), "words")
+    ).withColumn("key", F.xxhash64("text"))
+    counts = written(count_words(rows), "words")
     ends = rows.where("not held").count()
-    about = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
+    about = counts.agg(F.count_if(F.col("c") > 0).alias("v"), F.sum("c").alias("n")).first()
     n_train, v = (about.n or 0) + ends, about.v + (ends > 0)
-    tree = grow_tree(counts.where(F.col("c") <= n_train / WORDS))
-    upper, begun = grow_neighbours(rows.where("not held").select("text"), counts, ends, n_train)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(tree.parts())
-    # Of each beginning: its tokens, and what its discounted words leave to the letters.
-    begun = {bytes(r.prefix): (r.n, DISCOUNT * r.v) for r in begun.collect()}
-
-    def spelled(words: list[bytes], model: SuffixTree, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of words that are no upper symbols, given their symbol, known from `counts`."""
-        starts = [begun.get(prefix(w)) for w in words]
-        letters = 10.0 ** model.words(words, np.array([PREFIX if s else 0 for s in starts], np.int64))
-        n, rest = (np.array([s[i] if s else 1.0 for s in starts]) for i in (0, 1))
-        return np.log10((np.where(rest == 1.0, 0, np.maximum(counts - DISCOUNT, 0)) + rest * letters) / n + 1e-300)
-
-    def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = SuffixTree.of(shared.value)
-        for batch in batches:
-            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            p = np.zeros(len(words))
-            rare = np.flatnonzero(c <= n_train / WORDS)
-            p[rare] = spelled([words[i] for i in rare], model, c[rare])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=["word", "c", "p"])
-
-    known = written(counts.mapInArrow(score_words, "word binary, c long, p double"), "known")
-    often = sorted((bytes(r.word), r.c, r.p) for r in known.where(F.col("c") > n_train / FREQUENT).toLocalIterator())
-    frequent = context.broadcast((
+    session = docs.sparkSession
+    whole = counts.union(session.createDataFrame([(b"", ends)], "word binary, c long"))
+    # A new word has the discounts of all others, and one more, to share by its letters.
+    left, all_ = DISCOUNT * v + 1, n_train + 1
+    alone = F.when(F.col("c") > 0, F.log10((F.col("c") - DISCOUNT + left * F.pow(F.lit(10.0), "letters")) / all_)).otherwise(
+        F.col("letters") + math.log10(left / all_)
+    )
+    known = written(spelled(whole).select("word", "c", "next", alone.alias("p")), "known")
+    root = known.where("c > 0").select(
+        F.lit(0).cast("long").alias("context"), "next", F.col("c").alias("n"), F.lit(n_train).cast("long").alias("total"),
+        F.pow(F.lit(10.0), "p").alias("p"),
+    )
+    symbols = written(text_symbols(rows), "symbols")
+    tree = grow(symbols.where("not held"), root, "texts", 1)
+    end_chance = known.where("next = %d" % END).first().p
+    often = sorted(
+        (bytes(r.word), r.c, r.p) for r in known.where((F.col("c") > n_train / FREQUENT) & (F.length("word") > 0)).toLocalIterator()
+    )
+    frequent = session.sparkContext.broadcast((
         {w: i for i, (w, _, _) in enumerate(often)}, np.array([math.log10(c + 0.1) for _, c, _ in often]),
-        np.array([p for _, _, p in often]), upper.symbols().of([w for w, _, _ in often]), vars(upper),
+        np.array([p for _, _, p in often]),
     ))
     end = math.log10(ends + 0.1)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, base, chances, symbols, parts = frequent.value
-        model, above = SuffixTree.of(shared.value), Neighbours.__new__(Neighbours)
-        vars(above).update(parts)
-        own: dict[bytes, float] = {}
-        symbol_of = above.symbols()
+        place, base, chances = frequent.value
         for batch in slices(batches, "text", 4 << 20):
-            row, word, times, sums, each, lengths = [], [], [], [], [], []
-            held, keys = batch.column("held").to_pylist(), batch.column("key").to_pylist()
+            row, word, times, sums = [], [], [], []
+            keys = batch.column("key").to_pylist()
             for i, value in enumerate(texts_of(batch.column("text"))):
                 words = value.lower().split()
                 at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                symbol = symbols[at] if len(symbols) else np.zeros(len(at), np.int64)
-                missing = np.flatnonzero(at < 0)
-                rare = [words[j] for j in missing.tolist()]
-                symbol[missing] = symbol_of.of(rare)
-                each.append(symbol)
-                lengths.append(len(words))
+                found = Counter(words[j] for j in np.flatnonzero(at < 0).tolist())
                 at = at[at >= 0]
-                found = Counter(rare)
                 # No word has a space: such a row meets no count, and no two of them crowd one task.
                 word += found.keys() or [b" %d" % keys[i]]
                 times += found.values() or [0]
                 row += [i] * max(1, len(found))
-                sums.append({"b": end + base[at].sum(), "p": chances[at].sum(), "known": len(at) + (ends > 0), "tokens": len(words) + 1})
+                sums.append({
+                    "b": end + base[at].sum(), "p": end_chance + chances[at].sum(), "known": len(at) + (ends > 0), "tokens": len(words) + 1,
+                })
                 sums += [None] * (len(found) - 1)
-            before, next_ = with_ends(np.concatenate(each), lengths)
-            stops = np.cumsum(np.asarray(lengths) + 1) - 1
-            steps = np.add.reduceat(above.log10(before, next_), np.append(0, stops[:-1] + 1))
-            for total, step in zip((x for x in sums if x), steps.tolist(), strict=True):
-                total["p"] += step
-            # Words of held-out texts may be unknown; they are spelled here, in case their counts are not found.
-            spell = [held[i] and n > 0 for i, n in zip(row, times, strict=True)]
-            if len(own) > CACHE_ENTRIES:
-                own.clear()
-            new = list({w for w, s in zip(word, spell, strict=True) if s and w not in own})
-            own.update(zip(new, spelled(new, model, np.zeros(len(new))).tolist(), strict=True))
-            chance = [own[w] if s else None for w, s in zip(word, spell, strict=True)]
             taken = batch.select(["id", "held", "key"]).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *taken.columns, pa.array(word, pa.binary()), pa.array(times, pa.int32()), pa.array(chance, pa.float64()),
+                    *taken.columns, pa.array(word, pa.binary()), pa.array(times, pa.int32()),
                     pa.array(sums, pa.struct([("b", pa.float64()), ("p", pa.float64()), ("known", pa.int64()), ("tokens", pa.int64())])),
                 ],
-                names=["id", "held", "key", "word", "times", "chance", "sums"],
+                names=["id", "held", "key", "word", "times", "sums"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    seen = rows.withColumn("key", F.xxhash64("text")).mapInArrow(
+    seen = rows.select("id", "held", "key", "text").mapInArrow(
         read,
-        f"id {kind}, held boolean, key long, word binary, times int, chance double, "
+        f"id {kind}, held boolean, key long, word binary, times int, "
         "sums struct<b: double, p: double, known: bigint, tokens: bigint>",
     )
-    met = seen.join(known.where(F.col("c") <= n_train / FREQUENT), "word", "left")
+    met = seen.join(known.where(F.col("c") <= n_train / FREQUENT).drop("next"), "word", "left")
     times = F.col("times")
     by_doc = met.groupBy("id", "key", "held").agg(
         F.count("sums").alias("rows"),
         F.sum(F.coalesce("sums.tokens", F.lit(0))).alias("tokens"),
-        F.sum(F.coalesce("sums.known", F.lit(0)) + F.when(F.col("c").isNotNull(), times).otherwise(0)).alias("known"),
+        F.sum(F.coalesce("sums.known", F.lit(0)) + F.when(F.col("c") > 0, times).otherwise(0)).alias("known"),
         F.sum(F.coalesce("sums.b", F.lit(0.0)) + times * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("b"),
-        F.sum(F.coalesce("sums.p", F.lit(0.0)) + times * F.coalesce("p", "chance", F.lit(0.0))).alias("p"),
+        F.sum(F.coalesce("sums.p", F.lit(0.0)) + times * F.coalesce("p", F.lit(0.0))).alias("p"),
     )
+    if (more := along(symbols, tree, ("id", "key", "held"))) is not None:
+        # Rows without id have one, too: null.
+        more = more.groupBy("id", "key", "held").agg(F.sum("p").alias("more"))
+        same = F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.key") == F.col("m.key")) & (F.col("d.held") == F.col("m.held"))
+        by_doc = by_doc.alias("d").join(more.alias("m"), same, "left").select(
+            *[F.col(f"d.{c}").alias(c) for c in by_doc.columns if c != "p"], (F.col("p") + F.coalesce("more", F.lit(0.0))).alias("p")
+        )
     # Rows with one id and text were summed up together: each gets its share, exactly, since all are equal.
     norm = math.log10(n_train + 0.1 * (v + 1))
     one = by_doc.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))

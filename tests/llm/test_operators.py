@@ -307,6 +307,88 @@ def test_suffix_tree_scores(docs, none):
     assert suffix_tree.score(none).count() == 0
 
 
+def _plain_scores(texts, training, deepest=None):
+    """The suffix trees with dictionaries: log10 scores of all texts."""
+
+    def grow(sequences, root, deepest=None):
+        trees, d = [{(): root}], 0
+        while d != deepest:
+            d += 1
+            found = collections.defaultdict(collections.Counter)
+            for s in sequences:
+                for i in range(d, len(s)):
+                    if s[i - d + 1 : i] in trees[-1]:
+                        found[s[i - d : i]][s[i]] += 1
+            kept = {}
+            for context, n in found.items():
+                counts, chance = trees[-1][context[1:]][:2]
+                total, above = sum(n.values()), sum(counts.values())
+                gain = sum(k * math.log(k / total * above / counts[x]) for x, k in n.items())
+                if total >= 2 and gain >= math.log(total) * len(n) / 2:
+                    rest = len(n) / (total + len(n))
+                    kept[context] = (n, {x: k / (total + len(n)) + rest * chance[x] for x, k in n.items()}, rest)
+            if not kept:
+                break
+            trees.append(kept)
+        return trees
+
+    def chance(trees, s, i, d, root):
+        if d == 0:
+            return root(s[i])
+        if i < d or s[i - d : i] not in trees[d]:
+            return chance(trees, s, i, d - 1, root)
+        n, p, rest = trees[d][s[i - d : i]]
+        return p[s[i]] if s[i] in p else rest * chance(trees, s, i, d - 1, root)
+
+    split = [(t or "").encode().lower().split() for t in texts]
+    counts, ends = collections.Counter(w for w, t in zip(split, training) if t for w in w), sum(training)
+    whole = {**counts, b"": ends} if ends else dict(counts)
+    of = lambda w: ("<", *w, ">")
+    letters = collections.Counter(x for w in whole for x in of(w)[1:])
+    size = sum(letters.values()) + 257
+    first = lambda x: (letters[x] + 1) / size
+    spell = grow([of(w) for w in whole], (letters, {x: first(x) for x in letters}))
+
+    def alone(w):
+        s = of(w)
+        p = math.prod(chance(spell, s, i, len(spell) - 1, first) for i in range(1, len(s)))
+        left = 0.75 * len(whole) + 1
+        return (max(0, whole.get(w, 0) - 0.75) + left * p) / (sum(whole.values()) + 1)
+
+    rows = [("<", *w, b"") for w in split]
+    known = {w: alone(w) for w in {x for r in rows for x in r[1:]}}
+    trees = grow([r for r, t in zip(rows, training) if t], (whole, known), deepest)
+    return [sum(math.log10(chance(trees, r, i, len(trees) - 1, known.get)) for i in range(1, len(r))) for r in rows], len(trees) - 1
+
+
+def _some_texts():
+    rng = random.Random(4)
+    words = ["ka", "kalo", "mi", "mire", "su", "su", "the", "ré", "x" * 12]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    return [*texts, *["su mi ka the new", "ka mi ré"] * 4, "", None, "never seen kami", "su su su su su su su", "su mi ka the new"]
+
+
+def test_scores_equal_plain_ones(spark):
+    texts = _some_texts()
+    want, _ = _plain_scores(texts, [i % 5 > 0 for i in range(len(texts))], 1)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = suffix_tree.score(frame, training=F.col("doc_id") % 5 > 0).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9), (r, want[r.doc_id])
+
+
+def test_rare_words_and_pairs_keep_their_statistic(spark):
+    rng = random.Random(8)
+    # 60,000 other words: a pair seen twice is far below any share of the corpus.
+    rows = [(" ".join("w%d" % rng.randrange(3000) for _ in range(60)),) for _ in range(1000)]
+    rows += [("w1 zalpha zbeta w2",)] * 2 + [("w1 zgamma zdelta w2",)] * 2
+    asked = [("zalpha zbeta",), ("zalpha zdelta",)]
+    frame = spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows + asked)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffix_tree.score(frame, training=F.col("doc_id") < len(rows)).collect()}
+    assert got[len(rows)] > got[len(rows) + 1] + 2
+
+
 def test_suffix_tree_is_a_distribution():
     tree = suffix_tree.SuffixTree([(0, 0, {97: 5, 32: 3}), (1, 97, {98: 4, 32: 1}), (2, 97 << 8 | 97, {98: 3})])
     for context in (0, 97, 97 << 8 | 97, 99):
