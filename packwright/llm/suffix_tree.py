@@ -8,7 +8,8 @@ one of texts, whose symbols are words and an end, and one of words, whose symbol
 end; it learns from each different training word once. Every training word has its own discounted share in the
 root of the upper tree, the discount goes to the letters. So every word has a probability, and those of all
 texts of a length sum to one or less.
-The upper tree's contexts are the word before or nothing (a list of one depth).
+A depth's contexts are those of the depth before with one more symbol in front, where that one was retained; the
+trees end at the depth that retains none.
 Scale. Both trees are Spark tables keyed by a 64-bit hash of the context (and the next symbol), as large as the
 corpus makes them; none of it is gathered on the driver. Texts are read three times: to count words, to turn
 them into symbols (a table of numbers, which each depth reads), to sum up roots. A depth counts the pairs of
@@ -230,7 +231,7 @@ def grams(sequences: DataFrame, depth: int, keys: tuple[str, ...] = ()) -> DataF
     return sequences.select(*keys, "symbols").mapInArrow(run, f"{kinds}context long, up long, next long, n long")
 
 
-def grow(sequences: DataFrame, root: DataFrame, name: str, deepest: int | None = None) -> list[tuple[DataFrame, DataFrame]]:
+def grow(sequences: DataFrame, root: DataFrame, name: str) -> list[tuple[DataFrame, DataFrame]]:
     """The tree of the sequences: per depth, from 1, the retained (context, rest) and their pairs
     (context, next, gained): log10 of what is left to the suffix, and of what the pair gains over its suffix.
     `root`: (context 0, next, n, total, p)."""
@@ -258,18 +259,18 @@ def grow(sequences: DataFrame, root: DataFrame, name: str, deepest: int | None =
             f"{name}{number}_pairs",
         )
         out.append((contexts, above.select("context", "next", (F.col("gained") - F.col("rest")).alias("gained"))))
-        if number == deepest:
-            return out
 
 
 def along(sequences: DataFrame, tree: list[tuple[DataFrame, DataFrame]], keys: tuple[str, ...]) -> DataFrame | None:
     """(keys, p): what the retained contexts add to the root's log10 probability; several rows per key."""
     out = None
     for depth, (contexts, pairs) in enumerate(tree, 1):
-        for model, on, value in ((contexts, ["context"], "rest"), (pairs, ["context", "next"], "gained")):
-            # Whether found or not, a place pays the rest of its context; a pair that is found gains it back.
-            part = grams(sequences, depth, keys).join(model, on).groupBy(*keys).agg(F.sum(F.col("n") * F.col(value)).alias("p"))
-            out = part if out is None else out.unionByName(part)
+        # Whether found or not, a place pays the rest of its context; a pair that is found gains it back.
+        met = grams(sequences, depth, keys).join(contexts, "context").join(pairs, ["context", "next"], "left")
+        part = met.groupBy(*keys).agg(F.sum(F.col("n") * (F.col("rest") + F.coalesce("gained", F.lit(0.0)))).alias("p"))
+        # Written apart, so that what one depth shuffled may go before the next one does.
+        part = written(part, f"{keys[0]}_depth{depth}")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -324,7 +325,7 @@ def score(
         F.pow(F.lit(10.0), "p").alias("p"),
     )
     symbols = written(text_symbols(rows), "symbols")
-    tree = grow(symbols.where("not held"), root, "texts", 1)
+    tree = grow(symbols.where("not held"), root, "texts")
     end_chance = known.where("next = %d" % END).first().p
     often = sorted(
         (bytes(r.word), r.c, r.p) for r in known.where((F.col("c") > n_train / FREQUENT) & (F.length("word") > 0)).toLocalIterator()

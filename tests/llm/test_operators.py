@@ -307,12 +307,12 @@ def test_suffix_tree_scores(docs, none):
     assert suffix_tree.score(none).count() == 0
 
 
-def _plain_scores(texts, training, deepest=None):
+def _plain_scores(texts, training):
     """The suffix trees with dictionaries: log10 scores of all texts."""
 
-    def grow(sequences, root, deepest=None):
+    def grow(sequences, root):
         trees, d = [{(): root}], 0
-        while d != deepest:
+        while True:
             d += 1
             found = collections.defaultdict(collections.Counter)
             for s in sequences:
@@ -328,9 +328,8 @@ def _plain_scores(texts, training, deepest=None):
                     rest = len(n) / (total + len(n))
                     kept[context] = (n, {x: k / (total + len(n)) + rest * chance[x] for x, k in n.items()}, rest)
             if not kept:
-                break
+                return trees
             trees.append(kept)
-        return trees
 
     def chance(trees, s, i, d, root):
         if d == 0:
@@ -357,7 +356,7 @@ def _plain_scores(texts, training, deepest=None):
 
     rows = [("<", *w, b"") for w in split]
     known = {w: alone(w) for w in {x for r in rows for x in r[1:]}}
-    trees = grow([r for r, t in zip(rows, training) if t], (whole, known), deepest)
+    trees = grow([r for r, t in zip(rows, training) if t], (whole, known))
     return [sum(math.log10(chance(trees, r, i, len(trees) - 1, known.get)) for i in range(1, len(r))) for r in rows], len(trees) - 1
 
 
@@ -365,12 +364,14 @@ def _some_texts():
     rng = random.Random(4)
     words = ["ka", "kalo", "mi", "mire", "su", "su", "the", "ré", "x" * 12]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    texts += [" ".join(rng.choice(["ka x lo", "mi x su"]) for _ in range(20)) for _ in range(20)]
     return [*texts, *["su mi ka the new", "ka mi ré"] * 4, "", None, "never seen kami", "su su su su su su su", "su mi ka the new"]
 
 
 def test_scores_equal_plain_ones(spark):
     texts = _some_texts()
-    want, _ = _plain_scores(texts, [i % 5 > 0 for i in range(len(texts))], 1)
+    want, depth = _plain_scores(texts, [i % 5 > 0 for i in range(len(texts))])
+    assert depth >= 2
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = suffix_tree.score(frame, training=F.col("doc_id") % 5 > 0).collect()
     assert len(got) == len(texts)
@@ -389,6 +390,15 @@ def test_rare_words_and_pairs_keep_their_statistic(spark):
     assert got[len(rows)] > got[len(rows) + 1] + 2
 
 
+def test_next_word_depends_on_two(spark):
+    # "x" alone tells nothing, the word before it all.
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["ka x lo", "mi x su"]) for _ in range(20)) for _ in range(40)] + ["ka x lo", "ka x su"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffix_tree.score(frame, training=F.col("doc_id") < 40).collect()}
+    assert got[40] > got[41] + 1
+
+
 def test_suffix_tree_is_a_distribution():
     tree = suffix_tree.SuffixTree([(0, 0, {97: 5, 32: 3}), (1, 97, {98: 4, 32: 1}), (2, 97 << 8 | 97, {98: 3})])
     for context in (0, 97, 97 << 8 | 97, 99):
