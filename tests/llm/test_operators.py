@@ -145,6 +145,19 @@ def test_trees_learn_a_mark(spark):
     assert base == [] and every in ([], [(5, 3, 19)])
 
 
+def test_adjacent_numbers_are_added(spark):
+    rng = random.Random(9)
+    number = lambda: f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    rows = [(f"call +1-{number()} today or nr {rng.randint(10**5, 10**6 - 1)}-{rng.randint(0, 9)} x",) for _ in range(900)]
+    model, limits = pii.learn(spark.createDataFrame(rows, "text string"))
+    for text in ("call 555-123-4567 555-987-6543 x", "10.0.0.1 415-555-1234 x", "2024 415-555-1234 x"):
+        assert {(m.start(), 3, m.end()) for m in re.finditer(r"[0-9]{3}-[0-9]{3}-[0-9]{4}", text)} <= set(pii.candidates(text)), text
+    for text, n in (("call 555-123-4567 555-987-6543 x", 2), ("10.0.0.1 415-555-1234 x", 1)):
+        base, every = pii.all_spans(text, model, limits)
+        more = [x for x in every if x not in base]
+        assert more and sum(len(re.findall("[0-9]", text[s:e])) for s, _, e in more) >= 10 * n, (text, every, limits)
+
+
 def test_neighbours_recall_and_cases(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16))
