@@ -158,6 +158,19 @@ def test_adjacent_numbers_are_added(spark):
         assert more and sum(len(re.findall("[0-9]", text[s:e])) for s, _, e in more) >= 10 * n, (text, every, limits)
 
 
+def test_rare_kinds_have_their_own_examples(spark):
+    rng = random.Random(10)
+    card = "4111 1111 1111 1111"
+    rows = [(f"nr {rng.randint(10**6, 10**8)} x",) for _ in range(4000)]
+    rows += [(f"paid {'abcdefgh'[i]} by card {card} x",) for i in range(8)]
+    frame = spark.createDataFrame(rows, "text string")
+    x, y, weights = pii._labelled(frame, 800)
+    assert ((x[:, 0] == 2) & (y == 1)).sum() == 8
+    phones = (x[:, 0] == 3) & (y == 0)
+    assert phones.sum() == 100 and 2500 < weights[phones].sum() < 6000
+    assert all(t <= 1 for t in pii.learn(frame, 800)[1])
+
+
 def test_neighbours_recall_and_cases(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16))
