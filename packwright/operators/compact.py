@@ -355,9 +355,13 @@ def _write_jobs(
             numbered = f"{target}/.by_number-{uuid.uuid4().hex}"
             writer.partitionBy("__pw_slice").parquet(numbered)
             written = set(storage.child_dirs(numbered))
-            names = mine.select("slice_id", "partition").collect()
+            names = mine.select("slice_id", "partition", "first_bucket", "last_bucket").collect()
             storage.move_into(
-                (f"{numbered}/__pw_slice={r.slice_id}", f"{target}/{r.partition}".rstrip("/"))
+                (
+                    f"{numbered}/__pw_slice={r.slice_id}",
+                    f"{target}/{r.partition}".rstrip("/"),
+                    "" if _whole(r) else f"slice-{r.slice_id}-",
+                )
                 for r in names
                 if f"__pw_slice={r.slice_id}" in written
             )

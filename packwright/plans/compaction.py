@@ -99,7 +99,8 @@ def job_plan(
 
     Slices are dealt to `groups` by hash and cut within a group by running sum, so a job never holds more
     than `job_files` files and one slice. Inside a job, a slice of n > 1 files owns tasks
-    `first_task .. first_task + n - 1`; slices of one file share the tasks after those.
+    `first_task .. first_task + n - 1`, and so does a slice of a cut partition: two slices of one directory
+    never meet in a task. Whole partitions of one file share the tasks after those.
     """
     group = F.pmod(F.xxhash64("leaf_uri", "first_bucket"), F.lit(groups))
     dealt = slices.join(digest, "leaf_uri", "left").withColumn("job_group", group)
@@ -114,11 +115,13 @@ def job_plan(
     running = in_job.orderBy("leaf_uri", "first_bucket").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    own = F.when(F.col("n") > 1, F.col("n")).otherwise(0)
+    cut = F.col("last_bucket") - F.col("first_bucket") < FILE_BUCKETS - 1
+    alone = cut | (F.col("n") > 1)
+    own = F.when(alone, F.col("n")).otherwise(0)
     floor_bytes = F.lit(max(1, target_bytes // SHARED_TASK_PARTITIONS))
-    shared = F.when(F.col("n") == 1, F.greatest(F.col("bytes"), floor_bytes)).otherwise(0)
+    shared = F.when(alone, 0).otherwise(F.greatest(F.col("bytes"), floor_bytes))
     shared_before = F.sum(shared).over(running) - shared
-    first_task = F.when(F.col("n") > 1, F.sum(own).over(running) - own).otherwise(
+    first_task = F.when(alone, F.sum(own).over(running) - own).otherwise(
         F.sum(own).over(in_job) + F.floor(shared_before / F.lit(target_bytes))
     )
     run_rows = F.greatest(

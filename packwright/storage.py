@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby
 
 from pyspark.sql import SparkSession
 
@@ -11,6 +13,11 @@ from packwright.errors import MaintenanceError, PromotionError
 
 RENAME_THREADS = 16
 
+# Targets of renames under way in this process: looking and renaming are two calls, and not every file system
+# refuses a rename onto an existing file.
+_claimed: set[str] = set()
+_claims = threading.Lock()
+
 
 def normalise(path: str) -> str:
     """Drop trailing slashes; refuse a path that names nothing or a file system root."""
@@ -63,11 +70,23 @@ class Storage:
             raise MaintenanceError(f"could not create {path}")
 
     def rename(self, source: str, target: str) -> None:
-        """Rename to a name that must be free: a rename onto a directory would nest the source in it."""
-        if self.exists(target):
-            raise PromotionError(f"{target} is in the way of {source}")
-        if not self._fs.rename(self._path(source), self._path(target)):
-            raise PromotionError(f"could not rename {source} to {target}")
+        """Rename to a name that must be free: a rename onto a directory would nest the source in it.
+
+        Of two threads that want one name, only one gets it.
+        """
+        name = self.qualified(target)
+        with _claims:
+            if name in _claimed:
+                raise PromotionError(f"{target} is in the way of {source}")
+            _claimed.add(name)
+        try:
+            if self.exists(target):
+                raise PromotionError(f"{target} is in the way of {source}")
+            if not self._fs.rename(self._path(source), self._path(target)):
+                raise PromotionError(f"could not rename {source} to {target}")
+        finally:
+            with _claims:
+                _claimed.discard(name)
 
     def delete(self, path: str) -> None:
         if self.exists(path) and not self._fs.delete(self._path(path), True):
@@ -79,15 +98,30 @@ class Storage:
         ):
             raise MaintenanceError(f"could not copy {source} to {target}")
 
-    def move_into(self, moves: Iterable[tuple[str, str]]) -> None:
-        """Move every visible file of each source directory into its target directory."""
-
-        def move(pair: tuple[str, str]) -> None:
-            source, target = pair
+    def move_into(self, moves: Iterable[tuple[str, str, str]]) -> None:
+        """Bring the visible files of each (source, target, mark) directory into its target directory.
+
+        Without a mark the source is the target's only one: the directory itself is renamed, unless the target
+        is there already. Otherwise its files are renamed one by one, the mark put into their names, since
+        several sources may hold files of one name. Targets go by depth, so that a directory comes before those
+        inside it.
+        """
+
+        def move(one: tuple[str, str, str]) -> None:
+            source, target, mark = one
+            if not mark and not self.exists(target):
+                self.mkdirs(target.rsplit("/", 1)[0])
+                self.rename(source, target)
+                return
             self.mkdirs(target)
             for name in self.child_files(source):
                 if not name.startswith(("_", ".")):
-                    self.rename(f"{source}/{name}", f"{target}/{name}")
+                    self.rename(f"{source}/{name}", f"{target}/{mark}{name}")
 
         with ThreadPoolExecutor(RENAME_THREADS) as pool:
-            list(pool.map(move, moves))
+            for _, level in groupby(sorted(moves, key=_depth), key=_depth):
+                list(pool.map(move, level))
+
+
+def _depth(move: tuple[str, str, str]) -> int:
+    return move[1].count("/")

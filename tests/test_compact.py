@@ -426,6 +426,17 @@ def test_many_jobs_of_a_mixed_table(spark, place):
     assert len(report) == 4
 
 
+def test_whole_directories_are_renamed_not_their_files(spark, place, monkeypatch):
+    base, moved, rename = f"{place}/db", [], Storage.rename
+    for day in range(12):
+        write_rows(spark, events(spark).limit(400), f"{base}/t/202401{day:02d}", 3)
+    monkeypatch.setattr(Storage, "rename", lambda self, a, b: (moved.append(b), rename(self, a, b)))
+    pw.compact_table(spark, f"{base}/t", f"{place}/out", target_bytes=4096)
+    assert sorted(moved) == [f"{place}/out/202401{day:02d}" for day in range(12)]
+    assert len(visible_files(f"{place}/out")) > 12
+    assert rows_by_file(spark, f"{place}/out") == rows_by_file(spark, f"{base}/t")
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_random_databases(spark, place, seed):
     rng = random.Random(seed)

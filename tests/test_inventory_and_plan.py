@@ -1,17 +1,19 @@
 from __future__ import annotations
 
 import os
+import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from helpers import visible_files, write_rows
 from pyspark.sql import functions as F
 
 import packwright as pw
-from packwright.errors import MaintenanceError
+from packwright.errors import MaintenanceError, PromotionError
 from packwright.functions.columns import FILE_BUCKETS
 from packwright.plans.compaction import SHARED_TASK_PARTITIONS, job_plan, slice_plan
 from packwright.sources.parquet import read_files
-from packwright.storage import literal, normalise
+from packwright.storage import Storage, literal, normalise
 
 ODD = ["mm=01", "k=a b%3Ac", "k=x+y%25z", "20240101", "k=__HIVE_DEFAULT_PARTITION__", "ä/b=1"]
 
@@ -106,6 +108,42 @@ def test_jobs_are_bounded_and_tasks_do_not_overlap(spark):
         assert len({r.slice_id for r in mine}) == len(mine)
 
 
+@pytest.mark.parametrize("slice_files", [1, 2])
+def test_slices_of_one_directory_never_share_a_task(spark, slice_files):
+    """200 directories of randomly named files, cut as in a table of mixed names, in several jobs."""
+    rng = random.Random(slice_files)
+    names = [(f"p{i}", f"file:/x/p{i}/part-{rng.random()}.parquet", rng.randint(900, 6000)) for i in range(200) for _ in range(5)]
+    rows = [(p, f"file:/x/{p}", uri, size) for p, uri, size in names]
+    listing = spark.createDataFrame(rows, "partition string, leaf_uri string, uri string, bytes bigint")
+    digest = listing.groupBy("leaf_uri").agg(F.sum("bytes").alias("rows"), F.lit("").alias("fingerprint"))
+    plan = job_plan(slice_plan(listing, 4096, slice_files), digest, 4, 300, 4096).collect()
+    assert len(plan) > 250 and len({r.job for r in plan}) >= 4
+    places = [(r.job, r.leaf_uri, t) for r in plan for t in range(r.first_task, r.first_task + r.n)]
+    assert len(places) == len(set(places))
+    assert len({(r.job, r.slice_id) for r in plan}) == len(plan)
+
+
+def test_one_of_two_renames_onto_a_name_fails(spark, place):
+    storage = Storage(spark, place)
+    for turn in range(60):
+        for side in "ab":
+            with open(f"{place}/{side}{turn}", "w") as f:
+                f.write(side)
+
+        def move(side, turn=turn):
+            try:
+                storage.rename(f"{place}/{side}{turn}", f"{place}/to{turn}")
+            except PromotionError:
+                return 0
+            return 1
+
+        with ThreadPoolExecutor(2) as pool:
+            assert sum(pool.map(move, "ab")) == 1
+        left = [s for s in "ab" if os.path.exists(f"{place}/{s}{turn}")]
+        with open(f"{place}/to{turn}") as f:
+            assert sorted([*left, f.read()]) == ["a", "b"]
+
+
 @pytest.mark.parametrize("path", ["", "NULL", "/", "hdfs://nn", "hdfs://nn/", "file:/", "s3a://bucket/"])
 def test_paths_that_name_no_directory_are_refused(path):
     with pytest.raises(MaintenanceError):
