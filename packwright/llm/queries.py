@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.llm import (
-    mixing, near_dedup, neighbours, packing, pii, quality_rules, substring_dedup, suffix_tree, token_counts, url_filter,
+    mixing, near_dedup, neighbours, packing, pii, quality_rules, substring_dedup, suffix_tree, token_counts, token_files, url_filter,
 )
 from packwright.llm.common import given, text_or_empty
+from packwright.session import scratch_dir
 
 #: Rules of the URL query.
 URL_RULES = [
@@ -83,6 +84,13 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "tokens")
+    token_files.write_token_files(given(spark, sf_dir, "documents"), path)
+    out = token_files.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids")
+    return token_files.with_crc32(out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_two_fit": pack,
     "op2_private_spans": private,
@@ -94,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree_scores": scores,
     "op9_near_duplicates": near,
     "op10_repeated_passages": repeats,
+    "op13_token_files": token_rows,
 }
 
 

@@ -44,7 +44,7 @@ class WordIds(dict):
         if _PLAIN.fullmatch(text) and "<|" not in text:
             ids = b"".join([self._pieces.get(p) or self._piece(p) for p in _PIECES.findall(text.lower())])
         else:
-            ids = _packed(self._whole.encode(text, add_special_tokens=False).ids)
+            ids = packed(self._whole.encode(text, add_special_tokens=False).ids)
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         self[word] = ids
@@ -52,7 +52,7 @@ class WordIds(dict):
 
     def _piece(self, piece: str) -> bytes:
         mapped = "".join(p for p, _ in self._bytes.pre_tokenize_str(piece))
-        ids = _packed([t.id for t in self._model.tokenize(mapped)])
+        ids = packed([t.id for t in self._model.tokenize(mapped)])
         if len(self._pieces) >= CACHE_ENTRIES:
             self._pieces.clear()
         self._pieces[piece] = ids
@@ -67,7 +67,7 @@ class WordIds(dict):
         return np.fromiter(map(len, map(self.__getitem__, words)), np.int64, len(words)) >> 2
 
 
-def _packed(ids: list[int]) -> bytes:
+def packed(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
