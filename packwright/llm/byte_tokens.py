@@ -1,29 +1,36 @@
 """Token ids of whole texts by a byte-level tokenizer file, chunk by chunk.
 
 The vocabulary's pre-tokenizer never lets a token reach from a character that is no white space over the white
-space after it. So a text may be cut there, and the ids of a text are those of its chunks in a row; equal chunks
-are encoded once per worker.
+space after it. So a text may be cut there, and the ids of a text are those of its chunks in a row; equal words
+are encoded once per worker. A word of common letters is cut into pre-tokens here, and only new pre-tokens reach
+the tokenizer's model; all others go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
-import numpy as np
+import regex
 
 from packwright.llm.word_tokens import packed
 
-#: Words that a worker remembers (some 180 MB); beyond that, those of the texts at hand.
+#: Words that a worker remembers (some 180 MB), and pre-tokens; emptied beyond that.
 CACHE_ENTRIES = 1_000_000
-#: Chunks that are encoded as one text.
-JOINED = 10_000
 
 # White space of any library, and what might be: a cut is made only after characters outside this class.
 _ODD = r"\x00-\x20\x7F-\xA0\xAD\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u206F\u3000\uFEFF"
 _IRREGULAR = re.compile(rf"(?:^|[{_ODD}])\x20")
-_IS_ODD = re.compile(f"[{_ODD}]")
 _AT_SPACE = re.compile(rf"(?<=[^{_ODD}])(?=\x20)")
 _AT_LINE = re.compile(rf"(?<=[^{_ODD}])(?=\n)")
+#: Bytes that some odd character but space and line feed has: a text without them needs no closer look.
+_RARE = bytes([*range(0x0A), *range(0x0B, 0x20), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+
+#: Chunks of these characters are cut alike by every library; what may hold a special token is not.
+_PLAIN = re.compile(r"[\x20\n]?[\x21-\x7E\xA1-\xAC\xAE-\u017E]*")
+#: The pre-tokenizer's own pattern (fixed value of the vocabulary file), and what it means for ASCII chunks.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 _encoders: dict[str, ByteIds] = {}
 
@@ -42,6 +49,14 @@ def byte_ids(path: str | None = None) -> ByteIds:
     return _encoders[path]
 
 
+def _byte_names() -> dict[int, str]:
+    """The characters a vocabulary's names use for bytes: visible ones stand for themselves, all others are
+    numbered from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in visible else chr(next(rest)) for b in range(256)}
+
+
 class ByteIds:
     """Encodes texts; ids come as little-endian 32-bit numbers."""
 
@@ -49,52 +64,61 @@ class ByteIds:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        names = self._tokenizer.get_vocab()
-        # How many bytes of text an id stands for: a token's name has a character for each of them.
-        self._bytes = np.zeros(max(names.values()) + 1, np.int64)
-        for name, number in names.items():
-            self._bytes[number] = len(name)
+        self._model = self._tokenizer.model
+        self._names = _byte_names()
         self._words: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text."""
-        words = [[] if _IRREGULAR.search(t) else t.split(" ") for t in texts]
-        known = self._known(set().union(*[w[1:] for w in words]))
-        heads = [_AT_LINE.split(w[0]) if w else _chunks(t) for w, t in zip(words, texts, strict=True)]
-        first = self._encoded(list(dict.fromkeys(c for chunks in heads for c in chunks)))
-        return [
-            b"".join([*map(first.__getitem__, chunks), *map(known.__getitem__, w[1:])])
-            for chunks, w in zip(heads, words, strict=True)
-        ]
-
-    def _known(self, need: set[str]) -> dict[str, bytes]:
-        """Ids of the words, each with the space before it."""
-        new = need.difference(self._words)
-        if len(self._words) + len(new) > CACHE_ENTRIES:
-            self._words = {w: self._words[w] for w in need.difference(new)}
-        parts = {w: _AT_LINE.split(" " + w) if "\n" in w else [" " + w] for w in new}
-        ids = self._encoded(list(dict.fromkeys(c for chunks in parts.values() for c in chunks)))
-        for word, chunks in parts.items():
-            self._words[word] = b"".join(map(ids.__getitem__, chunks))
-        return self._words
-
-    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of each chunk. Those that may stand in a row, whatever comes before and after, are encoded as one
-        text, and its ids dealt out by the bytes that each of them stands for."""
-        joint, single = [], []
-        for c in chunks:
-            (joint if c[:1] in (" ", "\n") and not _IS_ODD.match(c[-1]) else single).append(c)
-        out = {}
-        for at in range(0, len(joint), JOINED):
-            some = joint[at : at + JOINED]
-            ids = np.array(self._tokenizer.encode("".join(some), add_special_tokens=False).ids, np.int64)
-            ends = np.cumsum([len(c.encode()) for c in some])
-            cuts = [0, *(4 * np.searchsorted(np.cumsum(self._bytes[ids]), ends, "right")).tolist()]
-            data = packed(ids)
-            out.update(zip(some, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-        encoded = self._tokenizer.encode_batch_fast(single, add_special_tokens=False) if single else []
-        out.update(zip(single, [packed(e.ids) for e in encoded], strict=True))
-        return out
+        return list(map(self._text, texts))
+
+    def _text(self, text: str) -> bytes:
+        if _irregular(text):
+            return b"".join(map(self._chunk, _chunks(text)))
+        head, *words = text.split(" ")
+        ids = list(map(self._words.get, words))
+        for i in [i for i, known in enumerate(ids) if known is None]:
+            ids[i] = self._words.get(words[i]) or self._word(words[i])
+        return b"".join([*map(self._chunk, _AT_LINE.split(head)), *ids])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with the space before it."""
+        if word.isascii() and word.isalpha():
+            ids = self._piece(" " + word)
+        elif "\n" in word:
+            ids = b"".join(map(self._chunk, _AT_LINE.split(" " + word)))
+        else:
+            ids = self._chunk(" " + word)
+        if len(self._words) >= CACHE_ENTRIES:
+            self._words.clear()
+        self._words[word] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk, whatever comes before and after it."""
+        if "<|" in chunk or not _PLAIN.fullmatch(chunk):
+            return packed(self._tokenizer.encode(chunk, add_special_tokens=False).ids)
+        pieces = (_ASCII_PIECES if chunk.isascii() else _PIECES).findall(chunk)
+        return b"".join([self._pieces.get(p) or self._piece(p) for p in pieces])
+
+    def _piece(self, piece: str) -> bytes:
+        known = self._pieces.get(piece)
+        if known is None:
+            named = piece.encode().decode("latin-1").translate(self._names)
+            known = array("I", [t.id for t in self._model.tokenize(named)]).tobytes()
+            if len(self._pieces) >= CACHE_ENTRIES:
+                self._pieces.clear()
+            self._pieces[piece] = known
+        return known
+
+
+def _irregular(text: str) -> bool:
+    """Whether some space does not follow a character that surely is no white space."""
+    if "  " in text or "\n " in text or text[:1] == " ":
+        return True
+    data = text.encode()
+    return len(data.translate(None, _RARE)) < len(data) and _IRREGULAR.search(text) is not None
 
 
 def _chunks(text: str) -> list[str]:

@@ -68,7 +68,7 @@ class WordIds(dict):
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    return np.array(ids, "<u4").tobytes()
 
 
 def is_plain(text: str) -> bool:
