@@ -32,6 +32,9 @@ _PLAIN = re.compile(r"[\x20\n]?[\x21-\x7E\xA1-\xAC\xAE-\u017E]*")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+#: Marks that no pre-token joins to the letters before them.
+_MARKS = frozenset(".,;:!?")
+
 _encoders: dict[str, ByteIds] = {}
 
 
@@ -84,12 +87,13 @@ class ByteIds:
 
     def _word(self, word: str) -> bytes:
         """Ids of a word with the space before it."""
-        if word.isascii() and word.isalpha():
-            ids = self._piece(" " + word)
-        elif "\n" in word:
-            ids = b"".join(map(self._chunk, _AT_LINE.split(" " + word)))
+        stem = word[:-1]
+        if word.isalpha() and _PLAIN.fullmatch(word):
+            ids = self._tokenized(" " + word)
+        elif word[-1:] in _MARKS and stem.isalpha() and _PLAIN.fullmatch(stem):
+            ids = (self._words.get(stem) or self._word(stem)) + (self._pieces.get(word[-1]) or self._piece(word[-1]))
         else:
-            ids = self._chunk(" " + word)
+            ids = b"".join(map(self._chunk, _AT_LINE.split(" " + word)))
         if len(self._words) >= CACHE_ENTRIES:
             self._words.clear()
         self._words[word] = ids
@@ -103,14 +107,16 @@ class ByteIds:
         return b"".join([self._pieces.get(p) or self._piece(p) for p in pieces])
 
     def _piece(self, piece: str) -> bytes:
-        known = self._pieces.get(piece)
-        if known is None:
-            named = piece.encode().decode("latin-1").translate(self._names)
-            known = array("I", [t.id for t in self._model.tokenize(named)]).tobytes()
-            if len(self._pieces) >= CACHE_ENTRIES:
-                self._pieces.clear()
-            self._pieces[piece] = known
-        return known
+        if piece[:1] == " " and piece[1:].isalpha():
+            return self._words.get(piece[1:]) or self._word(piece[1:])
+        if len(self._pieces) >= CACHE_ENTRIES:
+            self._pieces.clear()
+        self._pieces[piece] = ids = self._tokenized(piece)
+        return ids
+
+    def _tokenized(self, piece: str) -> bytes:
+        named = piece.encode().decode("latin-1").translate(self._names)
+        return array("I", [t.id for t in self._model.tokenize(named)]).tobytes()
 
 
 def _irregular(text: str) -> bool:
