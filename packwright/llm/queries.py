@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.llm import (
-    mixing, near_dedup, neighbours, packing, pii, quality_rules, substring_dedup, suffix_tree, token_counts, token_files, url_filter,
+    collocations, mixing, near_dedup, neighbours, packing, pii, quality_rules, substring_dedup, suffix_tree, token_counts, token_files, url_filter,
 )
 from packwright.llm.common import given, text_or_empty
 from packwright.session import scratch_dir
@@ -84,6 +84,10 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(given(spark, sf_dir, "documents"))
+
+
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "tokens")
     token_files.write_token_files(given(spark, sf_dir, "documents"), path)
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree_scores": scores,
     "op9_near_duplicates": near,
     "op10_repeated_passages": repeats,
+    "op12_collocations": phrases,
     "op13_token_files": token_rows,
 }
 
@@ -127,4 +132,8 @@ def _urls_sql() -> str:
             ON n.page_id IS NOT DISTINCT FROM f.page_id AND n.host = f.host AND n.path = f.path"""
 
 
-ORACLE_SQL: dict[str, str] = {"op4_raked_mix": mixing.mix_sql(), "op7_url_bloom": _urls_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op4_raked_mix": mixing.mix_sql(),
+    "op7_url_bloom": _urls_sql(),
+    "op12_collocations": collocations.collocations_sql(),
+}

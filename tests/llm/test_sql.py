@@ -12,7 +12,7 @@ from packwright.llm import queries
 @pytest.mark.parametrize("key", sorted(queries.ORACLE_SQL))
 def test_matches_sql(spark, key):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{CHECK}/{table}.parquet')")
     got = queries.QUERIES[key](spark, CHECK)
     want = con.execute(queries.ORACLE_SQL[key])
