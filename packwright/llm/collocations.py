@@ -37,12 +37,12 @@ COVERED = 100
 #: Bits of the filter of frequent runs: 16 MiB.
 FILTER_BITS = 1 << 27
 #: Bytes of text that are hashed together, and occurrences that are summed up together.
-SLICE_BYTES = 4 << 20
-SUMMED = 4_000_000
+SLICE_BYTES = 2 << 20
+SUMMED = 2_000_000
 #: A pointer is 39 bits of its text's key and 24 of the word's place; later words have the last place.
 PLACE_BITS = 24
 LAST_PLACE = (1 << PLACE_BITS) - 1
-#: Groups in which the first phrases of a language are found before they meet.
+#: Groups a language's phrases are dealt to until few are left, so that one language is no hot group.
 GROUPS = 256
 
 NO_LANG = "und"
@@ -290,7 +290,9 @@ def collocations(
     left = counts.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l"))
     right = counts.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r"))
     exact = "(cast(1000 * a as decimal(19,0)) * cast(words as decimal(19,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
-    scored = cuts.join(left, ["lang", "left"]).join(right, ["lang", "right"]).join(totals, "lang")
+    group = F.pmod(F.xxhash64("phrase"), F.lit(GROUPS)).cast("int")
+    spread = totals.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+    scored = cuts.join(left, ["lang", "left"]).join(right, ["lang", "right"]).withColumn("_g", group).join(spread, ["lang", "_g"])
     best = scored.withColumn("score", F.expr(exact)).groupBy("lang", "phrase", "a", F.col("words").alias("n")).agg(
         F.min(F.struct("score", "k", "l", "r")).alias("cut")
     )
@@ -305,7 +307,6 @@ def collocations(
         F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a"))
     ).select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    group = F.pmod(F.xxhash64("phrase"), F.lit(GROUPS))
     few = kept.withColumn("_g", group).withColumn(
         "_r", F.row_number().over(Window.partitionBy("lang", "_g").orderBy(*order))
     ).where(F.col("_r") <= first)
