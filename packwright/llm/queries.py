@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.llm import (
-    collocations, mixing, near_dedup, neighbours, packing, pii, quality_rules, substring_dedup, suffix_tree, token_counts, token_files, url_filter,
+    collocations, fp_tree, mixing, near_dedup, neighbours, packing, pii, quality_rules, substring_dedup, suffix_tree, token_counts, token_files, url_filter,
 )
 from packwright.llm.common import given, text_or_empty
 from packwright.session import scratch_dir
@@ -84,6 +84,10 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp_tree.rank_documents(given(spark, sf_dir, "benchmark"), given(spark, sf_dir, "documents"))
+
+
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(given(spark, sf_dir, "documents"))
 
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree_scores": scores,
     "op9_near_duplicates": near,
     "op10_repeated_passages": repeats,
+    "op11_fp_tree_search": ranked,
     "op12_collocations": phrases,
     "op13_token_files": token_rows,
 }
@@ -135,5 +140,6 @@ def _urls_sql() -> str:
 ORACLE_SQL: dict[str, str] = {
     "op4_raked_mix": mixing.mix_sql(),
     "op7_url_bloom": _urls_sql(),
+    "op11_fp_tree_search": fp_tree.rank_sql(),
     "op12_collocations": collocations.collocations_sql(),
 }
