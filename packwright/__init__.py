@@ -1,7 +1,7 @@
 """Keep file-based tables healthy with Spark: inventory, compaction, checked swap, staging load."""
 
-from packwright.operators.compact import compact_database, compact_partition, compact_table
-from packwright.operators.promote import map_path, promote, recover
+from packwright.operators.compact import compact_catalog_table, compact_database, compact_partition, compact_table
+from packwright.operators.promote import map_path, promote, promote_table, recover
 from packwright.operators.stage_load import stage_load
 from packwright.operators.verify import verify_compaction
 from packwright.plans.compaction import TARGET_BYTES, compaction_plan, output_files
@@ -14,6 +14,7 @@ __all__ = [
     "PathTarget",
     "TARGET_BYTES",
     "TableTarget",
+    "compact_catalog_table",
     "compact_database",
     "compact_partition",
     "compact_table",
@@ -25,6 +26,7 @@ __all__ = [
     "output_files",
     "partition_size",
     "promote",
+    "promote_table",
     "read_partition",
     "read_table",
     "recover",

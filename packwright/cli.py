@@ -7,7 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
-from packwright.operators.compact import compact_database
+from packwright.operators.compact import compact_catalog_table, compact_database
+from packwright.operators.promote import promote_table, recover
 from packwright.operators.stage_load import stage_load
 from packwright.plans.compaction import TARGET_BYTES
 from packwright.sinks.targets import JdbcTarget, PathTarget, TableTarget
@@ -20,6 +21,7 @@ def _pairs(values: list[str]) -> dict[str, str]:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="packwright")
+    top.add_argument("--no-hive", action="store_true", help="do without the Hive catalog")
     commands = top.add_subparsers(dest="command", required=True)
 
     compact = commands.add_parser("compact", help="compact every table below a directory")
@@ -33,6 +35,20 @@ def parser() -> argparse.ArgumentParser:
     compact.add_argument("--concurrency", type=int, default=4, help="tables worked on at a time")
     compact.add_argument("--refresh", action="append", default=[], help="catalog table to refresh")
 
+    catalog = commands.add_parser("compact-table", help="compact a catalog table into a new directory, point it there")
+    catalog.add_argument("--table", required=True)
+    catalog.add_argument("--out", required=True, help="new directory")
+    catalog.add_argument("--target-bytes", type=int, default=TARGET_BYTES)
+
+    point = commands.add_parser("promote-table", help="point a catalog table at a checked copy")
+    point.add_argument("--table", required=True)
+    point.add_argument("--path", required=True, help="directory of the copy")
+    point.add_argument("--verify", choices=("full", "rows"), default="full")
+
+    again = commands.add_parser("recover", help="take a swap that was cut off back, or on to its end")
+    again.add_argument("--basepath", "-p", required=True)
+    again.add_argument("--forward", action="store_true")
+
     load = commands.add_parser("load", help="replace a staging table by files under a prefix")
     load.add_argument("--root", required=True, help="directory or bucket")
     load.add_argument("--prefix", required=True, help="leading text of the keys")
@@ -84,6 +100,13 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
             "sum(rows_after) AS rows",
         )
         print(totals.first().asDict())
+    elif args.command == "compact-table":
+        report = compact_catalog_table(spark, args.table, args.out, target_bytes=args.target_bytes)
+        print(report.selectExpr("count(*) AS partitions", "sum(files_before) AS files_before", "sum(files_after) AS files_after").first().asDict())
+    elif args.command == "promote-table":
+        print({"old": promote_table(spark, args.table, args.path, args.verify)})
+    elif args.command == "recover":
+        print({"changed": recover(spark, args.basepath, args.forward)})
     else:
         rows = stage_load(
             spark, args.root, args.prefix, args.format, target_of(args), _pairs(args.option)
@@ -92,4 +115,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
 
 
 def main() -> None:
-    run(SparkSession.builder.appName("packwright").getOrCreate())
+    builder = SparkSession.builder.appName("packwright")
+    if not parser().parse_args().no_hive:
+        builder = builder.enableHiveSupport()
+    run(builder.getOrCreate())

@@ -30,10 +30,16 @@ from packwright.errors import (
 from packwright.functions.columns import below, file_bucket, file_uri, named, parent
 from packwright.operators.promote import (
     RETIRED_SUFFIX,
+    finish_swap,
+    journal_path,
+    keep_sources,
     map_path,
+    promote_table,
     refresh_readers,
     staging_path,
     swap,
+    table_location,
+    undo_swap,
 )
 from packwright.operators.verify import compare_leaves, leaf_digest, tagged, tree_facts
 from packwright.plans.compaction import (
@@ -49,10 +55,13 @@ from packwright.plans.compaction import (
 from packwright.session import JOB_SETTINGS, LISTING_SETTINGS, freeze, scratch_dir, settings
 from packwright.sources.files import list_files
 from packwright.sources.parquet import read_files
-from packwright.storage import Storage, normalise
+from packwright.storage import Storage, in_threads, normalise
 
 # Directory names a transaction log goes by: such a table must be compacted by its own format's means.
-TRANSACTION_LOGS = ("_delta_log", ".hoodie", "_spark_metadata")
+TRANSACTION_LOGS = ("_delta_log", ".hoodie", "_spark_metadata", "metadata/version-hint.text")
+
+# Hidden directories that writers leave behind; any other one inside a table stops the job.
+LEFTOVERS = ("_temporary", ".spark-staging", ".hive-staging", ".packwright-")
 
 # The plan of a job is broadcast: at most so many slices of some 300 bytes, since `job_files` may not be more.
 BROADCAST_SLICES = 65536
@@ -106,9 +115,9 @@ def compact_database(
     storage = Storage(spark, live)
     staging = staging_path(live)
     retired = live + RETIRED_SUFFIX
-    for path in (staging, retired):
+    for path in (staging, retired, journal_path(live)):
         if storage.exists(path):
-            raise MaintenanceError(f"{path} is left from an earlier run; look at it, then remove it")
+            raise MaintenanceError(f"{path} is left from an earlier run; see recover(), then remove it")
     scratch = scratch_dir(spark, "compact")
     wanted = None if tables is None else sorted(set(tables))
     files = _inventory(spark, live, wanted, f"{scratch}/files")
@@ -135,9 +144,14 @@ def compact_database(
             report = _report(spark, scratch, names, parts)
             _require_equal(report)
             _require_unchanged(spark, live, names, files)
-            if swap_in:
+            for name, done in zip(names, parts):
+                _copy_rights(storage, f"{live}/{name}", f"{staging}/{name}", done)
+            if not swap_in:
+                keep_sources(files, live, staging)
+            else:
                 swapped = _swap_in(storage, live, staging, retired, names, parts)
                 _require_no_late_files(spark, storage, live, retired, swapped, files)
+                finish_swap(storage, live)
         except (BrokenSwapError, LateFileError):
             raise
         except Exception:
@@ -176,12 +190,25 @@ def compact_table(
             report = _report(spark, scratch, [name], [parts])
             _require_equal(report)
             _require_unchanged(spark, base, [name], files)
+            _copy_rights(storage, table, target, parts)
+            keep_sources(files, table, target)
         except Exception:
             storage.delete(target)
             raise
     return report
 
 
+def compact_catalog_table(spark: SparkSession, table: str, out: str, **options) -> DataFrame:
+    """Compact the files of a catalog table into a new directory and point the table at it; returns the report.
+
+    Nothing is renamed, so it serves object stores; the old directory is left for the caller to remove. The copy is
+    verified as it is made, and once more by row counts when the table is pointed at it.
+    """
+    report = compact_table(spark, table_location(spark, table), out, **options)
+    promote_table(spark, table, out, verify="rows")
+    return report
+
+
 def compact_partition(spark: SparkSession, path: str, out: str, **options) -> DataFrame:
     """Compact one partition directory into a new directory; its files lie in it directly."""
     return compact_table(spark, path, out, **options)
@@ -226,9 +253,22 @@ def _checked_tables(
         for log in TRANSACTION_LOGS:
             if storage.exists(f"{base}/{name}/{log}"):
                 raise MaintenanceError(f"{name} has a transaction log ({log})")
+        hidden = storage.directories(f"{base}/{name}")[1]
+        lost = [d for d in hidden if not d.rsplit("/", 1)[-1].startswith(LEFTOVERS)]
+        if lost:
+            raise MaintenanceError(f"{name} has hidden folders that a swap would remove: {lost[:5]}")
     return tables
 
 
+def _copy_rights(storage: Storage, live: str, copy: str, parts: list[str]) -> None:
+    """Give the directories of a copy the access rights of those they stand for."""
+    for part in parts:
+        old, new = f"{live}/{part}".rstrip("/"), f"{copy}/{part}".rstrip("/")
+        there = set(storage.directories(old)[0])
+        both = [d for d in storage.directories(new)[0] if d in there]
+        in_threads(lambda d, o=old, n=new: storage.copy_rights(f"{o}/{d}".rstrip("/"), f"{n}/{d}".rstrip("/")), both)
+
+
 def _rewrite_table(
     spark: SparkSession,
     files: DataFrame,
@@ -548,7 +588,7 @@ def _swap_in(
             storage.mkdirs(old.rsplit("/", 1)[0])
             triples.append((f"{live}/{below_base}", f"{staging}/{below_base}", old))
     try:
-        swap(storage, triples)
+        swap(storage, live, triples)
     except PromotionError:  # undone: only the empty directories made above are left
         storage.delete(retired)
         raise
@@ -577,9 +617,6 @@ def _require_no_late_files(
         seen = [r.path for r in late.limit(5).collect()]
     if not seen:
         return
-    try:
-        swap(storage, [(at, was, copy) for at, copy, was in swapped])
-    except PromotionError as failure:
-        raise BrokenSwapError(f"files came during the swap ({seen}); the old tree is at {retired}") from failure
+    undo_swap(storage, live, swapped)
     storage.delete(retired)
     raise LateFileError(f"files came during the swap, which was undone: {seen}")

@@ -39,7 +39,7 @@ class PathTarget:
         path = normalise(self.path)
         storage = Storage(spark, path)
         if storage.exists(path):
-            promote(spark, path, staged)
+            promote(spark, path, staged, late_files=False)
         else:
             storage.rename(staged, path)
             refresh_readers(spark, path, ())

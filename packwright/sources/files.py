@@ -20,7 +20,8 @@ def list_files(spark: SparkSession, base: str, tables: Iterable[str] | None = No
     """One row per visible file: table_name, partition, path, uri, leaf_uri, bytes, modified.
 
     `partition` is the directory below the table, empty for files in the table's own directory.
-    `leaf_uri` is the same directory as `_metadata.file_path` spells it.
+    `leaf_uri` is the same directory as `_metadata.file_path` spells it. No task opens a file, so there are as many
+    tasks as the cluster has cores, whatever the files weigh.
     """
     storage = Storage(spark, normalise(base))
     root = storage.qualified(normalise(base))
@@ -43,7 +44,7 @@ def list_files(spark: SparkSession, base: str, tables: Iterable[str] | None = No
         parent(uri).alias("leaf_uri"),
         F.col("length").alias("bytes"),
         F.col("modificationTime").alias("modified"),
-    )
+    ).coalesce(max(1, spark.sparkContext.defaultParallelism))
 
 
 def list_tables(files: DataFrame) -> DataFrame:

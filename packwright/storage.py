@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import stat
 import threading
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import groupby
 
@@ -37,6 +39,7 @@ class Storage:
     """The file system that holds one path."""
 
     def __init__(self, spark: SparkSession, path: str):
+        self._jvm = spark._jvm
         self._path_class = spark._jvm.org.apache.hadoop.fs.Path
         self._file_util = spark._jvm.org.apache.hadoop.fs.FileUtil
         self._conf = spark._jsparkSession.sessionState().newHadoopConf()
@@ -65,6 +68,55 @@ class Storage:
         statuses = self._fs.listStatus(self._path(path))
         return sorted(s.getPath().getName() for s in statuses if s.isFile())
 
+    def directories(self, path: str) -> tuple[list[str], list[str]]:
+        """Below a directory, relative to it: all visible directories (itself is ""), and the hidden ones."""
+        visible, hidden, level = [""], [], [""]
+        while level:
+            below = in_threads(lambda d: [f"{d}/{n}".lstrip("/") for n in self.child_dirs(f"{path}/{d}".rstrip("/"))], level)
+            found = [d for names in below for d in names]
+            hidden += [d for d in found if d.rsplit("/", 1)[-1].startswith(("_", "."))]
+            level = [d for d in found if not d.rsplit("/", 1)[-1].startswith(("_", "."))]
+            visible += level
+        return visible, hidden
+
+    def copy_rights(self, source: str, target: str) -> None:
+        """Give a directory the permissions, the group and, where the file system has them, the access lists of
+        another one."""
+        if self._fs.getUri().getScheme() == "file":
+            # Hadoop's view of a local file system leaves out set-group-ID.
+            old = os.stat(self._path(source).toUri().getPath())
+            name = self._path(target).toUri().getPath()
+            if os.stat(name).st_gid != old.st_gid:
+                os.chown(name, -1, old.st_gid)
+            os.chmod(name, stat.S_IMODE(old.st_mode))
+            return
+        old, new = (self._fs.getFileStatus(self._path(p)) for p in (source, target))
+        if new.getGroup() != old.getGroup():
+            self._fs.setOwner(self._path(target), None, old.getGroup())
+        self._fs.setPermission(self._path(target), old.getPermission())
+        if old.hasAcl():
+            spec = self._jvm.org.apache.hadoop.fs.permission.AclUtil.getAclFromPermAndEntries(
+                old.getPermission(), self._fs.getAclStatus(self._path(source)).getEntries()
+            )
+            self._fs.setAcl(self._path(target), spec)
+
+    def write_new(self, path: str, text: str) -> None:
+        """A small file that is there as a whole or not at all; its name must be free."""
+        out = self._fs.create(self._path(path + ".tmp"), True)
+        try:
+            out.write(bytearray(text.encode()))
+            out.hsync() if self._fs.getUri().getScheme() != "file" else out.flush()
+        finally:
+            out.close()
+        self.rename(path + ".tmp", path)
+
+    def read_text(self, path: str) -> str:
+        source = self._fs.open(self._path(path))
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
     def mkdirs(self, path: str) -> None:
         if not self._fs.mkdirs(self._path(path)):
             raise MaintenanceError(f"could not create {path}")
@@ -118,9 +170,14 @@ class Storage:
                 if not name.startswith(("_", ".")):
                     self.rename(f"{source}/{name}", f"{target}/{mark}{name}")
 
-        with ThreadPoolExecutor(RENAME_THREADS) as pool:
-            for _, level in groupby(sorted(moves, key=_depth), key=_depth):
-                list(pool.map(move, level))
+        for _, level in groupby(sorted(moves, key=_depth), key=_depth):
+            in_threads(move, level)
+
+
+def in_threads(call: Callable, items: Iterable) -> list:
+    """`call` of every item, many at a time. All have ended when this returns or raises."""
+    with ThreadPoolExecutor(RENAME_THREADS) as pool:
+        return list(pool.map(call, items))
 
 
 def _depth(move: tuple[str, str, str]) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.operators.compact import compact_database, compact_partition, compact_table
-from packwright.operators.promote import promote
+from packwright.operators.promote import promote, promote_table
 from packwright.operators.stage_load import stage_load
 from packwright.operators.verify import verify_compaction
 from packwright.plans.compaction import compaction_plan
@@ -19,8 +19,8 @@ from packwright.sources import files as inventory
 from packwright.sources.parquet import read_table
 from packwright.storage import Storage
 
-# The plan query's target: small, so that the plan of small tables is not all ones. The others' is fixed, too.
-PLAN_TARGET = 65536
+# The plan query's target: small, so that the plan of small partitions is not all ones. The others' is fixed, too.
+PLAN_TARGET = 1024
 QUERY_TARGET = 1 << 20
 
 DAY = "dt"
@@ -56,28 +56,42 @@ def scatter(spark: SparkSession, sf_dir: str, table: str, out: str) -> int:
     return QUERY_TARGET
 
 
+def _split_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of three given tables, split."""
+    base = f"{scratch_dir(spark, 'query')}/db"
+    for table in ("events", "lineitem", "orders"):
+        scatter(spark, sf_dir, table, f"{base}/{table}")
+    return inventory.list_files(spark, base)
+
+
 def list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.list_tables(_given_files(spark, sf_dir))
+    return inventory.list_tables(_split_tables(spark, sf_dir))
 
 
 def list_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.list_partitions(_split_tables(spark, sf_dir))
+
+
+def _split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of events by day and lineitem by two keys, as lines of text: their sizes follow from the rows."""
     base = f"{scratch_dir(spark, 'query')}/db"
-    for table in ("events", "lineitem", "orders"):
-        scatter(spark, sf_dir, table, f"{base}/{table}")
-    return inventory.list_partitions(inventory.list_files(spark, base))
+    events = given(spark, sf_dir, "events").withColumn(DAY, F.to_date("ts"))
+    lines = {
+        "events": (events, ("event_id", "user_id", "event_type"), (DAY,)),
+        "lineitem": (given(spark, sf_dir, "lineitem"), ("l_orderkey", "l_partkey", "l_linenumber"), LINE_KEYS),
+    }
+    for table, (rows, columns, keys) in lines.items():
+        text = rows.select(F.concat_ws(",", *columns).alias("value"), *keys)
+        text.repartition(pieces(given_bytes(spark, sf_dir, table))).write.partitionBy(*keys).text(f"{base}/{table}")
+    return inventory.list_files(spark, base)
 
 
 def partition_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.partition_size(_given_files(spark, sf_dir), ["table_name"])
+    return inventory.partition_size(_split_lines(spark, sf_dir)).select("table_name", "partition", "bytes")
 
 
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compaction_plan(_given_files(spark, sf_dir), PLAN_TARGET, ["table_name"])
-
-
-def _given_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.regexp_replace("table_name", r"\.parquet$", "")
-    return inventory.list_files(spark, sf_dir).withColumn("table_name", name)
+    return compaction_plan(_split_lines(spark, sf_dir), PLAN_TARGET).select("table_name", "partition", "bytes", "n")
 
 
 def read_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +168,21 @@ def promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/customer")
 
 
+def promoted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a catalog table, partitioned by nation, compacted beside its files and pointed there."""
+    root = scratch_dir(spark, "query")
+    rows = given(spark, sf_dir, "customer")
+    columns = [c for c in rows.columns if c != "c_nationkey"] + ["c_nationkey"]
+    rows.select(columns).repartition(pieces(given_bytes(spark, sf_dir, "customer"))).write.partitionBy("c_nationkey").parquet(f"{root}/customer")
+    name = f"customer_{uuid.uuid4().hex}"
+    ddl = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet PARTITIONED BY (c_nationkey) LOCATION '{root}/customer'")
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    compact_table(spark, f"{root}/customer", f"{root}/out", target_bytes=QUERY_TARGET)
+    promote_table(spark, name, f"{root}/out")
+    return spark.table(name)
+
+
 def load_into_path(
     spark: SparkSession, sf_dir: str, table: str, file_format: str, renamed: bool = False
 ) -> DataFrame:

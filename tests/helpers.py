@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def visible_files(path):
     """Relative path -> size of every visible file below a directory."""
     found = {}
-    for folder, _, names in os.walk(path):
+    for folder, inner, names in os.walk(path):
+        inner[:] = [d for d in inner if not d.startswith((".", "_"))]
         for name in names:
             if not name.startswith(("_", ".")):
                 full = os.path.join(folder, name)

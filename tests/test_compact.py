@@ -256,10 +256,10 @@ def test_a_file_that_comes_during_the_swap_undoes_it(spark, place, monkeypatch,
     write_rows(spark, spark.range(7), f"{base}/u", 2)
     real = compact.swap
 
-    def late(storage, pairs):
+    def late(storage, live, pairs):
         if len(visible_files(f"{base}/t")) == 4:
             write_rows(spark, spark.range(50, 60), f"{base}/t{partition}", 1)
-        real(storage, pairs)
+        real(storage, live, pairs)
 
     monkeypatch.setattr(compact, "swap", late)
     with pytest.raises(LateFileError):
@@ -319,6 +319,83 @@ def test_a_swap_that_fails_half_way_is_undone(spark, place, monkeypatch):
     assert snapshot(base) == before and os.listdir(place) == ["db"]
 
 
+def test_access_rights_stay(spark, place):
+    base = f"{place}/db"
+    for name in ("plain/d=1", "opaque/20240101", "flat"):
+        write_rows(spark, spark.range(50), f"{base}/{name}", 4)
+    modes = {"plain": 0o2770, "plain/d=1": 0o2750, "opaque": 0o755, "opaque/20240101": 0o700, "flat": 0o2770}
+    for name, mode in modes.items():
+        os.chmod(f"{base}/{name}", mode)
+    pw.compact_database(spark, base)
+    assert {n: os.stat(f"{base}/{n}").st_mode & 0o7777 for n in modes} == modes
+    pw.compact_table(spark, f"{base}/plain", f"{place}/out")
+    os.chmod(f"{base}/plain", 0o2710)
+    pw.promote(spark, f"{base}/plain", f"{place}/out")
+    assert os.stat(f"{base}/plain").st_mode & 0o7777 == 0o2710
+    assert os.stat(f"{base}/plain/d=1").st_mode & 0o7777 == 0o2750
+
+
+@pytest.mark.parametrize("name, stops", [("_meta", True), (".notes", True), ("d=1/.index", True), ("_temporary", False), (".hive-staging_1", False)])
+def test_a_hidden_folder_that_would_vanish_stops_the_job(spark, place, name, stops):
+    base = f"{place}/db"
+    write_rows(spark, spark.range(50), f"{base}/t/d=1", 4)
+    os.makedirs(f"{base}/t/{name}")
+    before = snapshot(base)
+    if stops:
+        with pytest.raises(MaintenanceError, match="hidden"):
+            pw.compact_database(spark, base)
+        assert snapshot(base) == before and os.path.isdir(f"{base}/t/{name}") and os.listdir(place) == ["db"]
+    else:
+        pw.compact_database(spark, base)
+        assert len(visible_files(base)) == 1
+
+
+def _killed(monkeypatch, renames):
+    """From now on the process 'ends' after so many renames of data: no clean-up of ours runs."""
+    rename, left = Storage.rename, [renames]
+
+    class End(BaseException):
+        pass
+
+    def until(self, source, target):
+        if not source.endswith(".tmp"):
+            if left[0] == 0:
+                raise End
+            left[0] -= 1
+        rename(self, source, target)
+
+    monkeypatch.setattr("packwright.storage.RENAME_THREADS", 1)
+    monkeypatch.setattr(Storage, "rename", until)
+    return End
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_a_swap_cut_off_after_any_rename_can_be_recovered(spark, place, monkeypatch, forward):
+    for renames in range(5):
+        base = f"{place}/{renames}/db"
+        for name in ("t", "u"):
+            write_rows(spark, spark.range(30), f"{base}/{name}", 4)
+        rows, files = rows_by_file(spark, base), set(visible_files(base))
+        with monkeypatch.context() as patch:
+            end = _killed(patch, renames)
+            if renames < 4:
+                with pytest.raises(end):
+                    pw.compact_database(spark, base)
+            else:  # killed once all is renamed, before the journal goes
+                patch.setattr(compact, "finish_swap", lambda *a: (_ for _ in ()).throw(end()))
+                with pytest.raises(end):
+                    pw.compact_database(spark, base)
+        with pytest.raises(MaintenanceError):
+            pw.compact_database(spark, base)
+        pw.recover(spark, base, forward=forward)
+        assert rows_by_file(spark, base) == rows
+        assert (set(visible_files(base)) == files) == (not forward)
+        assert len(visible_files(base)) == (2 if forward else 8)
+        left = {"db_old"} if forward else {"db_bkup"}
+        assert set(os.listdir(f"{place}/{renames}")) - {"db"} <= left | {"db_bkup"}
+        assert pw.recover(spark, base) == []
+
+
 def test_the_callers_settings_come_back(spark, place):
     write_rows(spark, spark.range(50), f"{place}/db/t", 4)
     keys = [*JOB_SETTINGS, "spark.sql.files.maxPartitionBytes"]

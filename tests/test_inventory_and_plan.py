@@ -12,6 +12,7 @@ import packwright as pw
 from packwright.errors import MaintenanceError, PromotionError
 from packwright.functions.columns import FILE_BUCKETS
 from packwright.plans.compaction import SHARED_TASK_PARTITIONS, job_plan, slice_plan
+from packwright.session import settings
 from packwright.sources.parquet import read_files
 from packwright.storage import Storage, literal, normalise
 
@@ -58,6 +59,15 @@ def test_number_of_files(spark, size, files):
     assert got.schema["n"].dataType.simpleString() == "int"
 
 
+def test_the_number_of_listing_tasks_does_not_follow_the_bytes(spark, place):
+    write_rows(spark, spark.range(100_000), f"{place}/db/t", 64)
+    tasks = set()
+    for most in ("1k", "128m", "1g"):
+        with settings(spark, {"spark.sql.files.maxPartitionBytes": most, "spark.sql.files.openCostInBytes": "1k"}):
+            tasks.add(pw.list_files(spark, f"{place}/db").rdd.getNumPartitions())
+    assert tasks == {spark.sparkContext.defaultParallelism}
+
+
 def _listing(spark, sizes):
     """An inventory of made-up files: (partition, bytes) each."""
     rows = [(p, f"file:/x/{p}", f"file:/x/{p}/f{i}.parquet", b) for i, (p, b) in enumerate(sizes)]
