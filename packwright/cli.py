@@ -61,9 +61,27 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("--jdbc-url")
     load.add_argument("--jdbc-property", action="append", default=[], metavar="KEY=VALUE")
     load.add_argument("--option", action="append", default=[], metavar="KEY=VALUE")
+    load.add_argument("--jdbc-properties", help="file of KEY=VALUE lines: the place for passwords")
+    load.add_argument("--options-file", help="file of KEY=VALUE lines: the place for access keys")
     return top
 
 
+# Words in the name of a setting whose value must not stand on a command line, where every user can read it.
+_SECRET = ("password", "secret", "token", "access.key", "sessioncredential")
+
+
+def settings_of(values: list[str], path: str | None) -> dict[str, str]:
+    """Settings from the command line, and from a file of `key=value` lines (`#` begins a comment)."""
+    shown = sorted(k for k in _pairs(values) if any(word in k.lower() for word in _SECRET))
+    if shown:
+        raise SystemExit(f"put {shown} into a file, not on the command line")
+    lines = []
+    if path:
+        with open(path, encoding="utf-8") as f:
+            lines = [line.strip() for line in f if line.strip() and not line.strip().startswith("#")]
+    return {**_pairs(values), **_pairs(lines)}
+
+
 def target_of(args: argparse.Namespace) -> PathTarget | TableTarget | JdbcTarget:
     if args.table:
         return TableTarget(args.table)
@@ -73,7 +91,7 @@ def target_of(args: argparse.Namespace) -> PathTarget | TableTarget | JdbcTarget
         return PathTarget(args.path, T.StructType.fromDDL(args.schema))
     if not args.jdbc_url:
         raise SystemExit("--jdbc-table needs --jdbc-url")
-    return JdbcTarget(args.jdbc_url, args.jdbc_table, _pairs(args.jdbc_property))
+    return JdbcTarget(args.jdbc_url, args.jdbc_table, settings_of(args.jdbc_property, args.jdbc_properties))
 
 
 def run(spark: SparkSession, argv: list[str] | None = None) -> None:
@@ -109,7 +127,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         print({"changed": recover(spark, args.basepath, args.forward)})
     else:
         rows = stage_load(
-            spark, args.root, args.prefix, args.format, target_of(args), _pairs(args.option)
+            spark, args.root, args.prefix, args.format, target_of(args), settings_of(args.option, args.options_file)
         )
         print({"rows": rows})
 

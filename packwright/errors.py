@@ -23,3 +23,8 @@ class PromotionError(MaintenanceError):
 
 class BrokenSwapError(RuntimeError):
     """A swap failed and could not be undone: nothing was deleted, the message says what lies where."""
+
+
+class ReplacementError(RuntimeError):
+    """A load failed after it began to replace the old rows: they may be gone. The message says where the decoded
+    rows are."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from packwright.errors import MaintenanceError
+from packwright.errors import MaintenanceError, PromotionError, ReplacementError
 from packwright.session import LOAD_SETTINGS, settings
 from packwright.sinks.targets import JdbcTarget, PathTarget, TableTarget, staged_rows
 from packwright.sources.formats import read_prefix
@@ -22,7 +22,8 @@ def stage_load(
     """Load `root/prefix*` into `target` and return the number of rows loaded.
 
     Every record is decoded into a copy first; the old rows are replaced only when all of them fit. A bad
-    record, a missing prefix or a NULL where none is allowed leaves the target as it was.
+    record, a missing prefix or a NULL where none is allowed leaves the target as it was. So does every failure
+    but a `ReplacementError`: that one came while the old rows were being replaced.
     """
     schema = target.schema_in(spark)
     staged = target.staging(spark)
@@ -40,8 +41,16 @@ def stage_load(
             storage.delete(staged)
             raise
         try:
-            target.replace(spark, staged)
+            target.rehearse(spark, staged)
+            try:
+                target.replace(spark, staged)
+            except PromotionError:  # undone
+                raise
+            except Exception as failure:
+                raise ReplacementError(f"the old rows may be gone; the decoded rows are at {staged}") from failure
+        except ReplacementError:
+            raise
         except Exception as failure:
-            raise MaintenanceError(f"the decoded rows are kept at {staged}") from failure
+            raise MaintenanceError(f"the old rows are untouched; the decoded rows are at {staged}") from failure
         storage.delete(staged)
     return loaded

@@ -35,6 +35,9 @@ class PathTarget:
     def staging(self, spark: SparkSession) -> str:
         return normalise(self.path) + LOAD_SUFFIX
 
+    def rehearse(self, spark: SparkSession, staged: str) -> None:
+        """Nothing to try out: the copy itself becomes the target."""
+
     def replace(self, spark: SparkSession, staged: str) -> None:
         path = normalise(self.path)
         storage = Storage(spark, path)
@@ -66,18 +69,16 @@ class TableTarget:
         columns = spark.catalog.listColumns(checked_identifier(self.table))
         keys = [c.name for c in columns if c.isPartition]
         placed = rows.hint("rebalance", *keys) if keys else rows
-        self._rehearse(spark, rows, staged)
         placed.write.insertInto(self.table, overwrite=True)
         _require_count(spark.table(self.table).count(), rows.count(), self.table)
 
-
-    def _rehearse(self, spark: SparkSession, rows: DataFrame, staged: str) -> None:
-        """Insert into an empty table of the same definition first: what the store refuses (a text too long for
-        its column, say) must show before the old rows go."""
+    def rehearse(self, spark: SparkSession, staged: str) -> None:
+        """Insert into an empty table of the same definition and provider first: what the store refuses (a text too
+        long for its column, say) must show before the old rows go."""
         name, place = f"rehearsal_{uuid.uuid4().hex}", f"{staged}_rehearsal"
-        spark.sql(f"CREATE TABLE {name} LIKE {self.table} USING parquet LOCATION '{place}'")
+        spark.sql(f"CREATE TABLE {name} LIKE {checked_identifier(self.table)} LOCATION '{place}'")
         try:
-            rows.write.insertInto(name)
+            staged_rows(spark, self.schema_in(spark), staged).write.insertInto(name)
         finally:
             spark.sql(f"DROP TABLE {name}")
             Storage(spark, place).delete(place)
@@ -102,6 +103,9 @@ class JdbcTarget:
     def staging(self, spark: SparkSession) -> str:
         return f"{scratch_dir(spark, 'load')}/rows"
 
+    def rehearse(self, spark: SparkSession, staged: str) -> None:
+        """A database has no cheap twin of a table: its types were matched when the rows were decoded."""
+
     def replace(self, spark: SparkSession, staged: str) -> None:
         rows = staged_rows(spark, self.schema_in(spark), staged)
         self._writer(rows).jdbc(self.url, checked_identifier(self.table), properties=self.properties)

@@ -110,6 +110,24 @@ class Storage:
             out.close()
         self.rename(path + ".tmp", path)
 
+    def parquet_columns(self, path: str) -> tuple[str, ...]:
+        """The column names of a Parquet file, in its own order."""
+        hadoop = self._jvm.org.apache.parquet.hadoop
+        reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(self._path(path), self._conf))
+        try:
+            return tuple(f.getName() for f in reader.getFileMetaData().getSchema().getFields())
+        finally:
+            reader.close()
+
+    def orc_columns(self, path: str) -> tuple[str, ...]:
+        """The column names of an ORC file, in its own order."""
+        orc = self._jvm.org.apache.orc.OrcFile
+        reader = orc.createReader(self._path(path), orc.readerOptions(self._conf))
+        try:
+            return tuple(reader.getSchema().getFieldNames())
+        finally:
+            reader.close()
+
     def read_text(self, path: str) -> str:
         source = self._fs.open(self._path(path))
         try:

@@ -189,8 +189,13 @@ def load_into_path(
     """Export a table as load source, fill the target with its rows twice over, load, read the target."""
     root = scratch_dir(spark, "query")
     rows = given(spark, sf_dir, table)
-    source = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]) if renamed else rows
-    export(source, file_format, f"{root}/source/{table}")
+    if renamed:  # other names, and in half of the files the same names in another order: places count
+        names = [f"c{i}" for i in range(len(rows.columns))]
+        half = F.xxhash64(*rows.columns) % 2 == 0
+        export(rows.where(half).toDF(*names), file_format, f"{root}/source/{table}/a")
+        export(rows.where(~half).toDF(*reversed(names)), file_format, f"{root}/source/{table}/b")
+    else:
+        export(rows, file_format, f"{root}/source/{table}")
     rows.unionAll(rows).write.parquet(f"{root}/stage")
     target = PathTarget(f"{root}/stage", rows.schema)
     stage_load(spark, f"{root}/source", f"{table}/", file_format, target)
@@ -206,6 +211,17 @@ def export(rows: DataFrame, file_format: str, path: str) -> None:
     writer.save(path)
 
 
+def load_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as CSV with line breaks inside quotes, some texts empty and some missing."""
+    root = scratch_dir(spark, "query")
+    text = F.when(F.col("doc_id") % 10 == 0, F.lit("")).when(F.col("doc_id") % 10 != 1, F.col("text"))
+    rows = given(spark, sf_dir, "documents").withColumn("text", text)
+    export(rows, "csv", f"{root}/source/documents")
+    target = PathTarget(f"{root}/stage", rows.schema)
+    stage_load(spark, f"{root}/source", "documents/", "csv", target, {"multi_line": "true"})
+    return spark.read.parquet(f"{root}/stage")
+
+
 def load_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem under keys that start with `load_`, beside other files that must stay out."""
     root = scratch_dir(spark, "query")

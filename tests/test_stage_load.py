@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import datetime
 import os
+import random
 import uuid
 
 import pytest
@@ -10,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import packwright as pw
-from packwright.errors import MaintenanceError
+from packwright.errors import MaintenanceError, ReplacementError
 from packwright.operators.stage_load import stage_load
+from packwright.session import settings
+from packwright.sinks import targets
 from packwright.sinks.targets import PathTarget, TableTarget
-from packwright.sources.formats import checked_identifier
+from packwright.sources.formats import checked_identifier, read_prefix
 from packwright.workloads import export
 
 SCHEMA = T.StructType(
@@ -270,3 +274,106 @@ def test_timestamps_with_a_blank(spark, place):
     spark.createDataFrame([], schema).write.parquet(f"{place}/stage")
     stage_load(spark, f"{place}/source", "", "csv", PathTarget(f"{place}/stage", schema))
     assert {str(r.t) for r in spark.read.parquet(f"{place}/stage").collect()} == {"2024-01-01 10:00:00.123456"}
+
+
+def _put(path, text):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        f.write(text)
+
+
+def _read(spark, place, schema, options=None, fmt="csv"):
+    rows = read_prefix(spark, place, "in/", fmt, T.StructType.fromDDL(schema), options)
+    return sorted(map(tuple, rows.collect()), key=repr)
+
+
+def test_blank_is_null_and_quoted_empty_is_empty(spark, place):
+    _put(f"{place}/in/a.csv", '1,"",x\n2,,"y ""z"""\r\n3," "," q"\n')
+    assert _read(spark, place, "i int, s string, t string") == [(1, "", "x"), (2, None, 'y "z"'), (3, " ", " q")]
+    _put(f"{place}/in/a.csv", '"",,x\n')
+    with pytest.raises(Exception, match="[Mm]alformed"):
+        _read(spark, place, "i int, s string, t string")
+
+
+def test_a_line_break_in_quotes_needs_to_be_announced(spark, place):
+    _put(f"{place}/in/a.csv", '1,"two\nlines"\n2,b\n')
+    with pytest.raises(Exception, match="not closed"):
+        _read(spark, place, "i int, s string")
+    assert _read(spark, place, "i int, s string", {"multi_line": "true"}) == [(1, "two\nlines"), (2, "b")]
+    _put(f"{place}/in/b.csv", '3,"never closed\n4,d\n')
+    with pytest.raises(Exception, match="not closed"):
+        _read(spark, place, "i int, s string", {"multi_line": "true"})
+
+
+@pytest.mark.parametrize("split", [7, 40, 1000, 1 << 27])
+@pytest.mark.parametrize("header", [False, True])
+def test_records_across_splits_are_those_of_the_whole_file(spark, place, split, header):
+    rng = random.Random(split)
+    value = lambda: "".join(rng.choice('ab,"\n\r\n é ') for _ in range(rng.choice([0, 1, 5, 60])))
+    want = []
+    for name in "abc":
+        rows = [(i, value().rstrip("\r") if rng.random() < 0.9 else None, value()) for i in range(rng.randint(1, 60))]
+        quoted = lambda v: "" if v is None else '"' + v.replace('"', '""') + '"'
+        lines = [f"{i},{quoted(s)},{quoted(t)}" for i, s, t in rows]
+        head = ['i,"a\nheader","of ""lines"""'] if header else []
+        _put(f"{place}/in/{name}.csv", "\n".join([*head, *lines]) + rng.choice(["", "\n", "\n\n"]))
+        want += rows
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1"}):
+        got = _read(spark, place, "i int, s string, t string", {"multi_line": "true", "header": str(header)})
+    assert got == sorted(want, key=repr)
+
+
+def test_other_quotes_and_escapes(spark, place):
+    _put(f"{place}/in/a.csv", "1;'it\\'s\nso'\n2;'a\\\\'\n3;b\n")
+    options = {"sep": ";", "quote": "'", "escape": "\\", "multi_line": "true"}
+    assert _read(spark, place, "i int, s string", options) == [(1, "it's\nso"), (2, "a\\"), (3, "b")]
+
+
+def test_a_header_without_line_breaks(spark, place):
+    _put(f"{place}/in/a.csv", "i,s\n1,a\n")
+    _put(f"{place}/in/b.csv", "i,s\n2,b\n")
+    assert _read(spark, place, "i int, s string", {"header": "true"}) == [(1, "a"), (2, "b")]
+    with pytest.raises(Exception):
+        _read(spark, place, "i int, s string")
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc"])
+def test_each_columnar_file_counts_by_its_own_order(spark, place, fmt):
+    spark.sql("SELECT 1 AS c0, 2L AS c1").write.format(fmt).save(f"{place}/in/a")
+    spark.sql("SELECT 3 AS c1, 4L AS c0").write.format(fmt).save(f"{place}/in/b")
+    spark.sql("SELECT 5 AS x, 6L AS y").write.format(fmt).save(f"{place}/in/k=1")
+    assert _read(spark, place, "p int, q bigint", fmt=fmt) == [(1, 2), (3, 4), (5, 6)]
+    spark.sql("SELECT 7 AS c0").write.format(fmt).save(f"{place}/in/d")
+    with pytest.raises(MaintenanceError, match="columns"):
+        _read(spark, place, "p int, q bigint", fmt=fmt)
+
+
+def test_fixed_widths(spark, place):
+    _put(f"{place}/in/a.txt", "001ab  2024-01-05\n 17    2024-02-29\r\n   é c           \n")
+    got = _read(spark, place, "i int, s string, d date", {"widths": "3,4,10"}, "fixed")
+    day = datetime.date
+    assert got == sorted([(1, "ab", day(2024, 1, 5)), (17, None, day(2024, 2, 29)), (None, "é c", None)], key=repr)
+    for bad, text in [({"widths": "3,4"}, "x"), ({"widths": "3,4,10"}, "too short\n"), ({"widths": "1,1,10"}, "xy2024-01-05\n")]:
+        _put(f"{place}/in/a.txt", text)
+        with pytest.raises(Exception):
+            with settings(spark, {"spark.sql.ansi.enabled": "true"}):
+                _read(spark, place, "i int, s string, d date", bad, "fixed")
+
+
+def test_a_failure_while_rows_are_replaced_says_so(spark, place, monkeypatch):
+    _put(f"{place}/in/a.csv", "1,a\n")
+    name = f"stage_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (i int, s string) USING json LOCATION '{place}/stage'")
+    spark.sql(f"INSERT INTO {name} VALUES (9, 'old')")
+    monkeypatch.setattr(targets, "_require_count", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(ReplacementError):
+        pw.stage_load(spark, place, "in/", "csv", pw.TableTarget(name))
+    monkeypatch.undo()
+    real = spark.table
+    with monkeypatch.context() as patch:
+        patch.setattr(pw.TableTarget, "rehearse", lambda self, s, p: (_ for _ in ()).throw(RuntimeError("no")))
+        with pytest.raises(MaintenanceError, match="untouched"):
+            pw.stage_load(spark, place, "in/", "csv", pw.TableTarget(name))
+    assert pw.stage_load(spark, place, "in/", "csv", pw.TableTarget(name)) == 1
+    assert [tuple(r) for r in real(name).collect()] == [(1, "a")]
+    spark.sql(f"DROP TABLE {name}")
