@@ -92,8 +92,12 @@ class ByteIds:
             ids = self._tokenized(" " + word)
         elif word[-1:] in _MARKS and stem.isalpha() and _PLAIN.fullmatch(stem):
             ids = (self._words.get(stem) or self._word(stem)) + (self._pieces.get(word[-1]) or self._piece(word[-1]))
+        elif "\n" in word:  # the words on either side of a line break seldom meet again
+            head, *rest = _AT_LINE.split(" " + word)
+            first = self._chunk(head) if "\n" in head else self._words.get(head[1:]) or self._word(head[1:])
+            return first + b"".join(map(self._chunk, rest))
         else:
-            ids = b"".join(map(self._chunk, _AT_LINE.split(" " + word)))
+            ids = self._chunk(" " + word)
         if len(self._words) >= CACHE_ENTRIES:
             self._words.clear()
         self._words[word] = ids

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.llm.common import slices, texts_of, written
-from packwright.llm.word_tokens import WordIds
+from packwright.llm.word_tokens import word_ids
 
 CAPACITY = 2048
 #: Groups in which equal lengths are ranked; capacity * groups bounds the table of their first ranks.
@@ -37,7 +37,7 @@ def pieces(
     `capacity` ids (the closing `end_id` included) have several pieces; a null text is empty: its end alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(vocabulary)
+        ids_of = word_ids(vocabulary)
         end = np.uint32(end_id).astype("<u4").tobytes()
         for batch in slices(batches, "text"):
             row, piece, start, length, crc, ids = [], [], [], [], [], []

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwright.llm.common import slices, text_or_empty, with_columns
-from packwright.llm.word_tokens import WordIds
+from packwright.llm.word_tokens import WordIds, word_ids
 
 #: Characters from which a leaf ends at the next white space.
 LEAF = 128
@@ -138,7 +138,7 @@ def build_trees(docs: DataFrame, text_column: str = "text", vocabulary: str | No
     packed = docs.select(F.struct("*").alias("row"), text_or_empty(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(vocabulary)
+        ids = word_ids(vocabulary)
         for batch in slices(batches, "text"):
             trees = _trees(batch, ids)
             yield with_columns(batch, {
@@ -162,7 +162,7 @@ def apply_edits(trees: DataFrame, edits: Column, vocabulary: str | None = None,
     asked = trees.withColumn("edits", edits.cast(EDITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(vocabulary)
+        ids = word_ids(vocabulary)
         for batch in slices(batches, "text"):
             own = [TokenTree(t.values.to_numpy().reshape(-1, 2).copy()) for t in batch.column("tree")]
             yield with_columns(batch.select(["row"]), _edited(batch, own, ids, keep_text))
@@ -182,7 +182,7 @@ def build_and_edit(
     packed = docs.select(row.alias("row"), text_or_empty(text_column).alias("text"), edits.cast(EDITS).alias("edits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(vocabulary)
+        ids = word_ids(vocabulary)
         for batch in slices(batches, "text"):
             yield with_columns(batch.select(["row"]), _edited(batch, _trees(batch, ids), ids, keep_text))
 

@@ -6,9 +6,8 @@ words in a row. Ids are remembered per word and per pre-token; only new pre-toke
 
 from __future__ import annotations
 
-import unicodedata
+from array import array
 
-import numpy as np
 import regex
 
 #: Words, and pre-tokens, that a worker remembers (some 100 MB each); emptied beyond that.
@@ -27,6 +26,17 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_known: dict[str, WordIds] = {}
+
+
+def word_ids(path: str | None = None) -> WordIds:
+    """This worker process' ids: loaded once, so that later tasks know the words of earlier ones."""
+    path = path or default_vocabulary()
+    if path not in _known:
+        _known[path] = WordIds(path)
+    return _known[path]
+
+
 class WordIds(dict):
     """word (UTF-8 bytes without ASCII white space) -> its ids as little-endian 32-bit numbers."""
 
@@ -41,7 +51,9 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if _PLAIN.fullmatch(text) and "<|" not in text:
+        if text.isalpha() and text.isascii():
+            ids = self._pieces.get(text.lower()) or self._piece(text.lower())
+        elif _PLAIN.fullmatch(text) and "<|" not in text:
             ids = b"".join([self._pieces.get(p) or self._piece(p) for p in _PIECES.findall(text.lower())])
         else:
             ids = packed(self._whole.encode(text, add_special_tokens=False).ids)
@@ -51,7 +63,8 @@ class WordIds(dict):
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        mapped = "".join(p for p, _ in self._bytes.pre_tokenize_str(piece))
+        # A visible ASCII character stands for its own byte.
+        mapped = piece if piece.isascii() else "".join(p for p, _ in self._bytes.pre_tokenize_str(piece))
         ids = packed([t.id for t in self._model.tokenize(mapped)])
         if len(self._pieces) >= CACHE_ENTRIES:
             self._pieces.clear()
@@ -62,15 +75,6 @@ class WordIds(dict):
         """Ids of a whole text, as bytes."""
         return b"".join(map(self.__getitem__, text.split()))
 
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        """Number of ids of each word."""
-        return np.fromiter(map(len, map(self.__getitem__, words)), np.int64, len(words)) >> 2
-
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
-def is_plain(text: str) -> bool:
-    """Whether words of this text take the short way (for tests)."""
-    return bool(_PLAIN.fullmatch(text)) and unicodedata.is_normalized("NFC", text)
+    return array("I", ids).tobytes()

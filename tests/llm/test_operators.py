@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from packwright.llm import (
     mixing, near_dedup, neighbours, packing, pii, quality_rules, substring_dedup, suffix_tree, token_counts, url_filter,
+    word_tokens,
 )
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ré", "su", "The") for b in ("n", "rt", "x,", "öl", "")]
@@ -60,7 +61,7 @@ def _words(text):
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(packing.WordIds.__init__.__globals__["default_vocabulary"]())
+    whole = Tokenizer.from_file(word_tokens.default_vocabulary())
     want = collections.Counter()
     for i, t, *_ in _rows():
         ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
