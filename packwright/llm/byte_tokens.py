@@ -15,8 +15,8 @@ import regex
 
 from packwright.llm.word_tokens import packed
 
-#: Words that a worker remembers (some 180 MB), and pre-tokens; emptied beyond that.
-CACHE_ENTRIES = 1_000_000
+#: Words that a worker remembers (some 90 MB), as many of the time before, and pre-tokens.
+CACHE_ENTRIES = 500_000
 
 # White space of any library, and what might be: a cut is made only after characters outside this class.
 _ODD = r"\x00-\x20\x7F-\xA0\xAD\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u206F\u3000\uFEFF"
@@ -70,6 +70,7 @@ class ByteIds:
         self._model = self._tokenizer.model
         self._names = _byte_names()
         self._words: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -86,9 +87,13 @@ class ByteIds:
         return b"".join([*map(self._chunk, _AT_LINE.split(head)), *ids])
 
     def _word(self, word: str) -> bytes:
-        """Ids of a word with the space before it."""
-        stem = word[:-1]
-        if word.isalpha() and _PLAIN.fullmatch(word):
+        """Ids of a word with the space before it. Words asked for again outlive those that were not."""
+        stem, ids = word[:-1], self._old.get(word)
+        if ids is not None:
+            pass
+        elif word.isascii() and word.isalpha():
+            ids = self._tokenized(" " + word)
+        elif word.isalpha() and _PLAIN.fullmatch(word):
             ids = self._tokenized(" " + word)
         elif word[-1:] in _MARKS and stem.isalpha() and _PLAIN.fullmatch(stem):
             ids = (self._words.get(stem) or self._word(stem)) + (self._pieces.get(word[-1]) or self._piece(word[-1]))
@@ -99,7 +104,7 @@ class ByteIds:
         else:
             ids = self._chunk(" " + word)
         if len(self._words) >= CACHE_ENTRIES:
-            self._words.clear()
+            self._old, self._words = self._words, {}
         self._words[word] = ids
         return ids
 
@@ -119,7 +124,10 @@ class ByteIds:
         return ids
 
     def _tokenized(self, piece: str) -> bytes:
-        named = piece.encode().decode("latin-1").translate(self._names)
+        if piece.isascii() and piece.isprintable():
+            named = piece.replace(" ", self._names[0x20])  # all others stand for themselves
+        else:
+            named = piece.encode().decode("latin-1").translate(self._names)
         return array("I", [t.id for t in self._model.tokenize(named)]).tobytes()
 
 
