@@ -236,21 +236,16 @@ def judge(
     (number in the list, 0 for the base rule, null if none fires), rule_text and kept.
 
     Defined cases: a null or empty text has no words and fails the base rule; null ids are judged like others
-    and match no label; repeated rows get the same answer; extra columns of any name travel inside `row`.
+    and match no label; repeated rows get the same answer; extra columns of any name travel inside `row`; an empty
+    table gives no row; without labels only the base rule decides.
     """
-    row = F.struct("*") if keep_row else F.struct(F.col(id_column))
-    plain = docs.select(
-        row.alias("row"), F.col(id_column).alias("_id"), statistics(text_or_empty(text_column)).alias("s")
-    )
-    if not keep_row:
-        plain = written(plain, "statistics")
-    learned = labelled_rows(
-        plain.withColumn("f", features(F.col("s"))).withColumnRenamed("_id", id_column), labels, id_column
-    ) if not keep_row else labelled_rows(
-        docs.join(labels.select(id_column).distinct(), id_column, "left_semi").select(
-            id_column, features(statistics(text_or_empty(text_column))).alias("f")
-        ), labels, id_column,
-    )
+    # Rules are learned from ids and statistics alone: no text is shuffled, however many labels there are.
+    measured = written(docs.select(F.col(id_column), statistics(text_or_empty(text_column)).alias("s")), "statistics")
+    learned = labelled_rows(measured.withColumn("f", features(F.col("s"))), labels, id_column)
+    if keep_row:
+        plain = docs.select(F.struct("*").alias("row"), statistics(text_or_empty(text_column)).alias("s"))
+    else:
+        plain = measured.select(F.struct(F.col(id_column)).alias("row"), "s")
     rules = learn(learned)
     fired = plain.withColumn("rule", verdict(rules, F.col("s"), features(F.col("s"))))
     texts = F.array(F.lit("base"), *[F.lit(str(r)) for r in rules])
