@@ -503,3 +503,20 @@ def test_pipeline(spark, tmp_path, docs):
         at = out
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "private_data", "mixing", "packing"]
     assert corpus_pipeline.run(spark, str(tmp_path)).where("length > 2048").count() == 0
+
+
+def test_one_row_of_each_group_stays(spark, docs, none):
+    import corpus_pipeline
+
+    extra = [(900, "a b", "en", "s0", "clash", False), *[(None, f"no id, text {i % 2}", None, None, None, None) for i in range(6)]]
+    rows = docs.union(spark.createDataFrame(extra, SCHEMA))
+    out = corpus_pipeline.near_dedup_stage(spark, rows, "").collect()
+    ids = [r.doc_id for r in out if r.doc_id is not None]
+    assert len(ids) == len(set(ids))
+    texts = [r.text for r in out if r.doc_id is None]
+    assert len(texts) == len(set(texts)) >= 2
+    judged = near_dedup.near_duplicates(rows).select("row.doc_id", "component_id").collect()
+    assert set(ids) == {r.component_id for r in judged} - {None}
+    given = {tuple(r) for r in rows.collect()}
+    assert {tuple(r) for r in out} <= given
+    assert corpus_pipeline.near_dedup_stage(spark, none, "").collect() == []
