@@ -122,7 +122,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 16 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-
-
-def id_schema(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()

@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 
 from packwright.llm.common import BASE, WordHashes, mixed, slices, texts_of, written
 
-#: Longest context of the tree in memory, whose contexts are packed into one number.
-DEPTH = 7
 FREQUENT, DISCOUNT = 500_000, 0.75
 #: Fewest times that a retained context was seen.
 MIN_COUNT = 2
@@ -47,89 +45,6 @@ START, END, LETTER = 1, 2, 3
 TOGETHER, COUNTED = 50_000, 400_000
 
 
-def _mask(depth: int) -> int:
-    return (1 << (8 * depth)) - 1
-
-
-class SuffixTree:
-    """A small tree in memory, with the smoothing that the joined one must agree with."""
-
-    def __init__(self, contexts: list[tuple[int, int, dict[int, int]]]):
-        """contexts: (depth, context, next symbol -> count); the root has depth 0."""
-        counts = {(d, c): n for d, c, n in contexts}
-        counts.setdefault((0, 0), {})
-        self._ids = {key: i for i, key in enumerate(sorted(counts))}
-        self._parent = np.full(len(self._ids), -1, np.int64)
-        self._escape = np.zeros(len(self._ids))
-        entries: dict[tuple[int, int], float] = {}
-
-        def chance(key: tuple[int, int], symbol: int) -> float:
-            i = self._ids[key]
-            if (i, symbol) in entries:
-                return entries[i, symbol]
-            if self._parent[i] < 0:
-                return 1 / (sum(counts[key].values()) + SYMBOLS)
-            return math.exp(self._escape[i]) * chance(self._keys[self._parent[i]], symbol)
-
-        self._keys = sorted(counts)
-        for (depth, context), i in self._ids.items():
-            n = counts[depth, context]
-            total = sum(n.values())
-            if depth == 0:
-                for s, c in n.items():
-                    entries[i, s] = (c + 1) / (total + SYMBOLS)
-                continue
-            up = next((d, context & _mask(d)) for d in range(depth - 1, -1, -1) if (d, context & _mask(d)) in counts)
-            self._parent[i] = self._ids[up]
-            self._escape[i] = math.log(len(n) / (total + len(n)))
-            for s, c in n.items():
-                entries[i, s] = (c + len(n) * chance(up, s)) / (total + len(n))
-        self._nothing = math.log(1 / (sum(counts[0, 0].values()) + SYMBOLS))
-        self._entry_keys = np.array(sorted(i << 8 | s for i, s in entries), np.int64)
-        self._entry_logs = np.array([math.log(entries[k >> 8, k & 255]) for k in self._entry_keys.tolist()])
-        # Sorted by depth, then context: one sorted run of contexts for each depth.
-        self._by_depth = [np.array([c for d, c in self._keys if d == depth], np.uint64) for depth in range(DEPTH + 1)]
-        self._first = np.cumsum([0] + [len(x) for x in self._by_depth])
-
-    def __len__(self) -> int:
-        return len(self._parent)
-
-    def _states(self, codes: np.ndarray) -> np.ndarray:
-        """Longest retained suffix of each code's context."""
-        state = np.zeros(len(codes), np.int64)
-        open_ = np.arange(len(codes))
-        context = codes >> np.uint64(8)
-        for depth in range(DEPTH, 0, -1):
-            known = self._by_depth[depth]
-            if not len(known) or not len(open_):
-                continue
-            own = context[open_] & np.uint64(_mask(depth))
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            hit = known[at] == own
-            state[open_[hit]] = self._first[depth] + at[hit]
-            open_ = open_[~hit]
-        return state
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each code's symbol after its context."""
-        codes, back = np.unique(codes, return_inverse=True)
-        state, symbol = self._states(codes), (codes & np.uint64(255)).astype(np.int64)
-        out = np.zeros(len(codes))
-        open_ = np.arange(len(codes))
-        while len(open_):
-            key = state[open_] << 8 | symbol[open_]
-            at = np.minimum(np.searchsorted(self._entry_keys, key), max(0, len(self._entry_keys) - 1))
-            hit = self._entry_keys[at] == key if len(self._entry_keys) else np.zeros(len(key), bool)
-            out[open_[hit]] += self._entry_logs[at[hit]]
-            open_ = open_[~hit]
-            root = self._parent[state[open_]] < 0
-            out[open_[root]] += self._nothing
-            open_ = open_[~root]
-            out[open_] += self._escape[state[open_]]
-            state[open_] = self._parent[state[open_]]
-        return out[back] / math.log(10)
-
-
 def held_out(id_: Column) -> Column:
     """crc32 of the id as text is divisible by ten; rows without id are for training."""
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))

@@ -426,13 +426,6 @@ def test_next_word_depends_on_two(spark):
     assert got[40] > got[41] + 1
 
 
-def test_suffix_tree_is_a_distribution():
-    tree = suffix_tree.SuffixTree([(0, 0, {97: 5, 32: 3}), (1, 97, {98: 4, 32: 1}), (2, 97 << 8 | 97, {98: 3})])
-    for context in (0, 97, 97 << 8 | 97, 99):
-        codes = np.array([context << 8 | s for s in range(256)], np.uint64)
-        assert (10 ** tree.log10(codes)).sum() < 1.0 + 1e-9
-
-
 def test_near_duplicates(docs, none):
     rows, sets = _rows(), {}
     for i, t, *_ in rows:
