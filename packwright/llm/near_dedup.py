@@ -7,10 +7,16 @@ as soon as P(similarity >= threshold) falls under the chosen miss probability. S
 their full shingle sets; only these are links.
 
 Scale. A bucket's pairs are never all written out. First every member meets its bucket's smallest and largest
-class, which is linear; components of the confirmed links follow. Only buckets that still hold several
+class, which is linear. Of the pairs that survive, each class first confirms the one that agrees best, then only
+pairs that could still join two components are confirmed. Only buckets that still hold several
 components go on: their members are cut into blocks, two blocks meet in one call of numpy, and pairs inside
 one component are skipped. Blocks carry the full sets, so survivors are confirmed where they meet and only links
 that join two components leave a task. So no link between components is lost, and no pair is a row.
+
+Texts travel seldom: a Bloom filter of bounded size keeps those of unwanted classes where they are, each task
+sends one text of a class, and a hub's text goes once to each group of its partners. Rows whose class is alone
+get their answer where they are; classes and components that hold a share of all rows are broadcast, as there
+are few of those.
 """
 
 from __future__ import annotations
@@ -21,13 +27,14 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwright.llm.common import (
     WordHashes, mixed, slices, texts_of, window_hashes, with_columns, written,
 )
 from packwright.llm.components import components
+from packwright.llm.url_filter import possible
 from packwright.session import settings
 
 #: 32 bands of 4 hashes: a pair at 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8.
@@ -39,6 +46,14 @@ BATCH = 16
 MISS = 1e-6
 #: Members of a block, and members of one component in one bucket from which they get blocks of their own.
 BLOCK, LARGE = 256, 64
+#: Shingles of a block on average, so that long texts make small blocks (8 MB); one longer text has its own.
+BLOCK_SHINGLES = 1 << 20
+#: A key with more than one row in HEAVY is joined by broadcast: there are fewer than HEAVY such keys.
+HEAVY = 1000
+#: Partners of a hub that are confirmed together.
+PARTNERS = 512
+#: Classes of which a task remembers that it sent a text.
+SENT = 200_000
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -91,9 +106,9 @@ def may_link(a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> np.ndarray
     return out
 
 
-def with_classes(docs: DataFrame, text: str, size: int, signed: bool = True) -> DataFrame:
-    """Documents with `_class` (16 bytes that stand for the lower-cased word sequence) and, if signed, with
-    `_n` (distinct shingles) and `_sig`. One narrow pass over whole texts."""
+def with_classes(docs: DataFrame, text: str, size: int, counted: bool = True, signed: bool = True) -> DataFrame:
+    """Documents with `_class` (16 bytes that stand for the lower-cased word sequence), if counted with
+    `_n` (distinct shingles) and if signed with `_sig`. One narrow pass over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -102,25 +117,49 @@ def with_classes(docs: DataFrame, text: str, size: int, signed: bool = True) ->
             for value in texts_of(batch.column(text)):
                 words = value.lower().split()
                 classes.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                if signed:
+                if counted or signed:
                     shingles = shingle_set(words, size, hashes)
                     counts.append(len(shingles))
+                if signed:
                     sigs.append(signature(shingles).tobytes() if len(shingles) else None)
             more = {"_class": pa.array(classes, pa.binary())}
+            if counted:
+                more["_n"] = pa.array(counts, pa.int64())
             if signed:
-                more |= {"_n": pa.array(counts, pa.int64()), "_sig": pa.array(sigs, pa.binary())}
+                more["_sig"] = pa.array(sigs, pa.binary())
             yield with_columns(batch, more)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    more = "_class binary" + (", _n long, _sig binary" if signed else "")
+    more = "_class binary" + ", _n long" * counted + ", _sig binary" * signed
     return docs.mapInArrow(run, f"{fields}, {more}")
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, heavy: Column) -> DataFrame:
+    """Inner join on a key that is unique on the right. Keys marked heavy are broadcast (the caller knows that they
+    are few), so that none of them gathers its rows in one task."""
+    hot = F.broadcast(right.where(heavy))
+    light = left.join(F.broadcast(right.where(heavy).select(key)), key, "left_anti").join(right.where(~heavy), key)
+    return left.join(hot, key).unionByName(light)
+
+
 def _texts(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(_class, t): the text of one document of each wanted class."""
-    texts = with_classes(docs.select(F.col(text).cast("string").alias("t")), "t", 0, signed=False)
-    wanted = texts.join(nodes, "_class", "left_semi")
-    return written(wanted.groupBy("_class").agg(F.first("t").alias("t")), "texts")
+    """(_class, t): the text of one document of each wanted class (`_class`, distinct)."""
+    texts = with_classes(docs.select(F.col(text).cast("string").alias("t")), "t", 0, counted=False, signed=False)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
+        for batch in batches:
+            new = []
+            for c in batch.column("_class").to_pylist():
+                if len(sent) >= SENT:
+                    sent.clear()
+                new.append(c not in sent)
+                sent.add(c)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    wanted = possible(texts, "_class", nodes).where("possible").select("_class", "t")
+    once = wanted.mapInArrow(first, "_class binary, t string").groupBy("_class").agg(F.first("t").alias("t"))
+    return written(once.join(nodes, "_class", "left_semi"), "texts")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -140,33 +179,66 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def exact_links(pairs: DataFrame, docs: DataFrame, text: str, size: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of classes whose full shingle sets reach the threshold.
+    """Pairs (a, b) of classes whose full shingle sets reach the threshold, of the distinct pairs (hub, node).
 
-    Texts come from one document of each class. A class in very many pairs is a hot key of the joins with
-    the texts; adaptive execution splits it, since the other side has one row for it.
+    Texts come from one document of each class. A hub's text goes before those of its partners, once for each
+    PARTNERS of them.
     """
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct(), docs, text)
-    ta = texts.select(F.col("_class").alias("a"), F.col("t").alias("ta"))
-    tb = texts.select(F.col("_class").alias("b"), F.col("t").alias("tb"))
+    pairs = written(pairs.select("hub", "node"), "asked")
+    texts = _texts(pairs.select(F.explode(F.array("hub", "node")).alias("_class")).distinct(), docs, text)
+    many = pairs.groupBy("hub").count().where(F.col("count") > PARTNERS)
+    group = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / PARTNERS)), F.lit(0))
+    grouped = pairs.join(many, "hub", "left").select("hub", "node", group.alias("part"))
+    partners = grouped.join(texts.withColumnRenamed("_class", "node"), "node")
+    hubs = grouped.select("hub", "part").distinct().join(texts.withColumnRenamed("_class", "hub"), "hub")
+    first = hubs.select("hub", "part", F.lit(None).cast("binary").alias("node"), "t")
+    sent = first.unionByName(partners).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("node").asc_nulls_first())
     # Whole-number arithmetic, so that a similarity of just the threshold is never lost to rounding.
     percent = round(threshold * 10_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        kept = ("", None)
+        own = np.empty(0, np.uint64)
         for whole in batches:
-            for batch in slices([whole], "tb"):
+            for batch in slices([whole], "t"):
                 linked = []
-                for x, y in zip(texts_of(batch.column("ta")), texts_of(batch.column("tb")), strict=True):
-                    if x != kept[0]:
-                        kept = (x, shingle_set(x.lower().split(), size, hashes))
-                    other = shingle_set(y.lower().split(), size, hashes)
-                    both = len(np.intersect1d(kept[1], other, assume_unique=True))
-                    union = len(kept[1]) + len(other) - both
+                for node, value in zip(batch.column("node").to_pylist(), texts_of(batch.column("t")), strict=True):
+                    shingles = shingle_set(value.lower().split(), size, hashes)
+                    if node is None:
+                        own = shingles
+                        linked.append(False)
+                        continue
+                    both = len(np.intersect1d(own, shingles, assume_unique=True))
+                    union = len(own) + len(shingles) - both
                     linked.append(10_000 * both >= percent * union)
-                yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return pairs.join(ta, "a").join(tb, "b").mapInArrow(run, "a binary, b binary")
+                yield batch.select(["hub", "node"]).filter(pa.array(linked, pa.bool_()))
+
+    found = sent.mapInArrow(run, "hub binary, node binary")
+    return found.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+
+
+def _star_links(pairs: DataFrame, docs: DataFrame, text: str, size: int, threshold: float) -> DataFrame:
+    """Components (node, comp) of the links among the pairs (a, b, agree). Each class confirms its best pair first;
+    of the others, only those whose classes are still apart."""
+    ends = pairs.select("a", "b", "agree").union(pairs.select(F.col("b"), F.col("a"), "agree")).toDF("node", "hub", "agree")
+    best = ends.groupBy("node").agg(F.max(F.struct("agree", "hub")).alias("m")).select("node", "m.hub")
+    # A pair that is best for both is confirmed once.
+    best = written(
+        best.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        .agg(F.max(F.struct("hub", "node")).alias("p")).select("a", "b", "p.*"),
+        "best",
+    )
+    labels = components(exact_links(best, docs, text, size, threshold), written)
+    rest = pairs.join(best, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        at = labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
+        rest = rest.join(at, end, "left")
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    rest = written(rest.where(apart).select(F.col("a").alias("hub"), F.col("b").alias("node")), "apart")
+    if rest.isEmpty():
+        return labels
+    known = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    return components(exact_links(rest, docs, text, size, threshold).union(known), written)
 
 
 def near_duplicates(
@@ -184,32 +256,33 @@ def near_duplicates(
     answer. A null id is never a smallest id; a component in which all ids are null has a null component_id,
     and kept is then true. Extra columns of any name travel inside `row`. An empty table gives no row.
     """
-    rows = docs.select(
-        F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"),
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
+    _, answers = _judged(rows, shingle_words, threshold, miss)
+    packed = docs.select(
+        F.struct("*").alias("row"), F.col(id_column).alias("_id"),
+        F.col(text_column).cast("string").alias("_text"),
     )
+    counted = with_classes(packed, "_text", shingle_words, signed=False).drop("_text")
+    keyed = with_classes(packed, "_text", shingle_words, counted=False, signed=False).drop("_text")
+    return _with_answers(counted, keyed, answers).drop("_id")
+
+
+def _judged(rows: DataFrame, shingle_words: int, threshold: float, miss: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _class, _n) of the rows (_id, _text), and the answers for their classes."""
     signed = written(with_classes(rows, "_text", shingle_words).drop("_text"), "signed")
     classes = written(
         signed.where("_n > 0").groupBy("_class").agg(
-            F.min("_id").alias("id"), F.first("_n").alias("n"), F.first("_sig").alias("sig")
+            F.min("_id").alias("id"), F.first("_n").alias("n"), F.first("_sig").alias("sig"), F.count("*").alias("copies")
         ).withColumnRenamed("_class", "node"),
         "classes",
     )
     members = _members(classes)
-    linked = exact_links(
-        _star_pairs(members, classes, threshold, miss), rows, "_text", shingle_words, threshold
-    )
-    labels = components(linked, written)
+    labels = _star_links(_star_pairs(members, classes, threshold, miss), rows, "_text", shingle_words, threshold)
     more = _rest_links(members, classes, labels, rows, shingle_words, threshold, miss)
     if not more.isEmpty():
         known = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
         labels = components(more.union(known), written)
-    answers = _answers(classes, labels)
-    packed = docs.select(
-        F.struct("*").alias("row"), F.col(id_column).alias("_id"),
-        F.col(text_column).cast("string").alias("_text"),
-    )
-    keyed = with_classes(packed, "_text", shingle_words, signed=False).drop("_text")
-    return _with_answers(keyed, answers)
+    return signed.drop("_sig"), _answers(classes, labels)
 
 
 def near_duplicate_ids(
@@ -222,8 +295,8 @@ def near_duplicate_ids(
 ) -> DataFrame:
     """As near_duplicates, but with the id alone instead of `row`: no text is read a second time for rows."""
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
-    out = near_duplicates(rows, "_id", "_text", shingle_words, threshold, miss)
-    return out.select(F.col("row._id").alias(id_column), "n_shingles", "component_id", "kept")
+    signed, answers = _judged(rows, shingle_words, threshold, miss)
+    return _with_answers(signed, signed.drop("_n"), answers).withColumnRenamed("_id", id_column)
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -247,9 +320,10 @@ def _signed_pairs(pairs: DataFrame, classes: DataFrame, threshold: float, miss:
         for batch in batches:
             if batch.num_rows:
                 sa, sb = (_signatures(batch.column(c).to_pylist()) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array(may_link(sa, sb, least)))
+                agree = pa.array((sa == sb).sum(axis=1).astype(np.int32))
+                yield with_columns(batch.select(["a", "b"]), {"agree": agree}).filter(pa.array(may_link(sa, sb, least)))
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, agree int")
 
 
 def _signatures(values: list[bytes]) -> np.ndarray:
@@ -275,19 +349,20 @@ def _rest_links(
     at = members.join(labels, "node", "left").select(
         "bucket", "band", "node", F.coalesce("comp", "node").alias("comp")
     )
+    parts = lambda count, shingles: F.ceil(F.greatest(F.col(count) / BLOCK, F.col(shingles) / BLOCK_SHINGLES))
     open_ = at.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-    at = written(at.join(open_.select("bucket"), "bucket", "left_semi"), "open")
-    sizes = at.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    small = sizes.where(F.col("c") < LARGE).groupBy("bucket").agg(F.sum("c").alias("all_small"))
+    open_at = at.join(open_.select("bucket"), "bucket", "left_semi")
+    at = written(open_at.join(classes.select("node", "n", "sig"), "node"), "open")
+    sizes = at.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    small = sizes.where(F.col("c") < LARGE).groupBy("bucket").agg(F.sum("c").alias("all_c"), F.sum("s").alias("all_s"))
     # A large component has blocks of its own; the members of small ones share blocks, whole components each.
-    placed = at.join(sizes, ["bucket", "comp"]).join(small, "bucket", "left").select(
-        "bucket", "band", "node", "comp",
+    signed = at.join(sizes, ["bucket", "comp"]).join(small, "bucket", "left").select(
+        "bucket", "band", "node", "comp", "n", "sig",
         F.when(F.col("c") >= LARGE, F.col("comp")).alias("own"),
         F.when(
-            F.col("c") >= LARGE, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK))
-        ).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("all_small") / BLOCK))).alias("part"),
+            F.col("c") >= LARGE, F.pmod(F.xxhash64("node"), parts("c", "s"))
+        ).otherwise(F.pmod(F.xxhash64("comp"), parts("all_c", "all_s"))).alias("part"),
     )
-    signed = placed.join(classes.select("node", "n", "sig"), "node")
     t, least = round(threshold * 10_000), least_agreement(threshold, miss)
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,22 +455,40 @@ def _meet(band: int, xs: pa.Array, ys: pa.Array, t: int, least: tuple[int, ...])
 
 
 def _answers(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(_class, n, component_id) for every class that has a shingle."""
-    comp = classes.select("node", "id", "n").join(labels, "node", "left").withColumn(
-        "comp", F.coalesce("comp", "node")
-    )
-    low = comp.groupBy("comp").agg(F.min("id").alias("component_id"))
-    return written(
-        comp.join(low, "comp").select(F.col("node").alias("_class"), "n", "component_id"), "answers"
-    )
-
-
-def _with_answers(keyed: DataFrame, answers: DataFrame) -> DataFrame:
-    alone = F.col("n").isNull()
-    component = F.when(alone, F.col("_id")).otherwise(F.col("component_id"))
-    return keyed.join(answers, "_class", "left").select(
-        "row",
+    """(_class, n, component_id, copies, linked) for every class that has a shingle."""
+    ids = classes.select("node", "id", "n", "copies")
+    comp = written(ids.join(labels, "node"), "linked")
+    total = comp.count()
+    low = comp.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("classes"))
+    linked = spread_join(comp, low, "comp", F.col("classes") * HEAVY > total)
+    alone = ids.join(labels, "node", "left_anti").withColumn("component_id", F.col("id"))
+    out = linked.withColumn("linked", F.lit(True)).unionByName(alone.withColumn("linked", F.lit(False)), allowMissingColumns=True)
+    return written(out.select(F.col("node").alias("_class"), "n", "component_id", "copies", "linked"), "answers")
+
+
+def _with_answers(counted: DataFrame, keyed: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows with n_shingles, component_id and kept. `counted` and `keyed` are the same rows with `_class`, `counted`
+    with `_n`, too.
+
+    A class of one row without a link needs no join; a filter tells most of them. Classes that hold a share of all
+    rows are broadcast. Only what is left is shuffled.
+    """
+    several = answers.where("linked or copies > 1")
+    total = answers.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    heavy = F.broadcast(
+        answers.where(F.col("copies") * HEAVY > total).select("_class", F.col("component_id").alias("heavy_id"))
+    ).withColumn("heavy", F.lit(True))
+    flagged = lambda rows: possible(rows, "_class", several.select("_class")).join(heavy, "_class", "left")
+    here = flagged(counted).where("heavy or not possible").withColumns({
+        "component_id": F.when(F.col("heavy"), F.col("heavy_id")).otherwise(F.col("_id")), "n": F.col("_n"),
+    }).drop("_n")
+    asked = flagged(keyed).where("possible and heavy is null").join(answers, "_class", "left").withColumn(
+        "component_id", F.when(F.col("n").isNull(), F.col("_id")).otherwise(F.col("component_id"))
+    ).select(here.columns)
+    component = F.col("component_id")
+    return here.unionByName(asked).select(
+        *[c for c in keyed.columns if c != "_class"],
         F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
-        component.alias("component_id"),
+        component,
         (component.isNull() | F.coalesce(F.col("_id") == component, F.lit(False))).alias("kept"),
     )

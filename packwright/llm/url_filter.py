@@ -78,6 +78,19 @@ def blocked_bloom(entries: DataFrame, n_entries: int) -> tuple[DataFrame, int]:
     return set_bits.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(LANES)]), blocks
 
 
+def possible(rows: DataFrame, key: str, entries: DataFrame) -> DataFrame:
+    """The rows, with `possible`: true for every key that the entries (one column, distinct) hold, and for few
+    others. The filter goes to the rows, so nothing of them is shuffled; a null key is not possible."""
+    entries = entries.toDF("key")
+    bloom, blocks = blocked_bloom(entries, entries.count())
+    bits = dict(zip([f"_b{i}" for i in range(LANES)], _bits(F.col(key)), strict=True))
+    bloom = bloom.select(F.col("block").alias("_block"), *[F.col(f"w{i}").alias(f"_w{i}") for i in range(LANES)])
+    met = rows.withColumns({"_block": _block(F.col(key), blocks), **bits}).join(F.broadcast(bloom), "_block", "left")
+    set_ = " and ".join(f"(shiftrightunsigned(_w{i}, _b{i}) & 1) = 1" for i in range(LANES))
+    flag = F.col(key).isNotNull() & F.coalesce(F.expr(set_), F.lit(False))
+    return met.select(*rows.columns, flag.alias("possible"))
+
+
 def judge_urls(pages: DataFrame, entries: DataFrame, url_column: str = "url") -> DataFrame:
     """All columns of the pages as struct `row`, with host, path, rule, verdict and listed.
 
