@@ -52,8 +52,6 @@ BLOCK_SHINGLES = 1 << 20
 HEAVY = 1000
 #: Partners of a hub that are confirmed together.
 PARTNERS = 512
-#: Classes of which a task remembers that it sent a text.
-SENT = 200_000
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -146,19 +144,9 @@ def _texts(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(_class, t): the text of one document of each wanted class (`_class`, distinct)."""
     texts = with_classes(docs.select(F.col(text).cast("string").alias("t")), "t", 0, counted=False, signed=False)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
-        for batch in batches:
-            new = []
-            for c in batch.column("_class").to_pylist():
-                if len(sent) >= SENT:
-                    sent.clear()
-                new.append(c not in sent)
-                sent.add(c)
-            yield batch.filter(pa.array(new, pa.bool_()))
-
     wanted = possible(texts, "_class", nodes).where("possible").select("_class", "t")
-    once = wanted.mapInArrow(first, "_class binary, t string").groupBy("_class").agg(F.first("t").alias("t"))
+    # Each task keeps one text of a class before anything is sent.
+    once = wanted.groupBy("_class").agg(F.first("t").alias("t"))
     return written(once.join(nodes, "_class", "left_semi"), "texts")
 
 
@@ -277,8 +265,11 @@ def _judged(rows: DataFrame, shingle_words: int, threshold: float, miss: float)
         "classes",
     )
     members = _members(classes)
-    labels = _star_links(_star_pairs(members, classes, threshold, miss), rows, "_text", shingle_words, threshold)
-    more = _rest_links(members, classes, labels, rows, shingle_words, threshold, miss)
+    # Most classes share no bucket; their signatures need not travel.
+    shared = members.select("node").distinct()
+    signatures = written(possible(classes, "node", shared).where("possible").select("node", "n", "sig"), "signatures")
+    labels = _star_links(_star_pairs(members, signatures, threshold, miss), rows, "_text", shingle_words, threshold)
+    more = _rest_links(members, signatures, labels, rows, shingle_words, threshold, miss)
     if not more.isEmpty():
         known = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
         labels = components(more.union(known), written)
@@ -300,11 +291,13 @@ def near_duplicate_ids(
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(node, band, bucket) of buckets with several classes."""
-    band = lambda i: F.xxhash64(F.substring("sig", i * ROWS * 2 + 1, ROWS * 2), F.lit(i))
-    banded = classes.select("node", F.posexplode(F.array(*[band(i) for i in range(BANDS)])).alias("band", "bucket"))
+    """(node, band, bucket) of buckets with several classes; a bucket's low bits are its band."""
+    hashed = lambda i: F.xxhash64(F.substring("sig", i * ROWS * 2 + 1, ROWS * 2))
+    bucket = lambda i: hashed(i).bitwiseAND(F.lit(-BANDS)).bitwiseOR(F.lit(i))
+    banded = classes.select("node", F.explode(F.array(*[bucket(i) for i in range(BANDS)])).alias("bucket"))
     shared = banded.groupBy("bucket").count().where("count > 1").select("bucket")
-    return written(banded.join(shared, "bucket", "left_semi"), "members")
+    found = banded.join(shared, "bucket", "left_semi")
+    return written(found.withColumn("band", F.col("bucket").bitwiseAND(F.lit(BANDS - 1)).cast("int")), "members")
 
 
 def _signed_pairs(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -352,17 +345,18 @@ def _rest_links(
     parts = lambda count, shingles: F.ceil(F.greatest(F.col(count) / BLOCK, F.col(shingles) / BLOCK_SHINGLES))
     open_ = at.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
     open_at = at.join(open_.select("bucket"), "bucket", "left_semi")
-    at = written(open_at.join(classes.select("node", "n", "sig"), "node"), "open")
+    at = written(open_at.join(classes.select("node", "n"), "node"), "open")
     sizes = at.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     small = sizes.where(F.col("c") < LARGE).groupBy("bucket").agg(F.sum("c").alias("all_c"), F.sum("s").alias("all_s"))
     # A large component has blocks of its own; the members of small ones share blocks, whole components each.
-    signed = at.join(sizes, ["bucket", "comp"]).join(small, "bucket", "left").select(
-        "bucket", "band", "node", "comp", "n", "sig",
+    placed = at.join(sizes, ["bucket", "comp"]).join(small, "bucket", "left").select(
+        "bucket", "band", "node", "comp", "n",
         F.when(F.col("c") >= LARGE, F.col("comp")).alias("own"),
         F.when(
             F.col("c") >= LARGE, F.pmod(F.xxhash64("node"), parts("c", "s"))
         ).otherwise(F.pmod(F.xxhash64("comp"), parts("all_c", "all_s"))).alias("part"),
     )
+    signed = placed.join(classes.select("node", "sig"), "node")
     t, least = round(threshold * 10_000), least_agreement(threshold, miss)
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
