@@ -159,6 +159,23 @@ def test_adjacent_numbers_are_added(spark):
         assert more and sum(len(re.findall("[0-9]", text[s:e])) for s, _, e in more) >= 10 * n, (text, every, limits)
 
 
+def test_other_numbers_stay(spark):
+    """Numbers that pass a phone's check but are none stay in the text; unsigned phones go."""
+    rng = random.Random(12)
+    number = lambda: f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    rows = [(f"please call +1-{number()} or +44 {rng.randint(20, 99)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} x",) for _ in range(500)]
+    rows += [(f"see order {rng.randint(10**9, 10**10)} and total {rng.randint(10**6, 10**8)} x",) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "text string")
+    x, y, _ = pii._labelled(frame, pii.SAMPLE)
+    assert all(len({(v, t) for v, t in zip(x[:, i], y, strict=True)}) > len(set(x[:, i])) for i in range(x.shape[1]))
+    model, limits = pii.learn(frame)
+    for text in ("order number 1234567890", "id 20240101123456", "ISBN 978-3-16-148410-0", "serial 12345678901"):
+        assert pii.all_spans(text, model, limits) == ([], []), text
+    for text in ("please call 415-555-1234 x", "call 1-415-555-1234 now"):
+        base, every = pii.all_spans(text, model, limits)
+        assert base == [] and [k for _, k, _ in every] == [3], (text, limits)
+
+
 def test_rare_kinds_have_their_own_examples(spark):
     rng = random.Random(10)
     card = "4111 1111 1111 1111"
