@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Files are spread over this many hash buckets when one partition is cut into several jobs.
-FILE_BUCKETS = 1024
+# A file's place is a hash of 63 bits: a partition that is cut into several jobs is cut by places.
+PLACE_BITS = 63
+LAST_PLACE = (1 << PLACE_BITS) - 1
 
 
 def named(name: str) -> Column:
@@ -32,5 +33,6 @@ def below(path: Column, root: str) -> Column:
     return F.when(path == root, F.lit("")).when(path.startswith(root + "/"), rest)
 
 
-def file_bucket(uri: Column) -> Column:
-    return F.pmod(F.xxhash64(uri), F.lit(FILE_BUCKETS)).cast("int")
+def file_place(uri: Column) -> Column:
+    """Where a file stands among its partition's files, whatever their number: 0 to LAST_PLACE."""
+    return F.shiftrightunsigned(F.xxhash64(uri), 64 - PLACE_BITS)

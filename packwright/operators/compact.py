@@ -27,7 +27,7 @@ from packwright.errors import (
     PromotionError,
     VerificationError,
 )
-from packwright.functions.columns import below, file_bucket, file_uri, named, parent
+from packwright.functions.columns import LAST_PLACE, below, file_place, file_uri, named, parent
 from packwright.operators.promote import (
     RETIRED_SUFFIX,
     finish_swap,
@@ -43,11 +43,11 @@ from packwright.operators.promote import (
 )
 from packwright.operators.verify import compare_leaves, leaf_digest, tagged, tree_facts
 from packwright.plans.compaction import (
-    FILE_BUCKETS,
     JOB_FILES,
     SLICE_FILES,
     TARGET_BYTES,
     compaction_plan,
+    is_cut,
     job_plan,
     slice_plan,
     task_of_row,
@@ -356,13 +356,12 @@ def _nested(files: DataFrame) -> bool:
 def _jobs(plan: DataFrame) -> list[Row]:
     """The write jobs of a table: one row per job, so per TiB of data."""
     signature = F.regexp_replace("partition", "=[^/]*", "")
-    whole = F.col("last_bucket") - F.col("first_bucket") == FILE_BUCKETS - 1
     return (
         plan.groupBy("job")
         .agg(
             F.max("tasks").alias("tasks"),
             F.count("*").alias("slices"),
-            F.max(~whole).alias("sliced"),
+            F.max(is_cut(F.col("first_place"), F.col("last_place"))).alias("sliced"),
             F.min(signature).alias("first_signature"),
             F.max(signature).alias("last_signature"),
             F.min(F.col("partition").rlike(_PLAIN_PARTITION)).alias("plain"),
@@ -395,7 +394,7 @@ def _write_jobs(
             numbered = f"{target}/.by_number-{uuid.uuid4().hex}"
             writer.partitionBy("__pw_slice").parquet(numbered)
             written = set(storage.child_dirs(numbered))
-            names = mine.select("slice_id", "partition", "first_bucket", "last_bucket").collect()
+            names = mine.select("slice_id", "partition", "first_place", "last_place").collect()
             storage.move_into(
                 (
                     f"{numbered}/__pw_slice={r.slice_id}",
@@ -460,7 +459,7 @@ class _Sources:
 
 
 def _whole(piece: Row) -> bool:
-    return piece.last_bucket - piece.first_bucket == FILE_BUCKETS - 1
+    return piece.first_place == 0 and piece.last_place == LAST_PLACE
 
 
 def _in_slices(slices: list[Row], leaf: Column, uri: Column) -> Column:
@@ -469,7 +468,7 @@ def _in_slices(slices: list[Row], leaf: Column, uri: Column) -> Column:
     terms = [leaf.isin(whole)] if whole else []
     for r in slices:
         if not _whole(r):
-            in_slice = file_bucket(uri).between(r.first_bucket, r.last_bucket)
+            in_slice = file_place(uri).between(r.first_place, r.last_place)
             terms.append((leaf == r.leaf_uri) & in_slice)
     return reduce(or_, terms)
 
@@ -487,8 +486,8 @@ def _placed(scan: DataFrame, plan: DataFrame, sliced: bool, keys: list[str] | No
     values = F.split("partition", "/")
     places = plan.select(
         F.col("leaf_uri").alias("__pw_plan_leaf"),
-        F.col("first_bucket").alias("__pw_first_bucket"),
-        F.col("last_bucket").alias("__pw_last_bucket"),
+        F.col("first_place").alias("__pw_first_place"),
+        F.col("last_place").alias("__pw_last_place"),
         F.col("n").alias("__pw_n"),
         F.col("first_task").alias("__pw_first_task"),
         F.col("run_rows").alias("__pw_run_rows"),
@@ -500,8 +499,8 @@ def _placed(scan: DataFrame, plan: DataFrame, sliced: bool, keys: list[str] | No
     )
     here = F.col("__pw_leaf") == F.col("__pw_plan_leaf")
     if sliced:
-        here = here & file_bucket(F.col("__pw_uri")).between(
-            F.col("__pw_first_bucket"), F.col("__pw_last_bucket")
+        here = here & file_place(F.col("__pw_uri")).between(
+            F.col("__pw_first_place"), F.col("__pw_last_place")
         )
     task = task_of_row(F.col("__pw_uri"), F.col("__pw_row"))
     if keys is None:

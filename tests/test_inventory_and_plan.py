@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import packwright as pw
 from packwright.errors import MaintenanceError, PromotionError
-from packwright.functions.columns import FILE_BUCKETS
+from packwright.functions.columns import LAST_PLACE
 from packwright.plans.compaction import SHARED_TASK_PARTITIONS, job_plan, slice_plan
 from packwright.session import settings
 from packwright.sources.parquet import read_files
@@ -83,10 +83,10 @@ def _planned(spark, sizes, target, slice_files, job_files, groups):
 def test_a_large_partition_is_cut_and_all_files_have_one_place(spark):
     sizes = [("hot", 100)] * 600 + [(f"p{i}", 7) for i in range(40)]
     plan = _planned(spark, sizes, target=100, slice_files=64, job_files=128, groups=5)
-    hot = sorted((r for r in plan if r.partition == "hot"), key=lambda r: r.first_bucket)
+    hot = sorted((r for r in plan if r.partition == "hot"), key=lambda r: r.first_place)
     assert len(hot) == 10
-    assert hot[0].first_bucket == 0 and hot[-1].last_bucket == FILE_BUCKETS - 1
-    assert all(a.last_bucket + 1 == b.first_bucket for a, b in zip(hot, hot[1:]))
+    assert hot[0].first_place == 0 and hot[-1].last_place == LAST_PLACE
+    assert all(a.last_place + 1 == b.first_place for a, b in zip(hot, hot[1:]))
     assert sum(r.n for r in hot) == 600 and sum(r.files for r in hot) == 600
     others = [r for r in plan if r.partition != "hot"]
     assert len(others) == 40 and all(r.n == 1 for r in others)
@@ -100,6 +100,25 @@ def test_files_of_a_cut_partition_add_up(spark, sizes):
     assert min(r.n for r in plan) >= 1 and sum(r.files for r in plan) == len(sizes)
 
 
+@pytest.mark.parametrize("count, size, slice_files", [(30000, 1 << 40, 2048), (30000, 1 << 30, 2048), (4000, 1 << 27, 3), (5000, 1 << 20, 8)])
+def test_no_slice_has_more_files_than_allowed_at_any_size(spark, count, size, slice_files):
+    """Invented sizes up to 30 PiB in one partition; more slices than any fixed number of buckets."""
+    at = F.concat(F.lit("file:/x/p/f"), F.col("id"))
+    listing = spark.range(count).select(
+        F.lit("p").alias("partition"), F.lit("file:/x/p").alias("leaf_uri"), at.alias("uri"),
+        (F.lit(size) + F.col("id") % 7).alias("bytes"),
+    )
+    target = 1 << 27 if size >= 1 << 27 else 1 << 20
+    plan = slice_plan(listing, target, slice_files).orderBy("first_place").collect()
+    total = count * size + sum(i % 7 for i in range(count))
+    allowed = max(slice_files, 2 + -(-(size + 7) // target))
+    assert sum(r.n for r in plan) == -(-total // target) and sum(r.files for r in plan) == count
+    assert 1 <= min(r.n for r in plan) and max(r.n for r in plan) <= allowed
+    assert plan[0].first_place == 0 and plan[-1].last_place == LAST_PLACE
+    assert all(a.last_place + 1 == b.first_place for a, b in zip(plan, plan[1:]))
+    assert len(plan) > 1024 or slice_files > 3
+
+
 def test_jobs_are_bounded_and_tasks_do_not_overlap(spark):
     sizes = [("hot", 100)] * 600 + [(f"p{i}", 1 + i % 300) for i in range(200)]
     plan = _planned(spark, sizes, target=100, slice_files=64, job_files=128, groups=6)
