@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packwright.llm import (
-    mixing, near_dedup, neighbours, packing, pii, quality_rules, substring_dedup, suffix_tree, token_counts, url_filter,
+    boosting, mixing, near_dedup, neighbours, packing, pii, quality_rules, substring_dedup, suffix_tree, token_counts, url_filter,
     word_tokens,
 )
 
@@ -530,3 +530,19 @@ def test_one_row_of_each_group_stays(spark, docs, none):
     given = {tuple(r) for r in rows.collect()}
     assert {tuple(r) for r in out} <= given
     assert corpus_pipeline.near_dedup_stage(spark, none, "").collect() == []
+
+
+def test_trees_learn_from_every_candidate(spark):
+    """More candidates than a sample would hold: all of them count, and a table teaches what its rows would."""
+    rng = random.Random(21)
+    rows = [(f"call +1 {rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)} or order {rng.randint(10**9, 10**10)} x",) for _ in range(6000)]
+    found = pii._candidates(spark.createDataFrame(rows, "text string"))
+    counted = pii.counted_features(found).collect()
+    assert sum(r.n for r in counted) == found.count() > pii.SAMPLE
+    assert sum(r.n for r in counted if r.held) <= pii.HELD_OUT * found.count()
+    table = spark.createDataFrame([(r.x, r.y, r.n) for r in counted], "x array<double>, y int, n long").repartition(3)
+    x = np.repeat(np.array([r.x for r in counted]), [r.n for r in counted], axis=0)
+    y = np.repeat(np.array([r.y for r in counted], float), [r.n for r in counted])
+    of_table, of_rows = boosting.fit_table(table), boosting.fit(x, y)
+    assert np.array_equal(of_table.log_odds(x), of_rows.log_odds(x)) and of_table.base == of_rows.base
+    assert ((of_table.probability(x) > 0.5) == (y > 0.5)).mean() > 0.98
