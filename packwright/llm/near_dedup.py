@@ -110,7 +110,7 @@ def with_classes(docs: DataFrame, text: str, size: int, counted: bool = True, si
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 4 << 20):
             classes, counts, sigs = [], [], []
             for value in texts_of(batch.column(text)):
                 words = value.lower().split()
@@ -246,12 +246,17 @@ def near_duplicates(
     """
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
     _, answers = _judged(rows, shingle_words, threshold, miss)
+    # The text goes to Python once, beside the other columns; `row` is put together again behind it.
+    once = docs.schema[text_column].dataType.simpleString() == "string" and len({*map(str.lower, docs.columns)}) == len(docs.columns) > 1
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_column] if once else ["*"]
     packed = docs.select(
-        F.struct("*").alias("row"), F.col(id_column).alias("_id"),
+        F.struct(*others).alias("row"), F.col(id_column).alias("_id"),
         F.col(text_column).cast("string").alias("_text"),
     )
-    counted = with_classes(packed, "_text", shingle_words, signed=False).drop("_text")
-    keyed = with_classes(packed, "_text", shingle_words, counted=False, signed=False).drop("_text")
+    whole = F.struct(*[(F.col("_text") if c == text_column else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    made = lambda rows: (rows.withColumn("row", whole) if once else rows).drop("_text")
+    counted = made(with_classes(packed, "_text", shingle_words, signed=False))
+    keyed = made(with_classes(packed, "_text", shingle_words, counted=False, signed=False))
     return _with_answers(counted, keyed, answers).drop("_id")
 
 

@@ -571,3 +571,13 @@ def test_neighbours_by_growing_parts(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "STEP", 4)
     got = _recalls(spark, x, range(0, 1500, 20))
     assert sum(got.values()) / len(got) >= 0.9
+
+
+def test_texts_travel_to_python_once(docs, monkeypatch):
+    seen, given_to = [], near_dedup.with_classes
+    monkeypatch.setattr(near_dedup, "with_classes", lambda d, *a, **k: seen.append(d.schema) or given_to(d, *a, **k))
+    out = near_dedup.near_duplicates(docs)
+    assert collections.Counter(map(tuple, (r.row for r in out.collect()))) == collections.Counter(map(tuple, _rows()))
+    assert out.schema["row"].dataType.names == docs.columns
+    rows = [s["row"].dataType.names for s in seen if "row" in s.names]
+    assert rows and all("text" not in names for names in rows)
