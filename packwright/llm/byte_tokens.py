@@ -13,7 +13,7 @@ from array import array
 
 import regex
 
-from packwright.llm.word_tokens import packed
+from packwright.llm.word_tokens import byte_names, packed
 
 #: Words that a worker remembers (some 90 MB), as many of the time before, and pre-tokens.
 CACHE_ENTRIES = 500_000
@@ -52,14 +52,6 @@ def byte_ids(path: str | None = None) -> ByteIds:
     return _encoders[path]
 
 
-def _byte_names() -> dict[int, str]:
-    """The characters a vocabulary's names use for bytes: visible ones stand for themselves, all others are
-    numbered from 256 on."""
-    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(256, 512))
-    return {b: chr(b) if b in visible else chr(next(rest)) for b in range(256)}
-
-
 class ByteIds:
     """Encodes texts; ids come as little-endian 32-bit numbers."""
 
@@ -68,7 +60,7 @@ class ByteIds:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        self._names = _byte_names()
+        self._names = byte_names()
         self._words: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}

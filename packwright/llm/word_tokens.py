@@ -6,6 +6,7 @@ words in a row. Ids are remembered per word and per pre-token; only new pre-toke
 
 from __future__ import annotations
 
+import re
 from array import array
 
 import regex
@@ -16,9 +17,13 @@ CACHE_ENTRIES = 600_000
 #: Words of these characters are already composed and lower-case alike in every library; all others, and
 #: those that may hold a special token, go through the tokenizer whole.
 _PLAIN = regex.compile(r"[\x21-\x7E¡-¬®-įĲ-ž]*")
-#: The pre-tokenizer's own pattern (fixed value of the vocabulary file).
+#: The pre-tokenizer's own pattern (fixed value of the vocabulary file), and what it means for lower-case ASCII.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: Marks that are a pre-token of their own behind letters.
+_MARKS = frozenset(".,;:!?")
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -26,6 +31,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_names() -> dict[int, str]:
+    """The characters a vocabulary's names use for bytes: visible ones stand for themselves, all others are
+    numbered from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in visible else chr(next(rest)) for b in range(256)}
+
+
 _known: dict[str, WordIds] = {}
 
 
@@ -42,19 +55,24 @@ class WordIds(dict):
 
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self._whole = Tokenizer.from_file(path or default_vocabulary())
         self._model = self._whole.model
-        self._bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._names = byte_names()
         self._pieces: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isalpha() and text.isascii():
-            ids = self._pieces.get(text.lower()) or self._piece(text.lower())
+        # Letters, with a mark behind them or not, need no pattern to be cut.
+        stem, mark = (text[:-1], text[-1]) if text[-1] in _MARKS else (text, "")
+        if stem.isalpha() and (stem.isascii() or _PLAIN.fullmatch(stem)):
+            piece = stem.lower()
+            ids = self._pieces.get(piece) or self._piece(piece)
+            if mark:
+                ids += self._pieces.get(mark) or self._piece(mark)
         elif _PLAIN.fullmatch(text) and "<|" not in text:
-            ids = b"".join([self._pieces.get(p) or self._piece(p) for p in _PIECES.findall(text.lower())])
+            pieces = (_ASCII_PIECES if text.isascii() else _PIECES).findall(text.lower())
+            ids = b"".join([self._pieces.get(p) or self._piece(p) for p in pieces])
         else:
             ids = packed(self._whole.encode(text, add_special_tokens=False).ids)
         if len(self) >= CACHE_ENTRIES:
@@ -64,8 +82,8 @@ class WordIds(dict):
 
     def _piece(self, piece: str) -> bytes:
         # A visible ASCII character stands for its own byte.
-        mapped = piece if piece.isascii() else "".join(p for p, _ in self._bytes.pre_tokenize_str(piece))
-        ids = packed([t.id for t in self._model.tokenize(mapped)])
+        named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._names)
+        ids = array("I", [t.id for t in self._model.tokenize(named)]).tobytes()
         if len(self._pieces) >= CACHE_ENTRIES:
             self._pieces.clear()
         self._pieces[piece] = ids

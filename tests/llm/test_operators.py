@@ -581,3 +581,13 @@ def test_texts_travel_to_python_once(docs, monkeypatch):
     assert out.schema["row"].dataType.names == docs.columns
     rows = [s["row"].dataType.names for s in seen if "row" in s.names]
     assert rows and all("text" not in names for names in rows)
+
+
+def test_words_of_letters_need_no_pattern(monkeypatch):
+    """Words of letters, with a mark or without, and all of ASCII are cut without the general pattern."""
+    texts = ["Où été, ÉTÉ! Œuvre; the The. x: it's a1 Est*** don't.", "µ? ª, Ÿ: ſ ß. İ. ﬁ! <|x|>, ab1c . ,;"]
+    ids = word_tokens.WordIds()
+    want = [word_tokens.packed(ids._whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [ids.encode(t.encode()) for t in texts] == want
+    monkeypatch.setattr(word_tokens, "_PIECES", None)
+    assert word_tokens.WordIds().encode(texts[0].encode()) == want[0]
