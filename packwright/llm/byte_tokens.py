@@ -34,6 +34,8 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 
 #: Marks that no pre-token joins to the letters before them.
 _MARKS = frozenset(".,;:!?")
+#: What may follow a line break, to be cut without a pattern: letters, and a mark or none.
+_LINE = re.compile(r"[A-Za-z]+[.,;:!?]?")
 
 _encoders: dict[str, ByteIds] = {}
 
@@ -52,8 +54,9 @@ def byte_ids(path: str | None = None) -> ByteIds:
     return _encoders[path]
 
 
-class ByteIds:
-    """Encodes texts; ids come as little-endian 32-bit numbers."""
+class ByteIds(dict):
+    """Encodes texts; ids come as little-endian 32-bit numbers. As a dictionary: word -> its ids with a space before
+    it, for as many words as the bound allows."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,7 +64,7 @@ class ByteIds:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._names = byte_names()
-        self._words: dict[str, bytes] = {}
+        self._space = self._names[0x20]
         self._old: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
 
@@ -73,32 +76,44 @@ class ByteIds:
         if _irregular(text):
             return b"".join(map(self._chunk, _chunks(text)))
         head, *words = text.split(" ")
-        ids = list(map(self._words.get, words))
-        for i in [i for i, known in enumerate(ids) if known is None]:
-            ids[i] = self._words.get(words[i]) or self._word(words[i])
-        return b"".join([*map(self._chunk, _AT_LINE.split(head)), *ids])
+        return b"".join([*map(self._chunk, _AT_LINE.split(head)), *map(self.__getitem__, words)])
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._old.get(word)
+        if ids is None:
+            if "\n" in word:  # the words on either side of a line break seldom meet again
+                return self._lines(word)
+            ids = self._word(word)
+        # Words asked for again outlive those that were not.
+        if len(self) >= CACHE_ENTRIES:
+            self._old = {}
+            self._old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
-        """Ids of a word with the space before it. Words asked for again outlive those that were not."""
-        stem, ids = word[:-1], self._old.get(word)
-        if ids is not None:
-            pass
-        elif word.isascii() and word.isalpha():
-            ids = self._tokenized(" " + word)
-        elif word.isalpha() and _PLAIN.fullmatch(word):
-            ids = self._tokenized(" " + word)
-        elif word[-1:] in _MARKS and stem.isalpha() and _PLAIN.fullmatch(stem):
-            ids = (self._words.get(stem) or self._word(stem)) + (self._pieces.get(word[-1]) or self._piece(word[-1]))
-        elif "\n" in word:  # the words on either side of a line break seldom meet again
+        if word.isalpha():
+            if word.isascii():  # its letters stand for themselves
+                return array("I", [t.id for t in self._model.tokenize(self._space + word)]).tobytes()
+            if _PLAIN.fullmatch(word):
+                return self._tokenized(" " + word)
+        elif word[-1:] in _MARKS and (stem := word[:-1]).isalpha() and _PLAIN.fullmatch(stem):
+            return self[stem] + (self._pieces.get(word[-1]) or self._piece(word[-1]))
+        return self._chunk(" " + word)
+
+    def _lines(self, word: str) -> bytes:
+        """Ids of a word with line breaks in it."""
+        head, *rest = word.split("\n")
+        if not (head.isascii() and head.isprintable() and head and all(map(_LINE.fullmatch, rest))):
             head, *rest = _AT_LINE.split(" " + word)
-            first = self._chunk(head) if "\n" in head else self._words.get(head[1:]) or self._word(head[1:])
-            return first + b"".join(map(self._chunk, rest))
-        else:
-            ids = self._chunk(" " + word)
-        if len(self._words) >= CACHE_ENTRIES:
-            self._old, self._words = self._words, {}
-        self._words[word] = ids
-        return ids
+            return (self._chunk(head) if "\n" in head else self[head[1:]]) + b"".join(map(self._chunk, rest))
+        found, pieces = [self[head]], self._pieces
+        for line in rest:
+            letters, mark = (line, "") if line.isalpha() else (line[:-1], line[-1])
+            for piece in ("\n", letters, mark) if mark else ("\n", letters):
+                found.append(pieces.get(piece) or self._piece(piece))
+        return b"".join(found)
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk, whatever comes before and after it."""
@@ -109,7 +124,7 @@ class ByteIds:
 
     def _piece(self, piece: str) -> bytes:
         if piece[:1] == " " and piece[1:].isalpha():
-            return self._words.get(piece[1:]) or self._word(piece[1:])
+            return self[piece[1:]]
         if len(self._pieces) >= CACHE_ENTRIES:
             self._pieces.clear()
         self._pieces[piece] = ids = self._tokenized(piece)
@@ -117,7 +132,7 @@ class ByteIds:
 
     def _tokenized(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
-            named = piece.replace(" ", self._names[0x20])  # all others stand for themselves
+            named = piece.replace(" ", self._space)  # all others stand for themselves
         else:
             named = piece.encode().decode("latin-1").translate(self._names)
         return array("I", [t.id for t in self._model.tokenize(named)]).tobytes()

@@ -114,6 +114,21 @@ def test_chunks_never_change_the_ids(whole):
         assert ids == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_line_breaks_before_letters_need_no_pattern(whole, monkeypatch):
+    # The check of CPU seconds: such words are cut without the general patterns, and words that a generation
+    # of the cache has lost are the same again.
+    monkeypatch.setattr(byte_tokens, "CACHE_ENTRIES", 7)
+    encoder = byte_tokens.ByteIds(byte_tokens.default_vocabulary())
+    heads, rng = ["a", "Zeta,"], random.Random(2)
+    lines = ["one\nTwo", "x.\nThen,", "so\nit\nIs;", "gr\nab:", "été,", "two", "Zeta,"]
+    texts = [" ".join([rng.choice(heads), *rng.choices(lines, k=9)]) for _ in range(200)]
+    chunks, cut = encoder._chunk, []
+    monkeypatch.setattr(encoder, "_chunk", lambda chunk: cut.append(chunk) or chunks(chunk))
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert set(cut) <= set(heads)
+
+
 def test_the_query(spark, whole):
     rows = spark.read.parquet(f"{CHECK}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     want, at = [], 0
