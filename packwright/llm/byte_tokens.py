@@ -81,9 +81,12 @@ class ByteIds(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self._old.get(word)
         if ids is None:
-            if "\n" in word:  # the words on either side of a line break seldom meet again
+            if word.isascii() and word.isalpha():  # its letters stand for themselves
+                ids = array("I", [t.id for t in self._model.tokenize(self._space + word)]).tobytes()
+            elif "\n" in word:  # the words on either side of a line break seldom meet again
                 return self._lines(word)
-            ids = self._word(word)
+            else:
+                ids = self._word(word)
         # Words asked for again outlive those that were not.
         if len(self) >= CACHE_ENTRIES:
             self._old = {}
@@ -94,8 +97,6 @@ class ByteIds(dict):
 
     def _word(self, word: str) -> bytes:
         if word.isalpha():
-            if word.isascii():  # its letters stand for themselves
-                return array("I", [t.id for t in self._model.tokenize(self._space + word)]).tobytes()
             if _PLAIN.fullmatch(word):
                 return self._tokenized(" " + word)
         elif word[-1:] in _MARKS and (stem := word[:-1]).isalpha() and _PLAIN.fullmatch(stem):
