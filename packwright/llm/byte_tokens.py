@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from codecs import charmap_decode
 
 import regex
 
@@ -63,8 +64,8 @@ class ByteIds(dict):
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        self._names = byte_names()
-        self._space = self._names[0x20]
+        names = byte_names()
+        self._names, self._space = "".join(names[b] for b in range(256)), names[0x20]
         self._old: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
 
@@ -99,21 +100,20 @@ class ByteIds(dict):
         if word.isalpha():
             if _PLAIN.fullmatch(word):
                 return self._tokenized(" " + word)
-        elif word[-1:] in _MARKS and (stem := word[:-1]).isalpha() and _PLAIN.fullmatch(stem):
+        elif word[-1:] in _MARKS and (stem := word[:-1]).isalpha() and (stem.isascii() or _PLAIN.fullmatch(stem)):
             return self[stem] + (self._pieces.get(word[-1]) or self._piece(word[-1]))
         return self._chunk(" " + word)
 
     def _lines(self, word: str) -> bytes:
         """Ids of a word with line breaks in it."""
         head, *rest = word.split("\n")
-        if not (head.isascii() and head.isprintable() and head and all(map(_LINE.fullmatch, rest))):
+        if not (head and head.isascii() and head.isprintable() and all(map(_LINE.fullmatch, rest))):
             head, *rest = _AT_LINE.split(" " + word)
             return (self._chunk(head) if "\n" in head else self[head[1:]]) + b"".join(map(self._chunk, rest))
-        found, pieces = [self[head]], self._pieces
+        found, get = [self[head]], self._pieces.get
         for line in rest:
-            letters, mark = (line, "") if line.isalpha() else (line[:-1], line[-1])
-            for piece in ("\n", letters, mark) if mark else ("\n", letters):
-                found.append(pieces.get(piece) or self._piece(piece))
+            for piece in ("\n", line) if line.isalpha() else ("\n", line[:-1], line[-1]):
+                found.append(get(piece) or self._piece(piece))
         return b"".join(found)
 
     def _chunk(self, chunk: str) -> bytes:
@@ -135,7 +135,7 @@ class ByteIds(dict):
         if piece.isascii() and piece.isprintable():
             named = piece.replace(" ", self._space)  # all others stand for themselves
         else:
-            named = piece.encode().decode("latin-1").translate(self._names)
+            named = charmap_decode(piece.encode(), "strict", self._names)[0]
         return array("I", [t.id for t in self._model.tokenize(named)]).tobytes()
 
 
