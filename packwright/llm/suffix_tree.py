@@ -10,28 +10,34 @@ root of the upper tree, the discount goes to the letters. So every word has a pr
 texts of a length sum to one or less.
 A depth's contexts are those of the depth before with one more symbol in front, where that one was retained; the
 trees end at the depth that retains none.
-Scale. Both trees are Spark tables keyed by a 64-bit hash of the context (and the next symbol), as large as the
-corpus makes them; none of it is gathered on the driver. Texts are read three times: to count words, to turn
-them into symbols (a table of numbers, which each depth reads), to sum up roots. A depth counts the pairs of
-(context, next) and meets the model in a join, by its pairs and by its contexts; what a depth adds to a text's
-score is a sum over its places, so depths are summed apart. Words with a share of more than 1 / FREQUENT, fewer
-than FREQUENT by that rule, travel with the last pass, so no hot word is shuffled; the others meet their counts
-in a join.
+Scale. Texts are read once and kept as numbers, in chunks of some MB. A place (the symbols before a symbol, and
+it) is dealt once, to the task that has all places of its contexts; that task grows these subtrees, level by level, and
+scores the places, of training or not, at once, so neither tree is ever a table. Tasks are ranges of contexts, read
+backwards, cut where samples of places say (that decides where work is done, not what comes out); only contexts
+that a cut divides, none of them rare, have their counts summed beforehand. Places travel with REACH symbols; those
+whose context of that depth was retained go on with twice as many. Ranges are taken in PASSES, and a pass's
+shuffle may go before the next, so disk holds a part of the places at a time.
+Words with a share of more than 1 / FREQUENT, fewer than FREQUENT by that rule, have a small number and travel
+with every task; the others meet their counts once a chunk.
 """
 
 from __future__ import annotations
 
+import gc
 import math
-from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm.common import BASE, WordHashes, mixed, slices, texts_of, written
+from packwright.llm.common import BASE, slices
+from packwright.session import freeze, scratch_dir
+from packwright.storage import Storage
 
 FREQUENT, DISCOUNT = 500_000, 0.75
 #: Fewest times that a retained context was seen.
@@ -39,10 +45,14 @@ MIN_COUNT = 2
 #: How much evidence a context must bring beyond its suffix (1: as the Bayesian information criterion).
 PENALTY = 1.0
 SYMBOLS = 257
-#: What stands before a sequence and after it; letters are their byte plus LETTER.
+#: What stands before a sequence and after it; letters are their byte plus LETTER, words count on from there.
 START, END, LETTER = 1, 2, 3
-#: Words that are spelled at a time, and entries of a task's counter before it is handed on.
-TOGETHER, COUNTED = 50_000, 400_000
+#: Bytes of text in a chunk; words that chunks have, copies too, that are counted together.
+TEXT_BYTES, WORDS = 8 << 20, 250_000
+#: Symbols before a place that travel with it at first, in the tree of texts and in that of words.
+REACH, LETTER_REACH = 4, 6
+#: Places of a range, about; samples taken of that many; turns in which ranges are taken.
+PART, SAMPLED, PASSES = 600_000, 64, 4
 
 
 def held_out(id_: Column) -> Column:
@@ -50,163 +60,621 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) over the columns `text` and `held`: words lower-cased, A to Z only; c counts where not held."""
+class _Scratch:
+    """Tables below the scratch folder, deleted when their last reader is done."""
+
+    def __init__(self, session: SparkSession):
+        self.session, self.paths = session, {}
+
+    def written(self, frame: DataFrame, purpose: str) -> DataFrame:
+        path = f"{scratch_dir(self.session, purpose)}/table"
+        out = freeze(frame, path)
+        self.paths[id(out)] = (out, path)
+        # Shuffle files go when the driver has collected what they belong to.
+        del frame
+        gc.collect()
+        self.session._jvm.System.gc()
+        return out
+
+    def done(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            path = self.paths.pop(id(frame))[1]
+            Storage(self.session, path).delete(path)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers from zero, or floats, as bytes by place value, compressed."""
+    head, planes = [len(arrays)], []
+    for a in arrays:
+        whole = a.dtype.kind != "f"
+        a = np.ascontiguousarray(a)
+        width = (int(a.max(initial=0)).bit_length() + 7) // 8 if whole else 8
+        head += [len(a), width, whole]
+        planes.append(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T[:width].tobytes())
+    raw = np.array(head, np.int64).tobytes() + b"".join(planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    number = int(np.frombuffer(raw, np.int64, 1)[0])
+    head = np.frombuffer(raw, np.int64, 3 * number, 8).tolist()
+    at, out = 8 + 24 * number, []
+    for size, width, whole in zip(head[::3], head[1::3], head[2::3], strict=True):
+        a = np.zeros((size, 8), np.uint8)
+        a[:, :width] = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T
+        out.append(a.reshape(-1).view(np.int64 if whole else np.float64))
+        at += size * width
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"]
-            )
-            found.clear()
-            return batch
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return order, new
+
+
+def _ordered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by the columns, the first one first, and where in it a different row begins."""
+    key, width = np.zeros(len(columns[0]), np.uint64), 0
+    for column in columns:
+        bits = int(column.max(initial=0)).bit_length()
+        if width + bits > 64:
+            order, new = _sorted(key)
+            key[order] = np.cumsum(new)
+            width = int(key.max(initial=0)).bit_length()
+        key <<= np.uint64(bits)
+        key |= column.astype(np.uint64, copy=False)
+        width += bits
+    return _sorted(key)
+
+
+def _ranks(*columns: np.ndarray) -> np.ndarray:
+    """Rank of each row among the different rows."""
+    order, new = _ordered(*columns)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
 
-        for batch in slices(batches, "text"):
-            for value, held in zip(texts_of(batch.column("text")), batch.column("held").to_pylist(), strict=True):
-                words = value.lower().split()
-                found.update(dict.fromkeys(words, 0) if held else words)
-                if len(found) > COUNTED:
-                    yield out()
-        yield out()
 
-    return texts.select("text", "held").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def _hash(*columns: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        h = (h + column.astype(np.uint64)) * np.uint64(BASE)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _range(columns: list[np.ndarray], prefix: tuple[int, ...]) -> tuple[int, int]:
+    """Rows of sorted columns that begin with a prefix; if none does, where they would be."""
+    low, high = 0, len(columns[0])
+    for column, value in zip(columns, prefix):
+        low, high = (low + int(np.searchsorted(column[low:high], column.dtype.type(value), side)) for side in ("left", "right"))
+    return low, high
+
+
+class _Places:
+    """Places of a chunk: up to `depth` symbols before each (zero: none), it, its sequence, whether it is learned
+    from, share and chance of it after the context it comes with, and which place of the chunk it is."""
+
+    def __init__(self, before, *others):
+        self.before, (self.symbol, self.sequence, self.learn, self.share, self.chance, self.at) = before, others
+
+
+def _body(codes, lengths, learn, numbers, c, p) -> bytes:
+    """Sequences as codes from LETTER on, of which `numbers` gives the symbols, in their order; count and log10 chance
+    of the last of them, which are not common."""
+    return packed(codes, lengths, learn, numbers, c, p)
+
+
+def _places(
+    body: bytes, depth: int, common: tuple[np.ndarray, np.ndarray, int], going_on: bool = False, wanted: Callable | None = None,
+    only: np.ndarray | slice = slice(None),
+) -> _Places:
+    """`wanted` tells from the last symbol before them which places are, `only` picks from these."""
+    if going_on:
+        *before, symbol, sequence, learn, share, chance = unpacked(body)
+        at = (np.flatnonzero(wanted(before[0])) if wanted else np.arange(len(symbol)))[only]
+        return _Places([b[at] for b in before], *(x[at] for x in (symbol, sequence, learn, share, chance)), at)
+    codes, lengths, learn, numbers, c, p = unpacked(body)
+    if numbers[-1] < 1 << 32:
+        numbers = numbers.astype(np.uint32)
+    ends = np.cumsum(lengths + 2)
+    begins = ends - lengths - 2
+    flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+    inner = np.ones(len(flat), bool)
+    inner[ends - 1] = inner[begins] = False
+    flat[inner], flat[ends - 1], flat[begins] = codes, END, START
+    del codes
+    inner[:] = True
+    inner[begins] = False
+    if wanted:
+        # By code, since `numbers` has each once.
+        inner[1:] &= wanted(numbers)[flat[:-1]]
+    at = np.flatnonzero(inner)[only]
+    sequence = np.searchsorted(begins, at, "right") - 1
+    place = at - begins[sequence]
+    before = [numbers[flat[np.maximum(at - k, 0)]] * (place >= k) for k in range(1, depth + 1)]
+    code = flat[at]
+    # The rare ones are the last of `numbers`.
+    often = numbers[: len(numbers) - len(c)]
+    share, chance = np.concatenate([common[0][often], c / common[2]]), np.concatenate([common[1][often], 10.0**p])
+    return _Places(before, numbers[code], sequence, learn[sequence], share[code], chance[code], at)
+
+
+class _Plan:
+    """How places are dealt: `borders`, beginnings of contexts at which ranges begin, and contexts they divide."""
+
+    def __init__(self, samples: np.ndarray, parts: int, start: int):
+        self.borders: list[tuple[int, ...]] = []
+        if parts > 1 and len(samples):
+            samples = samples[np.lexsort(samples.T[::-1])]
+            last: tuple[int, ...] = ()
+            for row in samples[[len(samples) * j // parts for j in range(1, parts)]].tolist():
+                same = next((i for i, (a, b) in enumerate(zip(row, last)) if a != b), len(last))
+                if same < len(row):
+                    self.borders.append(tuple(row[: same + 1]))
+                    last = tuple(row)
+        divided = {b[:k] for b in self.borders for k in range(start + 1, len(b)) if 0 not in b[:k]}
+        self.divided = {c: i for i, c in enumerate(sorted(divided))}
+
+    def near(self, part: int) -> list[tuple[int, ...]]:
+        """Divided contexts that a range may have places of, the short ones first."""
+        sides = self.borders[max(0, part - 1) : part + 1]
+        return sorted({b[:k] for b in sides for k in range(1, len(b)) if b[:k] in self.divided}, key=len)
+
+
+def _cut(columns: list[np.ndarray], borders: list[tuple[int, ...]]) -> np.ndarray:
+    """Where each range begins in sorted columns, and their end."""
+    return np.array([0, *(_range(columns, b)[0] for b in borders), len(columns[0])])
+
+
+def _subtrees(before, symbol, n, share, chance, start, divided, totals):
+    """What contexts deeper than `start` add to the log10 probability of each (context, symbol), and the rows whose
+    context of all symbols given is retained, with the share and chance that their symbol has there.
+
+    `n`: how often the row is learned from. `divided`: context -> (kept, total, own) where others have places of it,
+    too; `totals`: context -> (symbols, n) of all places."""
+    size = len(symbol)
+    added, share, chance = np.zeros(size), share.copy(), chance.copy()
+    live, code = np.arange(size), _ranks(symbol)
+    context = _ranks(*before[:start]) if start else np.zeros(size, np.int64)
+    for depth in range(start + 1, len(before) + 1):
+        last = before[depth - 1][live]
+        on = last > 0
+        live, context, last = live[on], context[on], last[on]
+        if not len(live):
+            break
+        order, new = _ordered(context, last, code[live])
+        live, context, last = live[order], context[order], last[order]
+        changes = np.ones(len(live), bool)
+        changes[1:] = (context[1:] != context[:-1]) | (last[1:] != last[:-1])
+        context, pair, begin = np.cumsum(changes) - 1, np.cumsum(new) - 1, np.flatnonzero(new)
+        of, row = context[begin], live[begin]
+        times = np.add.reduceat(n[live], begin).astype(float)
+        kept_by_others = []
+        for c, (kept, total, own) in divided.items():
+            if len(c) == depth:
+                hit = np.ones(len(row), bool)
+                for b, value in zip(before, c):
+                    hit &= b[row] == value
+                if (hit := np.flatnonzero(hit)).size:
+                    if kept:
+                        symbols, counts = totals[c]
+                        times[hit] = counts[np.searchsorted(symbols, symbol[row[hit]])]
+                    kept_by_others.append((of[hit[0]], kept, total, own))
+        seen = np.flatnonzero(times)
+        total, own = np.bincount(of, times), np.bincount(of[seen], minlength=of[-1] + 1)
+        times_, of_ = times[seen], of[seen]
+        gain = np.bincount(of_, times_ * (np.log(times_ / total[of_]) - np.log(share[row[seen]])), len(total))
+        kept = (total >= MIN_COUNT) & (gain >= PENALTY * np.log(np.maximum(total, 1)) * own / 2)
+        for c, *values in kept_by_others:
+            kept[c], total[c], own[c] = values
+        stays = np.flatnonzero(kept[of])
+        of, row, times = of[stays], row[stays], times[stays]
+        weight = total[of] + own[of]
+        rest = own[of] / weight
+        p = times / weight + rest * chance[row]
+        plus = np.log10(np.where(times > 0, p / np.where(times > 0, chance[row], 1), rest))
+        on = kept[context]
+        live, context, pair = live[on], context[on], pair[on]
+        pair = np.searchsorted(stays, pair)
+        added[live] += plus[pair]
+        share[live], chance[live] = (times / total[of])[pair], p[pair]
+    else:
+        live = np.sort(live)
+        return added, live, share[live], chance[live]
+    return added, live[:0], share[:0], chance[:0]
+
+
+def _mapped(frame: DataFrame, columns: tuple[str, ...], schema: str, each: Callable) -> DataFrame:
+    """`each(values of a row)` gives tables."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for out in each(*(batch.column(c)[i].as_py() for c in columns)):
+                    yield from out.to_batches()
+
+    return frame.select(*columns).mapInArrow(run, schema)
+
+
+def _table(kinds: str, *columns) -> pa.Table:
+    kind = {"l": pa.int64(), "f": pa.float64(), "b": pa.binary(), "i": pa.int32()}
+    names, kinds = zip(*(k.split(":") for k in kinds.split()))
+    return pa.table([pa.array(c, kind[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+
+def _samples(source: DataFrame, depth: int, places: int, parts: int, common: Broadcast, going_on: bool) -> np.ndarray:
+    step = max(1, places // (parts * SAMPLED))
+
+    def each(chunk: int, body: bytes):
+        before = _places(body, depth, common.value, going_on, only=slice(chunk % step, None, step)).before
+        yield pa.table([pa.array(list(np.stack(before, 1).astype(np.int64)), pa.list_(pa.int64()))], names=["context"])
+
+    rows = _mapped(source, ("chunk", "body"), "context array<long>", each).collect()
+    return np.array([r.context for r in rows], np.int64).reshape(-1, depth)
+
+
+def _divided(scratch, source, plan, start, depth, common, going_on):
+    """For the contexts that borders divide: context -> (kept, total, own), and a table (part, body) of how often each
+    symbol of a range follows them anywhere."""
+    if not plan.divided:
+        return {}, None
+    borders, numbers, parts = plan.borders, plan.divided, len(plan.borders) + 1
+    deep = max(map(len, borders))
+    firsts = np.unique([c[0] for c in numbers])
+    up = np.array([numbers.get(c[:-1], -1) for c in sorted(numbers, key=numbers.get)])
+
+    def deal(chunk: int, body: bytes):
+        places = _places(body, deep, common.value, going_on, lambda last: np.isin(last, firsts))
+        if not len(places.symbol):
+            return
+        order, new = _ordered(*places.before[:deep], places.symbol)
+        begin = np.flatnonzero(new)
+        n = np.add.reduceat(places.learn[order], begin)
+        first = order[begin]
+        before, symbol, share = [b[first] for b in places.before[:deep]], places.symbol[first], places.share[first]
+        cuts = _cut(before, borders)
+        found = []
+        for c, i in numbers.items():
+            low, high = _range(before, c)
+            inner = cuts[(cuts > low) & (cuts < high)]
+            for a, b in zip([low, *inner], [*inner, high]):
+                if a < b:
+                    symbols, first, of = np.unique(symbol[a:b], return_index=True, return_inverse=True)
+                    part = int(np.searchsorted(cuts[:-1], a, "right")) - 1
+                    found.append((np.full(len(symbols), part), np.full(len(symbols), i), symbols, np.bincount(of, n[a:b]).astype(np.int64), share[a:b][first]))
+        if found:
+            found = [np.concatenate(x) for x in zip(*found)]
+            turn = found[2] % parts
+            order = np.argsort(turn)
+            ends = np.searchsorted(turn[order], np.arange(parts + 1))
+            rows = [(i, packed(*(x[order[a:b]] for x in found))) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+            yield _table("turn:i body:b", *zip(*rows))
+
+    def add(table: pa.Table) -> pa.Table:
+        part, context, symbol, n, share = (np.concatenate(x) for x in zip(*map(unpacked, table.column("body").to_pylist())))
+        # A symbol is in one turn with all its contexts, so also with the shorter ones.
+        above = up[context]
+        pair = _ranks(np.concatenate([context, above]) + 1, np.concatenate([symbol, symbol]))
+        pair, shorter = pair[: len(context)], pair[len(context) :]
+        times = np.bincount(pair, n, int(max(pair.max(), shorter.max())) + 1)
+        row = np.unique(pair, return_index=True)[1]
+        row = row[times[pair[row]] > 0]
+        of, n = context[row], times[pair[row]]
+        m = np.where(above[row] >= 0, times[shorter[row]], share[row])
+        sums = np.bincount(of, n * (np.log(n) - np.log(m)), len(up))
+        total, own = np.bincount(of, n, len(up)), np.bincount(of, minlength=len(up))
+        order, new = _ordered(part, context, symbol)
+        order = order[new]
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [
+            (i, packed(context[order[a:b]], symbol[order[a:b]], times[pair[order[a:b]]].astype(np.int64)))
+            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b
+        ]
+        rows.append((-1, packed(total, own.astype(float), sums)))
+        return _table("part:i body:b", *zip(*rows))
+
+    dealt = _mapped(source, ("chunk", "body"), "turn int, body binary", deal)
+    table = scratch.written(dealt.groupBy("turn").applyInArrow(add, "part int, body binary"), "divided")
+    total, own, gain = (np.zeros(len(up)) for _ in range(3))
+    for r in table.where("part < 0").toLocalIterator():
+        for all_, some in zip((total, own, gain), unpacked(r.body), strict=True):
+            all_ += some
+    out = {}
+    for c, i in sorted(numbers.items(), key=lambda x: len(x[0])):
+        outer = 0.0 if up[i] < 0 else math.log(max(1, total[up[i]]))
+        more = gain[i] + total[i] * (outer - math.log(max(1, total[i])))
+        kept = (len(c) == start + 1 or out[c[:-1]][0]) and total[i] >= MIN_COUNT and more >= PENALTY * math.log(total[i]) * own[i] / 2
+        out[c] = (bool(kept), total[i], own[i])
+    return out, table
+
+
+def _walk(scratch: _Scratch, chunks: DataFrame, depth: int, places: int, common: Broadcast, name: str) -> list[DataFrame]:
+    """(chunk, sums): what retained contexts add to the log10 probability of each sequence of a chunk, in several
+    tables. `chunks`: (chunk, body). `common`: share and chance in the root of symbols with small numbers."""
+    out, source, start = [], chunks, 0
+    while True:
+        parts = max(1, math.ceil(places / PART))
+        going_on = start > 0
+        plan = _Plan(_samples(source, depth, places, parts, common, going_on) if parts > 1 else np.empty((0, depth), np.int64), parts, start)
+        divided, totals = _divided(scratch, source, plan, start, depth, common, going_on)
+        ends = sorted({len(plan.borders) * k // PASSES for k in range(1, PASSES)} - {0}) + [len(plan.borders) + 1]
+        tables = [
+            scratch.written(_grown(source, plan, range(a, b), start, depth, common, divided, totals), f"{name}{depth}_{b}")
+            for a, b in zip([0, *ends], ends)
+        ]
+        if totals is not None:
+            scratch.done(totals)
+        if going_on:
+            scratch.done(source)
+        out += tables
+        alive = None
+        for t in tables:
+            t = t.where("on is not null").select("chunk", "on")
+            alive = t if alive is None else alive.union(t)
+        if alive.isEmpty():
+            return out
+        source = scratch.written(_further(chunks, alive, depth, common), f"{name}{depth}_on")
+        places = source.agg(F.sum("places")).first()[0]
+        if not places:
+            scratch.done(source)
+            return out
+        start, depth = depth, 2 * depth
 
-def _sequences(parts: list[np.ndarray]) -> pa.Array:
-    """A list of symbols, with START and END, per part."""
-    ends = np.cumsum([0] + [len(p) + 2 for p in parts])
-    flat = np.empty(ends[-1], np.int64)
-    for p, at, end in zip(parts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        flat[at], flat[at + 1 : end - 1], flat[end - 1] = START, p.view(np.int64), END
-    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))
 
+def _grown(source, plan, parts, start, depth, common, divided, totals) -> DataFrame:
+    """(chunk, sums, on) of the places in some ranges."""
+    borders, going_on = plan.borders, start > 0
+    low = borders[parts.start - 1] if parts.start else None
+    high = borders[parts.stop - 1] if parts.stop <= len(borders) else None
+    inside = borders[parts.start : parts.stop - 1]
+    names = {i: c for c, i in plan.divided.items()}
 
-def text_symbols(rows: DataFrame) -> DataFrame:
-    """(id, held, key, symbols): words as hashes."""
+    def deal(chunk: int, body: bytes):
+        places = _places(
+            body, depth, common.value, going_on, lambda last: (last >= (low[0] if low else 0)) & (last <= (high[0] if high else last)),
+        )
+        if not len(places.symbol):
+            return
+        order, new = _ordered(*places.before, places.symbol)
+        begin = np.flatnonzero(new)
+        n = np.add.reduceat(places.learn[order], begin)
+        sequence, first = places.sequence[order], order[begin]
+        before, symbol, share, chance = ([b[first] for b in places.before], *(x[first] for x in (places.symbol, places.share, places.chance)))
+        begin = np.append(begin, len(order))
+        every = np.diff(begin)
+        a = _range(before, low)[0] if low else 0
+        b = _range(before, high)[0] if high else len(symbol)
+        cuts = a + _cut([x[a:b] for x in before], inside)
+        often = 0 if going_on else len(common.value[0])
+        rows = []
+        for part, x, y in zip(parts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if x < y:
+                rare = symbol[x:y] >= often
+                rows.append((part, packed(
+                    *(c[x:y] for c in before), symbol[x:y], n[x:y], every[x:y], sequence[begin[x] : begin[y]],
+                    share[x:y][rare], chance[x:y][rare],
+                )))
+        if rows:
+            yield _table("part:i chunk:l body:b", [r[0] for r in rows], [chunk] * len(rows), [r[1] for r in rows])
+
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        chunks, bodies = table.column("chunk").to_pylist(), table.column("body").to_pylist()
+        mine = {c: divided[c] for c in plan.near(part)}
+        known, told, tuples, bags = {}, [], [], []
+        for chunk, body in zip(chunks, bodies, strict=True):
+            if chunk is None:
+                told.append(unpacked(body))
+                continue
+            *rows, every, sequence, share, chance = unpacked(body)
+            symbol = rows[depth]
+            shares, chances = np.empty(len(symbol)), np.empty(len(symbol))
+            often = np.zeros(len(symbol), bool) if going_on else symbol < len(common.value[0])
+            for x, all_, rare in ((shares, common.value[0], share), (chances, common.value[1], chance)):
+                x[often], x[~often] = all_[symbol[often]], rare
+            tuples.append([*rows, shares, chances])
+            bags.append((chunk, every, sequence))
+        if not tuples:
+            return _table("chunk:l sums:b on:b", [], [], [])
+        if told:
+            context, symbol, n = (np.concatenate(x) for x in zip(*told))
+            order = np.lexsort((symbol, context))
+            context, symbol, n = context[order], symbol[order], n[order]
+            for i in np.unique(context).tolist():
+                a, b = np.searchsorted(context, [i, i + 1])
+                known[names[i]] = (symbol[a:b], n[a:b])
+        *before, symbol, n, share, chance = (np.concatenate(x) for x in zip(*tuples))
+        del tuples
+        added, live, share, chance = _subtrees(before, symbol, n, share, chance, start, mine, known)
+        out, at = [], 0
+        for chunk, every, sequence in bags:
+            sums = np.bincount(sequence, np.repeat(added[at : at + len(every)], every))
+            of = np.flatnonzero(sums)
+            a, b = np.searchsorted(live, [at, at + len(every)])
+            rows = live[a:b]
+            on = packed(*(x[rows] for x in before), symbol[rows], share[a:b], chance[a:b]) if a < b else None
+            out.append((chunk, packed(of, sums[of]), on))
+            at += len(every)
+        return _table("chunk:l sums:b on:b", *zip(*out))
+
+    def merge(table: pa.Table) -> pa.Table:
+        found = [unpacked(b) for b in table.column("sums").to_pylist()]
+        of, sums = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        sums = np.bincount(of, sums)
+        on = [unpacked(b) for b in table.column("on").to_pylist() if b is not None]
+        of = np.flatnonzero(sums)
+        return _table(
+            "chunk:l sums:b on:b", [table.column("chunk")[0].as_py()], [packed(of, sums[of])],
+            [packed(*(np.concatenate(x) for x in zip(*on))) if on else None],
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in slices(batches, "text"):
-            parts = [known.of(value.lower().split()) for value in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.select(["id", "held", "key"]).columns, _sequences(parts)], names=["id", "held", "key", "symbols"]
-            )
+    dealt = _mapped(source, ("chunk", "body"), "part int, chunk long, body binary", deal)
+    if totals is not None:
+        some = totals.where(F.col("part").between(parts.start, parts.stop - 1))
+        dealt = dealt.union(some.select("part", F.lit(None).cast("long").alias("chunk"), "body"))
+    done = dealt.groupBy("part").applyInArrow(work, "chunk long, sums binary, on binary")
+    return done.groupBy("chunk").applyInArrow(merge, "chunk long, sums binary, on binary")
+
+
+def _further(chunks: DataFrame, alive: DataFrame, depth: int, common: Broadcast) -> DataFrame:
+    """(chunk, body, places): the places whose context of `depth` symbols is retained, with twice as many."""
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        on = [unpacked(b) for b in right.column("on").to_pylist()]
+        for chunk, body in zip(left.column("chunk").to_pylist(), left.column("body").to_pylist(), strict=True) if on else ():
+            *wanted, share, chance = (np.concatenate(x) for x in zip(*on))
+            firsts = np.unique(wanted[0])
+            near = lambda last: np.isin(last, firsts)
+            places = _places(body, depth, common.value, wanted=near)
+            # Few are left by a hash, which are then compared.
+            hashes = np.unique(_hash(*wanted))
+            hash_ = _hash(*places.before, places.symbol)
+            at = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, hash_), len(hashes) - 1)] == hash_)
+            places = _places(body, 2 * depth, common.value, wanted=near, only=at)
+            size = len(places.symbol)
+            rank = _ranks(*(np.concatenate(x) for x in zip([*places.before[:depth], places.symbol], wanted, strict=True)))
+            asked = np.full(int(rank.max(initial=-1)) + 1, -1)
+            asked[rank[size:]] = np.arange(len(rank) - size)
+            of = np.where(places.before[depth] > 0, asked[rank[:size]], -1)
+            at = np.flatnonzero(of >= 0)
+            of = of[at]
+            if len(of):
+                body = packed(*(b[at] for b in places.before), *(x[at] for x in (places.symbol, places.sequence, places.learn)), share[of], chance[of])
+                rows.append((chunk, body, len(of)))
+        return _table("chunk:l body:b places:l", *(zip(*rows) if rows else ([], [], [])))
+
+    return chunks.select("chunk", "body").groupBy("chunk").cogroup(alive.groupBy("chunk")).applyInArrow(
+        find, "chunk long, body binary, places long"
+    )
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "held", "key", "text").mapInArrow(run, f"id {kind}, held boolean, key long, symbols array<long>")
 
+def _with_sums(chunks: DataFrame, tables: list[DataFrame], schema: str, each: Callable) -> DataFrame:
+    """`each(row of chunks, what its sequences gain)` gives a table."""
+    sums = None
+    for t in tables:
+        sums = t.select("chunk", "sums") if sums is None else sums.union(t.select("chunk", "sums"))
 
-def word_symbols(counts: DataFrame) -> DataFrame:
-    """(word, c, next, symbols): letters, and the word as a symbol of texts; the empty word is a text's end."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = {c: left.column(c)[0] for c in left.column_names}
+        more = np.zeros(row["size"].as_py())
+        for of, gained in map(unpacked, right.column("sums").to_pylist()):
+            more[of] += gained
+        return each(row, more)
+
+    return chunks.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(run, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(at, TOGETHER)
-                words = batch.column("word").to_pylist()
-                hashes = WordHashes().of(words).view(np.int64)
-                hashes[[i for i, w in enumerate(words) if not w]] = END
-                parts = [np.frombuffer(w, np.uint8).astype(np.int64) + LETTER for w in words]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(hashes), _sequences(parts)], names=["word", "c", "next", "symbols"]
-                )
 
-    return counts.mapInArrow(run, "word binary, c long, next long, symbols array<long>")
+def _list(words: pa.Array) -> tuple[bytes, np.ndarray]:
+    """Words one after the other, and their lengths."""
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary())), b"")[0].as_py(), lengths
 
 
-def grams(sequences: DataFrame, depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, context, up, next, n) for every place that has a context of that depth: hashes of the last `depth`
-    symbols and of one less, and how often; equal ones of a batch together."""
+def _listed(joined: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(joined.astype(np.uint8))])
+
+
+def _chunks(rows: DataFrame) -> DataFrame:
+    """(chunk, ids, size, learned, body, words, different): texts as codes of a chunk's words, which are lower-cased,
+    A to Z only; with the words, how often they are learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("symbols")
-            lengths = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            at = np.flatnonzero(place >= max(depth, 1))
-            context = up = np.zeros(len(at), np.uint64)
-            for k in range(1, depth + 1):
-                up, context = context, mixed(context * np.uint64(BASE) + flat[at - k].view(np.uint64))
-            found = pa.table({"row": row[at], "context": context.view(np.int64), "up": up.view(np.int64), "next": flat[at]})
-            if not keys:
-                found = found.drop(["row"])
-            found = found.group_by(found.column_names).aggregate([([], "count_all")])
-            columns = batch.select(list(keys)).take(found.column("row").combine_chunks()).columns if keys else []
-            out = pa.Table.from_arrays(
-                [*columns, *(found.column(c) for c in ("context", "up", "next", "count_all"))],
-                names=[*keys, "context", "up", "next", "n"],
+        number = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, "text", TEXT_BYTES):
+            size = batch.num_rows
+            split = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text")))
+            flat, of = split.flatten(), pc.list_parent_indices(split).to_numpy()
+            full = pc.greater(pc.binary_length(flat), 0)
+            words = flat.filter(full).dictionary_encode()
+            of = of[full.to_numpy(zero_copy_only=False)]
+            codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            learn = ~batch.column("held").to_numpy(zero_copy_only=False)
+            joined, lengths = _list(words.dictionary.cast(pa.binary()))
+            counts = np.bincount(codes[learn[of]], minlength=len(lengths))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), batch.column("id")),
+                    pa.array([size], pa.int64()), pa.array([int(learn.sum())], pa.int64()),
+                    pa.array([packed(codes, np.bincount(of, minlength=size), learn.astype(np.int64))], pa.binary()),
+                    pa.array([packed(np.frombuffer(joined, np.uint8), lengths, counts)], pa.binary()), pa.array([len(lengths)], pa.int64()),
+                ],
+                names=["chunk", "ids", "size", "learned", "body", "words", "different"],
             )
-            yield from out.to_batches(max_chunksize=1 << 18)
+            number += 1
 
-    kinds = "".join(f"{k} {sequences.schema[k].dataType.simpleString()}, " for k in keys)
-    return sequences.select(*keys, "symbols").mapInArrow(run, f"{kinds}context long, up long, next long, n long")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "held", "text").mapInArrow(
+        run, f"chunk long, ids array<{kind}>, size long, learned long, body binary, words binary, different long"
+    )
 
 
-def grow(sequences: DataFrame, root: DataFrame, name: str) -> list[tuple[DataFrame, DataFrame]]:
-    """The tree of the sequences: per depth, from 1, the retained (context, rest) and their pairs
-    (context, next, gained): log10 of what is left to the suffix, and of what the pair gains over its suffix.
-    `root`: (context 0, next, n, total, p)."""
-    out, above, number = [], root, 0
-    while True:
-        number += 1
-        found = grams(sequences, number)
-        if out:
-            found = found.join(out[-1][0].select(F.col("context").alias("up")), "up", "left_semi")
-        pairs = written(found.groupBy("context", "up", "next").agg(F.sum("n").alias("n")), f"{name}{number}")
-        totals = pairs.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("own")).where(F.col("total") >= MIN_COUNT)
-        suffix = above.select(F.col("context").alias("up"), "next", F.col("n").alias("m"), F.col("total").alias("all"), F.col("p").alias("q"))
-        tested = pairs.join(totals, "context").join(suffix, ["up", "next"])
-        gain = F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.log(F.col("m") / F.col("all"))))
-        kept = tested.groupBy("context", "total", "own").agg(gain.alias("gain")).where(
-            F.col("gain") >= PENALTY * F.log("total") * F.col("own") / 2
+def _words(chunks: DataFrame, ends: int) -> DataFrame:
+    """(chunk, size, v, n, words, asked, letters, places, body): all words, each in one of many rows, as sequences of
+    letters, learned from where they are learned; the empty word is a text's end. `asked`: where chunks have them."""
+    parts = max(1, math.ceil((chunks.agg(F.sum("different")).first()[0] or 0) / WORDS))
+    session = chunks.sparkSession
+
+    def deal(chunk: int, words: bytes):
+        joined, lengths, counts = unpacked(words)
+        words = _listed(joined, lengths)
+        part = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(lengths)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        joined, lengths = _list(words.take(pa.array(order)))
+        joined, ends, counts = np.frombuffer(joined, np.uint8), np.concatenate([[0], np.cumsum(lengths)]), counts[order]
+        rows = [
+            (i, packed(joined[ends[a] : ends[b]], lengths[a:b], counts[a:b], order[a:b]))
+            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b
+        ]
+        yield _table("part:i chunk:l words:b", [r[0] for r in rows], [chunk] * len(rows), [r[1] for r in rows])
+
+    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("chunk").to_numpy())
+        chunks = table.column("chunk").to_numpy()[order]
+        found = [unpacked(table.column("words")[int(i)].as_py()) for i in order]
+        every = pa.concat_arrays([_listed(f[0], f[1]) for f in found]).dictionary_encode()
+        of = every.indices.to_numpy().astype(np.int64)
+        c = np.bincount(of, np.concatenate([f[2] for f in found])).astype(np.int64)
+        joined, lengths = _list(every.dictionary)
+        codes = np.frombuffer(joined, np.uint8).astype(np.int64) + LETTER
+        learn = c > 0
+        letters = np.bincount(codes[np.repeat(learn, lengths)], minlength=LETTER + 256)
+        letters[END] = learn.sum()
+        body = _body(codes, lengths, learn.astype(np.int64), np.arange(LETTER + 256), np.zeros(0), np.zeros(0))
+        asked = packed(chunks + 1, np.array([len(f[1]) for f in found]), np.concatenate([f[3] for f in found]), of)
+        return pa.table(
+            [
+                *(pa.array([x], pa.int64()) for x in (key[0].as_py(), len(c), int(learn.sum()), int(c.sum()), len(codes) + len(c))),
+                *(pa.array([x], pa.binary()) for x in (packed(c), asked, body)), pa.array([letters], pa.list_(pa.int64())),
+            ],
+            names=["chunk", "size", "v", "n", "places", "counts", "asked", "body", "letters"],
         )
-        weight = F.col("total") + F.col("own")
-        contexts = written(kept.select("context", F.log10(F.col("own") / weight).alias("rest")), f"{name}{number}_contexts")
-        if contexts.isEmpty():
-            return out
-        p = (F.col("n") + F.col("own") * F.col("q")) / weight
-        above = written(
-            tested.join(contexts, "context").select("context", "next", "n", "total", p.alias("p"), F.log10(p / F.col("q")).alias("gained"), "rest"),
-            f"{name}{number}_pairs",
-        )
-        out.append((contexts, above.select("context", "next", (F.col("gained") - F.col("rest")).alias("gained"))))
-
-
-def along(sequences: DataFrame, tree: list[tuple[DataFrame, DataFrame]], keys: tuple[str, ...]) -> DataFrame | None:
-    """(keys, p): what the retained contexts add to the root's log10 probability; several rows per key."""
-    out = None
-    for depth, (contexts, pairs) in enumerate(tree, 1):
-        # Whether found or not, a place pays the rest of its context; a pair that is found gains it back.
-        met = grams(sequences, depth, keys).join(contexts, "context").join(pairs, ["context", "next"], "left")
-        part = met.groupBy(*keys).agg(F.sum(F.col("n") * (F.col("rest") + F.coalesce("gained", F.lit(0.0)))).alias("p"))
-        # Written apart, so that what one depth shuffled may go before the next one does.
-        part = written(part, f"{keys[0]}_depth{depth}")
-        out = part if out is None else out.unionByName(part)
-    return out
 
-
-def spelled(words: DataFrame) -> DataFrame:
-    """(word, c, next, letters): log10 probability of each word's letters, learned from those with c > 0."""
-    every = written(word_symbols(words), "spelled")
-    learned = every.where("c > 0")
-    counts = {r.next: r.n for r in grams(learned, 0).groupBy("next").agg(F.sum("n").alias("n")).collect()}
-    total = sum(counts.values())
-    chance = {s: (counts.get(s, 0) + 1) / (total + SYMBOLS) for s in [END, *range(LETTER, LETTER + 256)]}
-    root = words.sparkSession.createDataFrame(
-        [(0, s, counts.get(s, 0), total, p) for s, p in chance.items()], "context long, next long, n long, total long, p double"
+    # The empty word is no chunk's own.
+    end = session.createDataFrame([(0, -1, packed(np.zeros(0, np.int64), np.zeros(1, np.int64), np.array([ends]), np.zeros(1, np.int64)))], "part int, chunk long, words binary")
+    dealt = _mapped(chunks, ("chunk", "words"), "part int, chunk long, words binary", deal).union(end)
+    return dealt.groupBy("part").applyInArrow(
+        gather, "chunk long, size long, v long, n long, places long, counts binary, asked binary, body binary, letters array<long>"
     )
-    tree = grow(learned, root, "letters")
-    logs = F.create_map(*[F.lit(x) for s, p in chance.items() for x in (s, math.log10(p))])
-    alone = F.aggregate(F.slice("symbols", 2, F.size("symbols")), F.lit(0.0), lambda a, s: a + F.element_at(logs, s))
-    out = every.select("word", "c", "next", alone.alias("alone"))
-    if (more := along(every, tree, ("word",))) is None:
-        return out.withColumnRenamed("alone", "letters")
-    more = more.groupBy("word").agg(F.sum("p").alias("more"))
-    return out.join(more, "word", "left").select("word", "c", "next", (F.col("alone") + F.coalesce("more", F.lit(0.0))).alias("letters"))
+
+
+def _spelled(scratch: _Scratch, words: DataFrame) -> tuple[list[DataFrame], np.ndarray]:
+    """What letters before add to each word's log10 probability, and those of single letters."""
+    found = words.select(F.posexplode("letters").alias("symbol", "n")).groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(LETTER + 256)
+    for r in found:
+        counts[r.symbol] = r.n
+    chance = (counts + 1) / (counts.sum() + SYMBOLS)
+    common = words.sparkSession.sparkContext.broadcast((counts / max(1, counts.sum()), chance, 1))
+    places = words.agg(F.sum("places")).first()[0]
+    return _walk(scratch, words.select("chunk", "body"), LETTER_REACH, places, common, "letters"), np.log10(chance)
 
 
 def score(
@@ -219,93 +687,122 @@ def score(
     training; repeated rows count as often as they stand there and each gets its answer; without any training
     row every token is unknown and base_score is the limit for an empty vocabulary; an empty table gives no row.
     """
-    out = held_out(F.col(id_column)) if training is None else ~training
+    out = held_out(F.col(id_column)) if training is None else ~F.coalesce(training, F.lit(False))
     rows = docs.select(
         F.col(id_column).alias("id"), out.alias("held"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
-    ).withColumn("key", F.xxhash64("text"))
-    counts = written(count_words(rows), "words")
-    ends = rows.where("not held").count()
-    about = counts.agg(F.count_if(F.col("c") > 0).alias("v"), F.sum("c").alias("n")).first()
-    n_train, v = (about.n or 0) + ends, about.v + (ends > 0)
-    session = docs.sparkSession
-    whole = counts.union(session.createDataFrame([(b"", ends)], "word binary, c long"))
+    )
+    session, kind = docs.sparkSession, rows.schema["id"].dataType.simpleString()
+    scratch = _Scratch(session)
+    chunks = scratch.written(_chunks(rows), "chunks")
+    ends = chunks.agg(F.sum("learned")).first()[0] or 0
+    words = scratch.written(_words(chunks, ends), "words")
+    v, n_train = words.agg(F.sum("v"), F.sum("n")).first()
+
+    def counted(part: int, counts: bytes, body: bytes):
+        c, lengths = unpacked(counts)[0], unpacked(body)[1]
+        at = np.flatnonzero((c > n_train / FREQUENT) & (lengths > 0))
+        yield _table("c:l part:l at:l", c[at], np.full(len(at), part), at)
+
+    # The most frequent have the smallest numbers, which take the fewest bytes.
+    frequent = sorted((-r.c, r.part, r.at) for r in _mapped(words, ("chunk", "counts", "body"), "c long, part long, at long", counted).toLocalIterator())
+    often = LETTER + len(frequent)
+    found = np.array(frequent, np.int64).reshape(-1, 3)
+    by_part = {i: (found[found[:, 1] == i, 2], np.flatnonzero(found[:, 1] == i) + LETTER) for i in np.unique(found[:, 1]).tolist()}
+    offsets, at = {}, often
+    for r in words.select("chunk", "size").collect():
+        offsets[r.chunk] = at
+        at += r.size
+    given = session.sparkContext.broadcast((by_part, offsets))
+    tables, alone = _spelled(scratch, words)
     # A new word has the discounts of all others, and one more, to share by its letters.
     left, all_ = DISCOUNT * v + 1, n_train + 1
-    alone = F.when(F.col("c") > 0, F.log10((F.col("c") - DISCOUNT + left * F.pow(F.lit(10.0), "letters")) / all_)).otherwise(
-        F.col("letters") + math.log10(left / all_)
-    )
-    known = written(spelled(whole).select("word", "c", "next", alone.alias("p")), "known")
-    root = known.where("c > 0").select(
-        F.lit(0).cast("long").alias("context"), "next", F.col("c").alias("n"), F.lit(n_train).cast("long").alias("total"),
-        F.pow(F.lit(10.0), "p").alias("p"),
-    )
-    symbols = written(text_symbols(rows), "symbols")
-    tree = grow(symbols.where("not held"), root, "texts")
-    end_chance = known.where("next = %d" % END).first().p
-    often = sorted(
-        (bytes(r.word), r.c, r.p) for r in known.where((F.col("c") > n_train / FREQUENT) & (F.length("word") > 0)).toLocalIterator()
-    )
-    frequent = session.sparkContext.broadcast((
-        {w: i for i, (w, _, _) in enumerate(often)}, np.array([math.log10(c + 0.1) for _, c, _ in often]),
-        np.array([p for _, _, p in often]),
-    ))
-    end = math.log10(ends + 0.1)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, base, chances = frequent.value
-        for batch in slices(batches, "text", 4 << 20):
-            row, word, times, sums = [], [], [], []
-            keys = batch.column("key").to_pylist()
-            for i, value in enumerate(texts_of(batch.column("text"))):
-                words = value.lower().split()
-                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                found = Counter(words[j] for j in np.flatnonzero(at < 0).tolist())
-                at = at[at >= 0]
-                # No word has a space: such a row meets no count, and no two of them crowd one task.
-                word += found.keys() or [b" %d" % keys[i]]
-                times += found.values() or [0]
-                row += [i] * max(1, len(found))
-                sums.append({
-                    "b": end + base[at].sum(), "p": end_chance + chances[at].sum(), "known": len(at) + (ends > 0), "tokens": len(words) + 1,
-                })
-                sums += [None] * (len(found) - 1)
-            taken = batch.select(["id", "held", "key"]).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *taken.columns, pa.array(word, pa.binary()), pa.array(times, pa.int32()),
-                    pa.array(sums, pa.struct([("b", pa.float64()), ("p", pa.float64()), ("known", pa.int64()), ("tokens", pa.int64())])),
-                ],
-                names=["id", "held", "key", "word", "times", "sums"],
-            )
 
-    kind = rows.schema["id"].dataType.simpleString()
-    seen = rows.select("id", "held", "key", "text").mapInArrow(
-        read,
-        f"id {kind}, held boolean, key long, word binary, times int, "
-        "sums struct<b: double, p: double, known: bigint, tokens: bigint>",
+    def known_words(row: dict, more: np.ndarray) -> pa.Table:
+        codes, lengths, *_ = unpacked(row["body"].as_py())
+        sequence = np.repeat(np.arange(len(lengths)), lengths)
+        letters = more + alone[END] + np.bincount(sequence, alone[codes], len(lengths))
+        c, part = unpacked(row["counts"].as_py())[0], row["chunk"].as_py()
+        p = np.where(c > 0, np.log10((np.maximum(c, 1) - DISCOUNT + left * 10.0**letters) / all_), letters + math.log10(left / all_))
+        numbers = np.arange(len(c)) + given.value[1][part]
+        chosen, small = given.value[0].get(part, ([], []))
+        numbers[chosen] = small
+        numbers[lengths == 0] = END
+        return _table("known:b asked:b", [packed(numbers, c, p)], [row["asked"].as_py()])
+
+    known = scratch.written(
+        _with_sums(words.select("chunk", "size", "counts", "asked", "body"), tables, "known binary, asked binary", known_words), "known"
     )
-    met = seen.join(known.where(F.col("c") <= n_train / FREQUENT).drop("next"), "word", "left")
-    times = F.col("times")
-    by_doc = met.groupBy("id", "key", "held").agg(
-        F.count("sums").alias("rows"),
-        F.sum(F.coalesce("sums.tokens", F.lit(0))).alias("tokens"),
-        F.sum(F.coalesce("sums.known", F.lit(0)) + F.when(F.col("c") > 0, times).otherwise(0)).alias("known"),
-        F.sum(F.coalesce("sums.b", F.lit(0.0)) + times * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("b"),
-        F.sum(F.coalesce("sums.p", F.lit(0.0)) + times * F.coalesce("p", F.lit(0.0))).alias("p"),
-    )
-    if (more := along(symbols, tree, ("id", "key", "held"))) is not None:
-        # Rows without id have one, too: null.
-        more = more.groupBy("id", "key", "held").agg(F.sum("p").alias("more"))
-        same = F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.key") == F.col("m.key")) & (F.col("d.held") == F.col("m.held"))
-        by_doc = by_doc.alias("d").join(more.alias("m"), same, "left").select(
-            *[F.col(f"d.{c}").alias(c) for c in by_doc.columns if c != "p"], (F.col("p") + F.coalesce("more", F.lit(0.0))).alias("p")
+    scratch.done(words, *tables)
+
+    def small(known: bytes):
+        numbers, c, p = unpacked(known)
+        at = np.flatnonzero(numbers < often)
+        yield _table("number:l c:l p:f", numbers[at], c[at], p[at])
+
+    c_often, p_often = np.zeros(often), np.full(often, -np.inf)
+    for r in _mapped(known, ("known",), "number long, c long, p double", small).toLocalIterator():
+        c_often[r.number], p_often[r.number] = r.c, r.p
+    share = session.sparkContext.broadcast((c_often / max(1, n_train), 10.0**p_often, max(1, n_train)))
+    plain = session.sparkContext.broadcast((c_often, p_often))
+
+    def tell(known: bytes, asked: bytes):
+        numbers, c, p = unpacked(known)
+        whose, sizes, places, of = unpacked(asked)
+        ends = np.cumsum(sizes)
+        rows = []
+        for chunk, a, b in zip((whose - 1).tolist(), ends - sizes, ends, strict=True):
+            if chunk >= 0:
+                rare = of[a:b][numbers[of[a:b]] >= often]
+                rows.append((chunk, packed(places[a:b], numbers[of[a:b]], c[rare], p[rare])))
+        yield _table("of:l told:b", [r[0] for r in rows], [r[1] for r in rows])
+
+    def numbered(left_: pa.Table, right: pa.Table) -> pa.Table:
+        codes, lengths, learn = unpacked(left_.column("body")[0].as_py())
+        told = [unpacked(b) for b in right.column("told").to_pylist()] or [[np.zeros(0, np.int64)] * 3 + [np.zeros(0)]]
+        places, numbers, c, p = (np.concatenate(x) for x in zip(*told))
+        order = np.argsort(numbers)
+        code = np.empty(len(order), np.int64)
+        code[places[order]] = np.arange(len(order)) + LETTER
+        rare = np.argsort(numbers[numbers >= often])
+        body = _body(code[codes], lengths, learn, np.concatenate([np.arange(LETTER), numbers[order]]), c[rare], p[rare])
+        return pa.table(
+            [
+                *(left_.column(x).combine_chunks() for x in ("chunk", "ids", "size")), pa.array([len(codes) + len(lengths)], pa.int64()),
+                pa.array([body], pa.binary()),
+            ],
+            names=["chunk", "ids", "size", "places", "body"],
         )
-    # Rows with one id and text were summed up together: each gets its share, exactly, since all are equal.
+
+    told = _mapped(known, ("known", "asked"), "of long, told binary", tell)
+    coded = scratch.written(
+        chunks.select("chunk", "ids", "size", "body").groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(
+            numbered, f"chunk long, ids array<{kind}>, size long, places long, body binary"
+        ),
+        "coded",
+    )
+    scratch.done(chunks, known)
+    places = coded.agg(F.sum("places")).first()[0] or 0
+    tables = _walk(scratch, coded.select("chunk", "body"), REACH, places, share, "texts")
     norm = math.log10(n_train + 0.1 * (v + 1))
-    one = by_doc.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    tokens = (F.col("tokens") / F.col("rows")).cast("long")
-    return one.select(
-        F.col("id").alias(id_column), F.col("held").alias("held_out"), tokens.alias("n_tokens"),
-        (F.col("known") / F.col("rows")).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("b") / F.col("rows") - tokens * F.lit(norm)).alias("base_score"), (F.col("p") / F.col("rows")).alias("score"),
+    end_base, end_known = math.log10(ends + 0.1), int(ends > 0)
+
+    def answers(row: dict, more: np.ndarray) -> pa.Table:
+        codes, lengths, learn, numbers, *rare = unpacked(row["body"].as_py())
+        c, p = (np.concatenate([a[numbers[numbers < often]], b]) for a, b in zip(plain.value, rare, strict=True))
+        sequence = np.repeat(np.arange(len(lengths)), lengths)
+        total = lambda x: np.bincount(sequence, x[codes], len(lengths))
+        tokens = lengths + 1
+        return pa.table(
+            [
+                row["ids"].values, pa.array(learn == 0), pa.array(tokens, pa.int64()), pa.array((total(c > 0) + end_known).astype(np.int64)),
+                pa.array(np.full(len(tokens), n_train), pa.int64()), pa.array(total(np.log10(c + 0.1)) + end_base - tokens * norm),
+                pa.array(total(p) + plain.value[1][END] + more),
+            ],
+            names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    scores = _with_sums(
+        coded.select("chunk", "ids", "size", "body"), tables,
+        f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", answers,
     )
+    return scores.withColumnRenamed("id", id_column)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -443,6 +444,37 @@ def test_next_word_depends_on_two(spark):
     assert got[40] > got[41] + 1
 
 
+@pytest.mark.parametrize("part, reach, letters, frequent", [(40, 2, 3, 500_000), (150, 4, 2, 20), (10**6, 1, 1, 4)])
+def test_scores_do_not_depend_on_how_places_are_dealt(spark, monkeypatch, part, reach, letters, frequent):
+    texts = _some_texts()
+    training = [i % 5 > 0 for i in range(len(texts))]
+    want, _ = _plain_scores(texts, training)
+    for name, value in {"PART": part, "REACH": reach, "LETTER_REACH": letters, "FREQUENT": frequent}.items():
+        monkeypatch.setattr(suffix_tree, name, value)
+    divided, walked = [], suffix_tree._divided
+    monkeypatch.setattr(suffix_tree, "_divided", lambda *a: divided.append(walked(*a)) or divided[-1])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = suffix_tree.score(frame, training=F.col("doc_id") % 5 > 0).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9), (r, want[r.doc_id])
+    # With small ranges some retained contexts lie in several of them.
+    assert any(kept for contexts, _ in divided for kept, *_ in contexts.values()) == (part <= 150)
+
+
+def test_scores_leave_less_than_their_input_behind(spark):
+    def held():
+        root = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+        return sum(p.stat().st_size for p in root.rglob("*") if p.is_file())
+
+    rng = random.Random(9)
+    texts = [" ".join("w%d" % min(rng.randrange(1, 3000), rng.randrange(1, 3000)) for _ in range(300)) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    before = held()
+    assert suffix_tree.score(frame).count() == len(texts)
+    assert held() - before < sum(map(len, texts))
+
+
 def test_near_duplicates(docs, none):
     rows, sets = _rows(), {}
     for i, t, *_ in rows:
