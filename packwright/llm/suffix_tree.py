@@ -239,6 +239,7 @@ def _subtrees(before, symbol, n, share, chance, start, divided, totals):
     too; `totals`: context -> (symbols, n) of all places."""
     size = len(symbol)
     added, share, chance = np.zeros(size), share.copy(), chance.copy()
+    # Symbols by rank: context, one more symbol and the next then fit one key.
     live, code = np.arange(size), _ranks(symbol)
     context = _ranks(*before[:start]) if start else np.zeros(size, np.int64)
     for depth in range(start + 1, len(before) + 1):
@@ -265,8 +266,8 @@ def _subtrees(before, symbol, n, share, chance, start, divided, totals):
                         symbols, counts = totals[c]
                         times[hit] = counts[np.searchsorted(symbols, symbol[row[hit]])]
                     kept_by_others.append((of[hit[0]], kept, total, own))
-        seen = np.flatnonzero(times)
-        total, own = np.bincount(of, times), np.bincount(of[seen], minlength=of[-1] + 1)
+        total, own = np.bincount(of, times), np.bincount(of, times > 0)
+        seen = np.flatnonzero((times > 0) & (total >= MIN_COUNT)[of])
         times_, of_ = times[seen], of[seen]
         gain = np.bincount(of_, times_ * (np.log(times_ / total[of_]) - np.log(share[row[seen]])), len(total))
         kept = (total >= MIN_COUNT) & (gain >= PENALTY * np.log(np.maximum(total, 1)) * own / 2)
@@ -312,10 +313,10 @@ def _samples(source: DataFrame, depth: int, places: int, parts: int, common: Bro
 
     def each(chunk: int, body: bytes):
         before = _places(body, depth, common.value, going_on, only=slice(chunk % step, None, step)).before
-        yield pa.table([pa.array(list(np.stack(before, 1).astype(np.int64)), pa.list_(pa.int64()))], names=["context"])
+        yield _table("body:b", [packed(*before)])
 
-    rows = _mapped(source, ("chunk", "body"), "context array<long>", each).collect()
-    return np.array([r.context for r in rows], np.int64).reshape(-1, depth)
+    rows = [unpacked(r.body) for r in _mapped(source, ("chunk", "body"), "body binary", each).toLocalIterator()]
+    return np.concatenate([np.stack(r, 1) for r in rows]) if rows else np.empty((0, depth), np.int64)
 
 
 def _divided(scratch, source, plan, start, depth, common, going_on):
@@ -346,7 +347,8 @@ def _divided(scratch, source, plan, start, depth, common, going_on):
                 if a < b:
                     symbols, first, of = np.unique(symbol[a:b], return_index=True, return_inverse=True)
                     part = int(np.searchsorted(cuts[:-1], a, "right")) - 1
-                    found.append((np.full(len(symbols), part), np.full(len(symbols), i), symbols, np.bincount(of, n[a:b]).astype(np.int64), share[a:b][first]))
+                    times = np.bincount(of, n[a:b]).astype(np.int64)
+                    found.append((np.full(len(symbols), part), np.full(len(symbols), i), symbols, times, share[a:b][first]))
         if found:
             found = [np.concatenate(x) for x in zip(*found)]
             turn = found[2] % parts
@@ -472,6 +474,8 @@ def _grown(source, plan, parts, start, depth, common, divided, totals) -> DataFr
                 told.append(unpacked(body))
                 continue
             *rows, every, sequence, share, chance = unpacked(body)
+            # Half the memory, as long as there are not billions of words.
+            rows = [r.astype(np.uint32) if r.max(initial=0) < 1 << 32 and i <= depth else r for i, r in enumerate(rows)]
             symbol = rows[depth]
             shares, chances = np.empty(len(symbol)), np.empty(len(symbol))
             often = np.zeros(len(symbol), bool) if going_on else symbol < len(common.value[0])
@@ -573,7 +577,8 @@ def _with_sums(chunks: DataFrame, tables: list[DataFrame], schema: str, each: Ca
 def _list(words: pa.Array) -> tuple[bytes, np.ndarray]:
     """Words one after the other, and their lengths."""
     lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary())), b"")[0].as_py(), lengths
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary()))
+    return pc.binary_join(whole, b"")[0].as_py(), lengths
 
 
 def _listed(joined: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -623,8 +628,9 @@ def _words(chunks: DataFrame, ends: int) -> DataFrame:
 
     def deal(chunk: int, words: bytes):
         joined, lengths, counts = unpacked(words)
-        words = _listed(joined, lengths)
-        part = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(lengths)) % np.uint64(parts)
+        words, whole, ends = _listed(joined, lengths), joined.astype(np.uint8).tobytes(), np.cumsum(lengths)
+        each_word = (whole[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True))
+        part = np.fromiter(map(xxhash.xxh3_64_intdigest, each_word), np.uint64, len(lengths)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         joined, lengths = _list(words.take(pa.array(order)))
@@ -658,8 +664,10 @@ def _words(chunks: DataFrame, ends: int) -> DataFrame:
         )
 
     # The empty word is no chunk's own.
-    end = session.createDataFrame([(0, -1, packed(np.zeros(0, np.int64), np.zeros(1, np.int64), np.array([ends]), np.zeros(1, np.int64)))], "part int, chunk long, words binary")
-    dealt = _mapped(chunks, ("chunk", "words"), "part int, chunk long, words binary", deal).union(end)
+    none = np.zeros(1, np.int64)
+    end = [(0, -1, packed(none[:0], none, np.array([ends]), none))]
+    kinds = "part int, chunk long, words binary"
+    dealt = _mapped(chunks, ("chunk", "words"), kinds, deal).union(session.createDataFrame(end, kinds))
     return dealt.groupBy("part").applyInArrow(
         gather, "chunk long, size long, v long, n long, places long, counts binary, asked binary, body binary, letters array<long>"
     )
@@ -704,7 +712,8 @@ def score(
         yield _table("c:l part:l at:l", c[at], np.full(len(at), part), at)
 
     # The most frequent have the smallest numbers, which take the fewest bytes.
-    frequent = sorted((-r.c, r.part, r.at) for r in _mapped(words, ("chunk", "counts", "body"), "c long, part long, at long", counted).toLocalIterator())
+    met = _mapped(words, ("chunk", "counts", "body"), "c long, part long, at long", counted)
+    frequent = sorted((-r.c, r.part, r.at) for r in met.toLocalIterator())
     often = LETTER + len(frequent)
     found = np.array(frequent, np.int64).reshape(-1, 3)
     by_part = {i: (found[found[:, 1] == i, 2], np.flatnonzero(found[:, 1] == i) + LETTER) for i in np.unique(found[:, 1]).tolist()}
